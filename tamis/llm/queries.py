@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import repair
+from . import repair, simhash
 
-QUERIES = {**repair.QUERIES}
-ORACLE_SQL = {**repair.ORACLE_SQL}
+QUERIES = {**repair.QUERIES, **simhash.QUERIES}
+ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL}
