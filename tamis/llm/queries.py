@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import repair, simhash
+from . import mixing, repair, simhash, warc
 
-QUERIES = {**repair.QUERIES, **simhash.QUERIES}
-ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL}
+QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES}
+ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL}

@@ -15,7 +15,6 @@ repeated rows and doc_ids stay, each with ids of its own; no rows give a table o
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .encoding import memo
+from .files import filesystem, write_file
 
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIII")  # magic, documents, symbols, rules, rounds, first rule
@@ -171,22 +171,6 @@ class Block:
         return ids[skip : skip + stop - start]
 
 
-def _files(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
-def _write_file(path: str, write) -> None:
-    """Writes aside and renames, so that retried and speculative tasks leave one whole file."""
-    files, at = _files(path)
-    files.create_dir(at.rpartition("/")[0], recursive=True)
-    aside = f"{at}.{uuid.uuid4().hex}.tmp"
-    with files.open_output_stream(aside) as out:
-        write(out)
-    files.move(aside, at)
-
-
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabulary: int = 50257, end_id: int = 0, block_ids: int = 1 << 20) -> None:
     """Encodes the texts of ``docs`` (doc_id, text) and writes them in ascending doc_id under ``path``.
 
@@ -226,7 +210,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabula
             for block in blocks():
                 out.write(block)
 
-        _write_file(name, write)
+        write_file(name, write)
         if total["docs"]:
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [total["docs"]], "n_ids": [total["ids"]]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
@@ -236,7 +220,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabula
 
 
 def _blocks(name: str) -> Iterator[Block]:
-    files, at = _files(name)
+    files, at = filesystem(name)
     with files.open_input_stream(at) as source:
         while head := source.read(8):
             yield Block(source.read(struct.unpack("<Q", head)[0]))
