@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, repair, simhash, warc
+from . import mixing, repair, simhash, sketch, warc
 
-QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES}
-ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL}
+QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES, **sketch.QUERIES}
+ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL, **sketch.ORACLE_SQL}
