@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, repair, simhash, sketch, warc
+from . import classifier, langid, mixing, repair, simhash, sketch, warc
 
-QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES, **sketch.QUERIES, **langid.QUERIES}
-ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL, **sketch.ORACLE_SQL, **langid.ORACLE_SQL}
+QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES, **sketch.QUERIES, **langid.QUERIES, **classifier.QUERIES}
+ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL, **sketch.ORACLE_SQL, **langid.ORACLE_SQL, **classifier.ORACLE_SQL}
