@@ -8,15 +8,18 @@ every other text goes to the library whole.
 from __future__ import annotations
 
 import re
+import string
+import sys
 import threading
-
-import numpy as np
+from array import array
 
 _LOCAL = threading.local()
 #: Texts with other characters, or with runs of white space, are encoded whole.
 _ODD = re.compile("[^\n\x20-\x7e¡-¬®-ɏ]")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
-_MARKS = ".,!?;:"
+_MARKS = string.punctuation
+#: A comma or full stop that does not begin a run of marks right after a word.
+_INNER = re.compile("[^A-Za-z0-9À-ÖØ-öø-ɏ][,.]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,50 +31,75 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordMemo(dict):
-    """Word -> its ids as little-endian bytes of ``dtype``.
+    """Word -> its ids as little-endian 16-bit numbers.
 
     spaced: whether a blank before a word belongs to the word (byte-level vocabularies), or
     white space is dropped and letters are lower-cased. limit: remembered words at most.
     """
 
-    def __init__(self, path: str, spaced: bool, dtype: str = "<u2", limit: int = 600_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spaced, self.dtype, self.limit = spaced, np.dtype(dtype), limit
-        if self.tok.get_vocab_size() > np.iinfo(self.dtype).max:
-            raise ValueError(f"{path}: ids don't fit in {dtype}")
+        self.model, self.spaced, self.code, self.limit = self.tok.model, spaced, "H", limit
+        if self.tok.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids don't fit in 16 bits")
         self.letters = _byte_letters()
         self.blank = self.letters[0x20] if spaced else ""
-        self.marks = {m: self.whole(m) for m in _MARKS}
+        self.marks: dict[str, bytes] = {}
+        self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def letters_only(self, word: str, blank: str) -> bytes | None:
+        """Ids of a run of letters by the vocabulary's merges alone; None where it isn't one."""
+        if not (word.isalpha() and (self.spaced or word.lower().isalpha())):
+            return None
+        raw = (word if self.spaced else word.lower()).encode()
+        piece = blank + (raw.decode() if raw.isascii() else raw.decode("latin-1").translate(self.letters))
+        return self.pack([x.id for x in self.model.tokenize(piece)])
+
+    def pack(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)  # much quicker than numpy for a few numbers
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        mark = word[-1:]
-        if mark in self.marks and word[:-1].isalpha():
-            return self[word[:-1]] + self.marks[mark]  # a mark after letters is a piece of its own
-        if word.isalpha() and (self.spaced or word.lower().isalpha()):
-            raw = (word if self.spaced else word.lower()).encode()
-            piece = self.blank + (raw.decode() if raw.isascii() else raw.decode("latin-1").translate(self.letters))
-            ids = np.array([x.id for x in self.tok.model.tokenize(piece)], dtype=self.dtype).tobytes()
-        elif self.spaced and not word.startswith("\n"):
-            ids = self.whole(" " + word)
-        else:
+        head = word.rstrip(_MARKS)
+        if head is not word and head.isalpha():  # marks after letters are a piece of their own
+            tail = word[len(head) :]
+            if (end := self.marks.get(tail)) is None:
+                end = self.whole(tail)
+                if len(self.marks) < self.limit:
+                    self.marks[tail] = end
+            return self[head] + end
+        if self.spaced and word[:1] == "\n":  # so is a line feed before what isn't white space
+            if (ids := self.letters_only(word[1:], "")) is None:
+                ids = self.whole(word)
+            else:
+                ids = self.feed + ids
+        elif word[0] in ",.":  # right after a word: ``encode`` has set them apart
             ids = self.whole(word)
+        elif (ids := self.letters_only(word, self.blank)) is None:
+            ids = self.whole(" " + word if self.spaced else word)
         if len(self) < self.limit:
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids of ``text``, without special tokens, as bytes of ``dtype``."""
+        """The ids of ``text``, without special tokens, as little-endian 16-bit numbers."""
         if not text:
             return b""
         if _ODD.search(text) or text[-1] in " \n" or any(run in text for run in _RUNS):
             return self.whole(text)
+        if not _INNER.search(text):
+            text = text.replace(",", " ,").replace(".", " .")  # then "word," is looked up as two known words
+        elif " ," in text or " ." in text:
+            return self.whole(text)
         if not self.spaced:
             return b"".join(map(self.__getitem__, text.split()))
         first, *rest = text.replace("\n", " \n").split(" ")

@@ -39,7 +39,7 @@ def _pairs(seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return key, (seq[:-1] != end) & (seq[1:] != end)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 5, least: int = 24) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 4, least: int = 24) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Symbols of ``ids`` (whole documents, ``ends``: positions of their last ids), rules (left,
     right), and the number of rules after each round. Symbol WIDE - 1 stands for a document's end."""
     seq = ids.astype(np.uint32)
@@ -171,7 +171,7 @@ class Block:
         return ids[skip : skip + stop - start]
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabulary: int = 50257, end_id: int = 0, block_ids: int = 1 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabulary: int = 50257, end_id: int = 0, block_ids: int = 1 << 19) -> None:
     """Encodes the texts of ``docs`` (doc_id, text) and writes them in ascending doc_id under ``path``.
 
     One exchange by ranges of doc_id; each task streams its range into one file, a block at a

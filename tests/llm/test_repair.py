@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from tamis.llm import common, repair
 from tamis.llm.encoding import WordMemo
 
-ODD = [None, "", " ", "\n", "a\nb", "a \nb", "\na", " a", "a ", "don't it's", "x  y", "É à ça İI ﬁ", "áb", "tab\tx", "___ a_b", "1234 a1 b2,", "x.\n\n\nY.", "“q” – z", "a,b, c!d!", "..., ..", "ª²³¼ x²", "<|endoftext|> x", "word " * 30000]
+ODD = [None, "", ",", ".a", "a , b", "a. .b ,c", "x\",y", "3.14,15", "U.S. (a.) b.,", "a,\nb.\n,c", "'s a's ,'t", "!. ?, a", " ", "\n", "a\nb", "a \nb", "\na", " a", "a ", "don't it's", "x  y", "É à ça İI ﬁ", "áb", "tab\tx", "___ a_b", "1234 a1 b2,", "x.\n\n\nY.", "“q” – z", "a,b, c!d!", "..., ..", "ª²³¼ x²", "<|endoftext|> x", "word " * 30000]
 
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
