@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, langid, mixing, packing, repair, sharding, simhash, sketch, warc
+from . import classifier, langid, mixing, outliers, packing, repair, sharding, simhash, sketch, warc
 
-QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES, **sketch.QUERIES, **langid.QUERIES, **classifier.QUERIES, **sharding.QUERIES, **packing.QUERIES}
-ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL, **sketch.ORACLE_SQL, **langid.ORACLE_SQL, **classifier.ORACLE_SQL, **sharding.ORACLE_SQL, **packing.ORACLE_SQL}
+QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES, **sketch.QUERIES, **langid.QUERIES, **classifier.QUERIES, **sharding.QUERIES, **packing.QUERIES, **outliers.QUERIES}
+ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL, **sketch.ORACLE_SQL, **langid.ORACLE_SQL, **classifier.ORACLE_SQL, **sharding.ORACLE_SQL, **packing.ORACLE_SQL, **outliers.ORACLE_SQL}
