@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,23 +121,45 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(out.items()) if v.any()}
 
 
+def _classify(texts: list[str | None], prototypes: dict[str, np.ndarray], vectors: list[np.ndarray]) -> tuple[list[str], list[float]]:
+    """Language and cosine of each text."""
+    names = list(prototypes)
+    langs: list[str] = []
+    scores: list[float] = []
+    weights = np.stack([prototypes[k] for k in names], axis=1) if names else None
+    for low in range(0, len(texts), _DOCS):
+        v = bundles(texts[low : low + _DOCS], vectors)
+        size = np.linalg.norm(v, axis=1)
+        cosine = np.round((v @ weights) / np.maximum(size, 1e-9)[:, None], 6) if names else np.zeros((len(v), 1))
+        some = (size > 0) & bool(names)
+        langs += [names[j] if ok else UNKNOWN for j, ok in zip(cosine.argmax(1), some)]
+        scores += np.where(some, np.clip(cosine.max(1), 0, 1), 0.0).tolist()
+    return langs, scores
+
+
+def language_of(prototypes: dict[str, np.ndarray]):
+    """A column function of a text: struct of lang_pred and score. Only texts go to Python."""
+    dimensions = len(next(iter(prototypes.values()), [0] * DIMENSIONS))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vectors = letter_vectors(dimensions)
+        for part in texts:
+            langs, scores = _classify(part.tolist(), prototypes, vectors)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return of
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (by default doc_id) with lang_pred and score, the cosine (0 at least)."""
-    names, dimensions = list(prototypes), len(next(iter(prototypes.values()), [0] * DIMENSIONS))
-    weights = np.stack([prototypes[k] for k in names], axis=1) if names else np.zeros((dimensions, 0), np.float32)
+    dimensions = len(next(iter(prototypes.values()), [0] * DIMENSIONS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = letter_vectors(dimensions)
         for batch in batches:
             n = batch.num_columns - 1
-            langs, scores = [], []
-            for low in range(0, batch.num_rows, _DOCS):
-                v = bundles(batch.column(n).slice(low, _DOCS).to_pylist(), vectors)
-                size = np.linalg.norm(v, axis=1)
-                cosine = np.round((v @ weights) / np.maximum(size, 1e-9)[:, None], 6) if names else np.zeros((len(v), 1))
-                some = (size > 0) & bool(names)
-                langs += [names[j] if ok else UNKNOWN for j, ok in zip(cosine.argmax(1), some)]
-                scores += np.where(some, np.clip(cosine.max(1), 0, 1), 0.0).tolist()
+            langs, scores = _classify(batch.column(n).to_pylist(), prototypes, vectors)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out.fieldNames())
 
     rows = docs.select(*([F.col("doc_id").cast("long").alias("doc_id")] if keep is None else keep), F.col("text").cast("string").alias("_text"))

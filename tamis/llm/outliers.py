@@ -73,18 +73,25 @@ def vector() -> list[Column]:
     return [x.alias(n) for x, n in zip((size, share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")), X)]
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """rows with g: the number of the group by whose estimate they are judged, null if there is none."""
+def _own() -> Column:
     # xxhash64 skips nulls; the marks keep a null lang apart from a null source.
-    own = F.xxhash64(F.lit(1), F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
+    return F.xxhash64(F.lit(1), F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(_own, g): for each language and source the number of the group by whose estimate its rows
+    are judged, null if there is none."""
     lang, all_ = F.xxhash64(F.lit(2), F.col("lang").isNull(), "lang"), F.xxhash64(F.lit(3))
-    n = rows.groupBy(own.alias("own"), lang.alias("pool")).agg(F.count("*").alias("n"))
-    n = n.withColumn("g", F.when(F.col("n") >= LEAST_ROWS, F.col("own")))
+    n = rows.groupBy(_own().alias("_own"), lang.alias("pool")).agg(F.count("*").alias("n"))
+    n = n.withColumn("g", F.when(F.col("n") >= LEAST_ROWS, F.col("_own")))
     for pool in (F.col("pool"), all_):
         left = F.sum(F.when(F.col("g").isNull(), F.col("n"))).over(Window.partitionBy(pool))
         n = n.withColumn("g", F.coalesce("g", F.when(left >= LEAST_ROWS, pool)))
-    table = common.materialise(n.select(F.col("own").alias("_own"), "g"), "groups")
-    return rows.withColumn("_k", own).join(table, F.col("_k") == F.col("_own"), "left").drop("_k", "_own")
+    return common.materialise(n.select("_own", "g"), "groups")
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.withColumn("_k", _own()).join(groups, F.col("_k") == F.col("_own"), "left").drop("_k", "_own")
 
 
 def _upto(histogram: DataFrame, by: list[str], share: float, name: str) -> DataFrame:
@@ -146,21 +153,41 @@ def estimates(rows: DataFrame) -> DataFrame:
     return now
 
 
-def judge(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """``keep`` columns (besides _lang, _source) with counts, distance2 (null: not judged) and kept."""
-    base = common.materialise(counts(docs, [*keep, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]), "counts")
-    names = [c for c in base.columns if c not in ("lang", "source")]
-    rows = _grouped(base.filter("not base_failed").select("lang", "source", *vector())).filter("g is not null").select("g", *X)
-    found = estimates(common.materialise(rows, "vectors"))
-    passed = base.filter("not base_failed").select("*", *vector())
-    # The grouping is that of the rows that were estimated: the same rows, so the same groups.
-    judged = _grouped(passed).join(found, "g", "left").withColumn("distance2", distance())
-    judged = judged.select(*names, "distance2", (F.col("distance2").isNull() | (F.col("distance2") <= CUT)).alias("kept"))
-    return judged.unionByName(base.filter("base_failed").select(*names, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept")))
+def fit(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups and their estimates, from the rows of ``counts`` (with lang and source)."""
+    rows = base.filter("not base_failed").select("lang", "source", *vector())
+    groups = _groups(rows)
+    vectors = _grouped(rows, groups).filter("g is not null").select("g", *X)
+    return groups, estimates(common.materialise(vectors, "vectors"))
+
+
+def judge(base: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``base`` (of ``counts``, with lang and source) with distance2 (null: not judged) and kept."""
+    groups, found = model
+    out = _grouped(base.select("*", *vector()), groups).join(found, "g", "left")
+    d2 = F.when(~F.col("base_failed"), distance())
+    return out.select(*base.columns, d2.alias("distance2"), (~F.col("base_failed") & F.coalesce(d2 <= CUT, F.lit(True))).alias("kept"))
+
+
+def _where() -> list[Column]:
+    return [F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
+
+
+def verdicts(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """``keep`` columns of each row of ``docs`` with its counts, distance2 and kept."""
+    base = common.materialise(counts(docs, [*keep, *_where()]), "counts")
+    return judge(base, fit(base)).drop("lang", "source")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Counted once: the rows wait with
+    their counts in the shared folder until the verdicts are known, and are never exchanged."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    return verdicts(docs, [row]).filter("kept").select("_row.*")
 
 
 def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(common.load(spark, sf_dir, "documents"), [F.col("doc_id").cast("long").alias("doc_id")])
+    out = verdicts(common.load(spark, sf_dir, "documents"), [F.col("doc_id").cast("long").alias("doc_id")])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 

@@ -51,7 +51,7 @@ def test_verdicts_against_numpy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")).alias("source"))
     odd = [(90001, None, "en", "hot"), (90002, "x " * 40, None, None), (90003, "some words of a text " * 9, "fr", None), (None, "word and " + " ".join(f"w{i}" for i in range(40)), None, "hot")] + [(90001, "again " + " ".join(f"v{i}" for i in range(30)), "en", "hot")] * 2
     docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string")).withColumn("g", F.lit(1)).withColumn("kept", F.lit("x"))
-    got = outliers.judge(docs, [F.col("doc_id"), F.struct("lang", "source", "text").alias("row")]).collect()
+    got = outliers.verdicts(docs, [F.col("doc_id"), F.struct("lang", "source", "text").alias("row")]).collect()
     assert len(got) == docs.count()
     groups, pools, vectors = defaultdict(list), defaultdict(list), {}
     for i, r in enumerate(got):
@@ -80,4 +80,6 @@ def test_verdicts_against_numpy(spark):
             judged.add(i)
     assert all(got[i].kept and got[i].distance2 is None for i in set(vectors) - judged)
     assert len(final) >= 4 and any(not got[i].kept for i in judged)
-    assert outliers.judge(docs.limit(0), [F.col("doc_id")]).count() == 0
+    assert outliers.verdicts(docs.limit(0), [F.col("doc_id")]).count() == 0
+    good = outliers.keep_good(docs)
+    assert good.columns == docs.columns and sorted(map(str, (r.text for r in good.collect()))) == sorted(str(r.row.text) for r in got if r.kept)

@@ -82,3 +82,47 @@ def test_components_of_long_chain(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(301)}, 500: 500, 501: 500}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_near_copies_and_clean_documents(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, truth = [], {}
+    for g in range(60):
+        words = rnd.choices(vocabulary, k=rnd.randint(150, 500))
+        for c in range(4 if g % 2 else 1):
+            out = [rnd.choice(vocabulary) if c and rnd.random() < 0.015 else w for w in words]
+            rows.append((len(rows), " ".join(out)))
+            truth[rows[-1][0]] = g
+    rows += [(9000, None), (9001, ""), (9002, "one two"), (9003, "one two"), (9004, "one three"), (9005, "w " * 30000), (9005, "w " * 30000), (None, "one two"), (9006, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fps", F.lit("x"))
+    found = simhash.near_copies(docs)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert found.count() == len(rows)
+    first = {}
+    for d, g in truth.items():
+        first.setdefault(g, d)
+    assert all(truth[got[d]] == g for d, g in truth.items())  # clean documents are in no other's group
+    assert sum(got[d] == first[g] for d, g in truth.items()) >= 0.97 * len(truth)
+    assert got[9003] == 9002 and got[9004] == 9004 and got[9001] == got[9006] == 9000
+    left = simhash.drop_copies(docs, found)
+    assert left.columns == docs.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert ids.count(9005) == 1 and ids.count(None) == 1 and 9003 not in ids
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_prints_against_loop():
+    import pyarrow as pa
+
+    from tamis.llm import hashing
+
+    texts = ["A b c d e", None, "one", "x y " * 700, ""]
+    got = simhash.prints(pa.array(texts, pa.string()), 2, 3)
+    for t, row in zip(texts, got):
+        data, offsets = hashing.raw(pa.array([(t or "").lower()]))
+        start, end, owner = hashing.find_words(data, offsets)
+        h, _ = hashing.shingles(hashing.span(hashing.prefix(data), start, end), owner, 2)
+        for s in range(3):
+            k = [int(x) for x in hashing.mix(h ^ np.uint64(s * 0x9E3779B97F4A7C15 & (1 << 64) - 1))]
+            assert int(row[s]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in k) > len(k))
