@@ -1,8 +1,57 @@
-"""The corpus pipeline: language ID, quality rules, near-dedup, mixing, packing."""
+"""The corpus pipeline: language ID, quality rules, near-dedup, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
+last return the columns of ``docs``. ``run`` writes each result to the shared folder and reads it
+back for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamis.llm import common, langid, mixing, outliers, packing, simhash
+
+#: Documents whose best language is less like them than this are of no known language.
+LEAST_COSINE = 0.05
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with letters whose profile is like that of a language learned from ``docs``."""
+    found = langid.language_of(langid.fit(docs))(F.col("text").cast("string"))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), found.alias("_found")).filter((F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_COSINE)).select("_row.*")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that pass the base rules and are no robust outlier of their language and source."""
+    return outliers.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least doc_id of each group of near copies."""
+    return simhash.drop_copies(docs, simhash.near_copies(docs))
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture to target weights draws them. A document in which a
+    source's quota ends is taken whole if more than half of it is within."""
+    mixed = mixing.mix(docs).select("mixed.*")
+    return mixed.filter("2 * words > size").select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 2048 tokens."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("mixing", mixing_weights), ("packing", pack)]
+
+#: SQL has neither the models nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
