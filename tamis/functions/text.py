@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- Fixed values ------------------------------------------------------------------------------
 TITLE_STOP_WORDS = [
@@ -61,7 +62,7 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r" \n", "\n"), r"\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark lacks."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -115,4 +116,4 @@ def control_characters(c: Column) -> Column:
 
 def parse_object(c: Column, schema: str) -> Column:
     """JSON by schema, from the whole text or else from its outermost braces."""
-    return F.coalesce(F.from_json(c, schema), F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema))
+    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema)).otherwise(F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema))

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tamis.functions import text as T
 
@@ -58,7 +59,7 @@ def quote_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return found.unionByName(short).distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity of two names (not an edit distance, so Spark has no function for it)."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

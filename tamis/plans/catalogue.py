@@ -61,9 +61,6 @@ def events(t) -> DataFrame:
     return t("events").select(F.col("user_id").alias("run"), "event_id", "ts", F.col("event_type").alias("state"), F.col("value").alias("tokens"), "props")
 
 
-VALID = ~(F.col("n_chars") < 20)
-
-
 @query("""with @S select count(*) as total, (select count(*) from s) as processed, (select count(*) from s where decision = 'INCLUDE') as include_count,
  (select count(*) from s where decision = 'EXCLUDE') as exclude_count, (select count(*) from s where decision = 'MAYBE') as maybe_count, cast(0 as bigint) as skipped_count, cast(0 as bigint) as error_count,
  count(*) filter (where doc_id not in (select doc_id from s)) as remaining, case when count(*) = 0 then 'idle' when count(*) filter (where doc_id not in (select doc_id from s)) = 0 then 'done' else 'running' end as status from documents""")
@@ -78,7 +75,7 @@ def q_decision_counts(spark, t):
 
 @query("select doc_id, split_part(text, chr(10), 1) as title from documents where not n_chars < 20 and doc_id not in (select doc_id from labels) order by doc_id limit 20")
 def q_work_queue(spark, t):
-    return progress.work_queue(t("documents"), screening(t), "doc_id", VALID).select("doc_id", T.title(F.col("text")).alias("title"))
+    return progress.work_queue(t("documents"), screening(t), "doc_id", ~(F.col("n_chars") < 20)).select("doc_id", T.title(F.col("text")).alias("title"))
 
 
 @query("select doc_id, n_chars from documents where n_chars < 60 and doc_id not in (select doc_id from labels)")
