@@ -98,8 +98,8 @@ def year(c: Column) -> Column:
 
 def contains_any(normalized: Column, terms: list[str]) -> Column:
     """The terms that are part of a normalized text, in list order; terms are normalized alike."""
-    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(plain(t)).alias("norm")) for t in terms])
-    return F.transform(F.filter(pairs, lambda p: F.contains(normalized, p["norm"])), lambda p: p["term"])
+    # No lambda: so the normalized text is one shared subexpression of compiled code.
+    return F.array_compact(F.array(*[F.when(F.contains(normalized, F.lit(plain(t))), F.lit(t)) for t in terms]))
 
 
 def plain(term: str) -> str:
