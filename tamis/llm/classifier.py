@@ -7,7 +7,8 @@ documents (the documented bound; those of least hash, whatever their order). Sin
 linear in the average, scoring needs one number per bucket.
 
 Handling of odd rows: a null or empty text has no features and gets the score of the bias alone;
-null labels are not learned; a doc_id with several labels is learned with each; without any label
+null labels are not learned; a doc_id with several labels is learned with each of them once, and
+of documents that repeat a doc_id one is learned; without any label
 scores are 0.5; repeated rows are scored each; columns other than doc_id and text are not looked at.
 """
 
@@ -95,15 +96,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(counted(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["y", "b", "n"])
+            found = list(counted(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["doc_id", "y", "b", "n"])
 
     order = F.xxhash64("doc_id", F.lit(SEED))
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)").orderBy(order, "doc_id", "y").limit(most)
     chosen = common.materialise(chosen, "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = texts.select("y", "text", "doc_id").orderBy(order, "doc_id", "y").limit(most).select("y", "text").mapInArrow(run, "y int, b binary, n binary").collect()
-    rows = [(np.frombuffer(r.b, "<i4"), np.frombuffer(r.n, "<i4"), r.y) for r in found]
+    each = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, b binary, n binary")
+    found = each.groupBy("doc_id", "y").agg(F.min(F.struct("b", "n")).alias("f")).select("doc_id", "y", "f.b", "f.n").collect()
+    rows = [(np.frombuffer(r.b, "<i4"), np.frombuffer(r.n, "<i4"), r.y) for r in sorted(found, key=lambda r: (r.doc_id, r.y))]
     return train(rows) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
 
 

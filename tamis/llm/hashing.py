@@ -9,7 +9,7 @@ U = np.uint64
 #: Odd multipliers of the polynomial over bytes and of that over words.
 BYTE_BASE, WORD_BASE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Bytes hashed together, unless a text alone is longer. Work memory is about 40 times as much.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

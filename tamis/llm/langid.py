@@ -31,7 +31,7 @@ DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20240229
 #: Languages learned at most; prototypes are broadcast (8 kB each).
 MOST_LANGUAGES = 4096
 UNKNOWN = "und"
-_DOCS, _CHARS, _GRAMS = 512, 1 << 20, 4096
+_DOCS, _CHARS, _GRAMS = 256, 1 << 19, 4096
 _TABLE: list[np.ndarray] = []
 
 
