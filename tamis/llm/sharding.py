@@ -27,6 +27,8 @@ from . import common
 
 SHARDS, RANGES, PROBES, FIRST_PROBES, TOLERANCE = 24, 8, 256, 4096, 0.0005
 _TOP = (1 << 63) - 1
+#: Bits of k below those that number the first probes.
+_SHIFT = 51
 
 
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -37,16 +39,20 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(doc.alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("k"), d.alias("d"), *more)
 
 
-def tree(bounds: list, above) -> Column:
-    """How many ascending bounds ``above`` holds for: a balanced tree of tests."""
+def with_range(rows: DataFrame, starts: list[tuple[int, int]]) -> DataFrame:
+    """rows with range: how many of the ascending ``starts`` (k, d) are at or below the row's key.
 
-    def part(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(above(bounds[mid]), part(mid + 1, high)).otherwise(part(low, mid))
-
-    return part(0, len(bounds))
+    A table of FIRST_PROBES rows, whatever the data, gives for the leading bits of k the starts
+    below them and the list of those among them, which is short but for a text of many copies."""
+    table, below = [], 0
+    for lead in range(FIRST_PROBES):
+        end = bisect.bisect_left(starts, ((lead + 1) << _SHIFT, -1), lo=below)
+        table.append((lead, below, [tuple(x) for x in starts[below:end]]))
+        below = end
+    known = F.broadcast(rows.sparkSession.createDataFrame(table, "_lead long, _below int, _starts array<struct<k: long, d: long>>"))
+    inside = F.filter("_starts", lambda s: (s["k"] < F.col("k")) | ((s["k"] == F.col("k")) & (s["d"] <= F.col("d"))))
+    out = rows.join(known, F.shiftright("k", _SHIFT) == F.col("_lead"))
+    return out.withColumn("range", F.col("_below") + F.size(inside)).drop("_lead", "_below", "_starts")
 
 
 class _Gap:
@@ -63,18 +69,15 @@ def _count(rows: DataFrame, gaps: list[_Gap], probes: int) -> dict[int, list[tup
     """For each gap the bytes by piece between probes, in order."""
     spark = rows.sparkSession
     found: dict[int, list[tuple[int, int]]] = {}
-    plain = sorted((g.low, g.high, i) for i, g in enumerate(gaps) if g.hot is None)
+    plain = [(i, g.low >> _SHIFT, g.low, g.high, g.step(probes)) for i, g in enumerate(gaps) if g.hot is None]
     hot = [(i, g.hot, g.low, g.high, g.step(probes)) for i, g in enumerate(gaps) if g.hot is not None]
     parts = []
-    if plain:
-        bounds = [x for low, high, _ in plain for x in (low, high + 1)]
-        at = tree(bounds, lambda b: F.col("k") >= b if b <= _TOP else F.lit(False))
-        table = spark.createDataFrame([(2 * j + 1, i, low, gaps[i].step(probes)) for j, (low, _, i) in enumerate(plain)], "at int, gap int, low long, step long")
-        if len(plain) == 1 and plain[0][0] == 0 and plain[0][1] == _TOP:
-            inside = rows.select(F.lit(plain[0][2]).alias("gap"), F.expr(f"k div {gaps[plain[0][2]].step(probes)}").alias("piece"), "size")
-        else:
-            inside = rows.withColumn("at", at).join(F.broadcast(table), "at").select("gap", F.expr("(k - low) div step").alias("piece"), "size")
-        parts.append(inside)
+    if len(plain) == 1 and plain[0][2] == 0 and plain[0][3] == _TOP:
+        parts.append(rows.select(F.lit(plain[0][0]).alias("gap"), F.expr(f"k div {plain[0][4]}").alias("piece"), "size"))
+    elif plain:  # a gap lies between two of the first probes, so its leading bits find it
+        table = spark.createDataFrame(plain, "gap int, lead long, low long, high long, step long")
+        found_in = (F.shiftright("k", _SHIFT) == F.col("lead")) & F.col("k").between(F.col("low"), F.col("high"))
+        parts.append(rows.join(F.broadcast(table), found_in).select("gap", F.expr("(k - low) div step").alias("piece"), "size"))
     if hot:
         table = spark.createDataFrame(hot, "gap int, hot long, low long, high long, step long")
         parts.append(rows.join(F.broadcast(table), (F.col("k") == F.col("hot")) & F.col("d").between(F.col("low"), F.col("high"))).select("gap", F.expr("(d - low) div step").alias("piece"), "size"))
@@ -84,15 +87,17 @@ def _count(rows: DataFrame, gaps: list[_Gap], probes: int) -> dict[int, list[tup
     return {i: sorted(x) for i, x in found.items()}
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float) -> tuple[int, list[tuple[int, int]], int]:
-    """Bytes in all, the keys (k, d) at which each part but the first begins, and the rounds used.
-    tolerance: how far a splitter may be from its place, as a share of a part's bytes."""
+def splitters(rows: DataFrame, shards: int, ranges: int, tolerance: float) -> tuple[int, list[tuple[int, int]], int]:
+    """Bytes in all, the keys (k, d) at which each range but the first begins, and the rounds used.
+    tolerance: how far the first range of a shard may be from its place, as a share of a shard's
+    bytes; ranges within a shard only share out work and may be off by a tenth of a range."""
+    parts = shards * ranges
     total, least, most = rows.agg(F.sum("size"), F.min("d"), F.max("d")).first()
     total = total or 0
     out: dict[int, tuple[int, int]] = {}
     if not total:
         return 0, [], 0
-    allowed = tolerance * total / parts
+    allowed = {True: tolerance * total / shards, False: 0.1 * total / parts}
     first = _Gap(0, _TOP, 0)
     first.targets = list(range(1, parts))
     gaps, rounds = [first] if parts > 1 else [], 0
@@ -115,7 +120,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: float) -> tuple[int, list[
                 before, after = sums[j] - n, sums[j]
                 where = (lambda x, g=gap: (x, 0) if g.hot is None else (g.hot, x))
                 if step > 1 or gap.hot is None:
-                    if min(want - before, after - want) > allowed:
+                    if min(want - before, after - want) > allowed[t % ranges == 0]:
                         key = (low, high, gap.hot) if step > 1 else (least, most, low)
                         later.setdefault(key, _Gap(key[0], key[1], before, key[2])).targets.append(t)
                         continue
@@ -127,16 +132,15 @@ def splitters(rows: DataFrame, parts: int, tolerance: float) -> tuple[int, list[
 def shards_of(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, tolerance: float = TOLERANCE, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) and the ``keep`` columns of each row of ``docs``, by one exchange."""
     rows = common.materialise(keyed(docs), "keys")
-    _, starts, _ = splitters(rows, shards * ranges, tolerance)
+    _, starts, _ = splitters(rows, shards, ranges, tolerance)
     whole = keyed(docs, F.struct(*keep).alias("_keep")) if keep else rows
-    at = tree(starts, lambda s: (F.col("k") > s[0]) | ((F.col("k") == s[0]) & (F.col("d") >= s[1])))
-    counts = {r.range: r.n for r in rows.select(at.alias("range")).groupBy("range").agg(F.count("*").alias("n")).collect()}
+    counts = {r.range: r.n for r in with_range(rows, starts).groupBy("range").agg(F.count("*").alias("n")).collect()}
     before = []
     for i in range(shards * ranges):
         before.append(0 if i % ranges == 0 else before[-1] + counts.get(i - 1, 0))
     order = Window.partitionBy("range").orderBy("k", "d", "doc_id")
     first = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("range") + 1)
-    out = whole.withColumn("range", at).withColumn("slot", F.row_number().over(order) - 1 + first)
+    out = with_range(whole, starts).withColumn("slot", F.row_number().over(order) - 1 + first)
     return out.select("doc_id", "size", "text_crc32", F.floor(F.col("range") / ranges).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), *(["_keep.*"] if keep else []))
 
 

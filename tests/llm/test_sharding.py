@@ -37,7 +37,7 @@ def test_near_equal_bytes_with_hot_copies(spark, shards, ranges):
 def test_splitters_are_exact(spark):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     rows = sharding.keyed(df)
-    total, starts, rounds = sharding.splitters(rows, 7, 0.0005)
+    total, starts, rounds = sharding.splitters(rows, 7, 1, 0.0005)
     assert total == 20000 * 12 and len(starts) == 6 and rounds > 2
     assert len({s[0] for s in starts}) == 1
 
