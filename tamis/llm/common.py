@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,17 +24,25 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, local mode), a temporary folder is made, set for the
-    session and removed at exit.
+    Where a local session has none (tests), a temporary folder is made, set for the session and
+    removed at exit. On a cluster the setting is required.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tamis-")
         atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder; for after its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tamis/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_dir(spark)}/tamis/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
