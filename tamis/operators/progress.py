@@ -41,12 +41,13 @@ def dimension_stats(judged: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """By group: rows, least, greatest and the element at n // 2 in order. A window ranks the rows,
-    so no group is gathered in one array."""
+    """By group: rows, least, greatest and the element at n // 2 in order. Values are counted before
+    the exchange, so a window ranks distinct values, not rows."""
+    counts = df.groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(by)
-    ranked = df.select(by, value).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    picked = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col(value)))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), picked.alias("upper_median"))
+    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_v"))).withColumn("_all", F.sum("_n").over(w))
+    picked = F.min(F.when(F.col("_upto") >= F.floor(F.col("_all") / 2) + 1, F.col("_v")))
+    return ranked.groupBy(by).agg(F.sum("_n").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), picked.alias("upper_median"))
 
 
 def consistency(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
