@@ -14,6 +14,8 @@ def test_scratch(spark):
     assert where == spark.conf.get("spark.checkpoint.dir") and common.new_path(spark, "a") != common.new_path(spark, "a")
     path = f"{where.removeprefix('file://')}/tamis/{spark.sparkContext.applicationId}"
     assert os.path.isdir(path)
+    common.drop_scratch(spark)
+    assert not os.path.exists(path)
 
 
 def test_folds(spark):
