@@ -91,6 +91,14 @@ def interval(column: Column, bounds: list) -> Column:
     return F.when(column.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that hash partitioning deals to it, so that ranges
+    numbered by these keys meet in no partition."""
+    ids = spark.range(0, 40 * n).select(F.col("id").cast("int").alias("key"))
+    found = {r.p: r.key for r in ids.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("p")).agg(F.min("key").alias("key")).collect()}
+    return [found.get(p, 40 * n + p) for p in range(n)]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, border, doc_id, text) for ``pairs``: documents dealt by ranges of doc_id and
     sorted, each range followed by a copy of the document that comes next. One exchange of the
@@ -99,13 +107,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = common.tasks(spark)
     found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first().q or []
+    keys = partition_keys(spark, n)
     part = interval(F.col("doc_id"), sorted(set(found)))
+    key = F.element_at(F.array(*map(F.lit, keys)), part + 1)
     firsts = sorted(rows.groupBy(part.alias("part")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("first")).select("part", "first.doc_id").collect())
-    heads = [(x.doc_id, firsts[i - 1].part, i == 0) for i, x in enumerate(firsts)]
+    heads = [(x.doc_id, keys[firsts[i - 1].part], i == 0) for i, x in enumerate(firsts)]
     heads_df = F.broadcast(spark.createDataFrame(heads, "_id long, _to int, wraps boolean"))
     one = Window.partitionBy("doc_id", "_to").orderBy("text")
     copies = rows.join(heads_df, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(F.col("_to").alias("part"), F.lit(True).alias("border"), "doc_id", "text")
-    dealt = rows.select(part.alias("part"), F.lit(False).alias("border"), "doc_id", "text").unionByName(copies)
+    dealt = rows.select(key.alias("part"), F.lit(False).alias("border"), "doc_id", "text").unionByName(copies)
     return dealt.repartition(n, "part").sortWithinPartitions("part", "border", "doc_id", "text")
 
 
