@@ -104,8 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     chosen = common.materialise(chosen, "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     each = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, b binary, n binary")
-    found = each.groupBy("doc_id", "y").agg(F.min(F.struct("b", "n")).alias("f")).select("doc_id", "y", "f.b", "f.n").collect()
-    rows = [(np.frombuffer(r.b, "<i4"), np.frombuffer(r.n, "<i4"), r.y) for r in sorted(found, key=lambda r: (r.doc_id, r.y))]
+    found = each.groupBy("doc_id", "y").agg(F.min(F.struct("b", "n")).alias("f")).select("doc_id", "y", "f.b", "f.n")
+    parts = ((r.doc_id, r.y, np.frombuffer(r.b, "<i4"), np.frombuffer(r.n, "<i4")) for r in found.toLocalIterator())  # one partition at a time in the driver's JVM
+    rows = [(b, n, y) for _, y, b, n in sorted(parts, key=lambda r: r[:2])]
     return train(rows) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
