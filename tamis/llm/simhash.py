@@ -33,6 +33,8 @@ ONE = np.uint64(1)
 MASKS = np.array([((1 << n) - 1) << at for at, n in BOXES], dtype=np.uint64)
 #: Rows under a key from which the key is lengthened, and keys that are so at most.
 CROWD, CROWDED_KEYS = 2_000, 50_000
+#: Up to so many rows under a key all pairs are compared; above, a forest is grown.
+FEW = 3
 
 
 def simhash(text: str | None, words: int = 4) -> int:
@@ -121,11 +123,12 @@ def _links(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
         out: list = []
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(first, append=len(key))
-        for a, n in zip(first[size > 64].tolist(), size[size > 64].tolist()):
-            _forest(fp[a : a + n], rep[a : a + n], int(start[a]), limit, out)
-        few = np.flatnonzero(np.repeat((size > 1) & (size <= 64), size))
+        for a, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+            order = a + np.argsort(rep[a : a + n])  # least first: trees under different keys then share their edges
+            _forest(fp[order], rep[order], int(start[a]), limit, out)
+        few = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
         key, start, fp, rep = key[few], start[few], fp[few], rep[few]
-        for d in range(1, 64):
+        for d in range(1, FEW):
             i = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else key[:0]
             if not len(i):
                 break
