@@ -210,6 +210,8 @@ SEEDS, PAIR = 8, 2
 #: Differing bits of all eight fingerprints together up to which a link holds: 49 are expected at a
 #: likeness of 0.8 (see ``near_copies``), and their standard deviation is 7.
 LIMIT_ALL = 56
+#: Nodes of a block of a large component (see ``_dealt``), and blocks at most.
+BLOCK, BLOCKS = 500, 64
 
 
 def prints(texts: pa.Array, k: int = PAIR, seeds: int = SEEDS) -> np.ndarray:
@@ -236,6 +238,56 @@ def prints(texts: pa.Array, k: int = PAIR, seeds: int = SEEDS) -> np.ndarray:
     return out
 
 
+def _dealt(inside: DataFrame) -> DataFrame:
+    """(key, rep, fps): the nodes that are compared with each other under each key. A component of
+    more than BLOCK nodes is cut into up to BLOCKS blocks, and every two blocks have a key, so that
+    each pair of its nodes meets and no task has them all."""
+    many = inside.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BLOCK).select("component", F.least(F.ceil(F.col("n") / BLOCK), F.lit(BLOCKS)).cast("int").alias("blocks"))
+    some = F.broadcast(common.materialise(many, "many"))
+    mine, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.col("other")
+    cut = inside.join(some, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(other != mine)
+    cut = cut.select(F.xxhash64("component", F.least(mine, other), F.greatest(mine, other)).alias("key"), "rep", "fps")
+    return inside.join(some, "component", "left_anti").select(F.xxhash64("component").alias("key"), "rep", "fps").unionByName(cut)
+
+
+def _held(batches: Iterable[pa.RecordBatch], limit: int, limit_all: int) -> Iterator[pa.RecordBatch]:
+    """Edges of a spanning forest under each key of the links that hold, from rows (key, rep, fps) in
+    the order of key: at most ``limit`` bits differ under some seed and ``limit_all`` under all. A
+    member counts as reached only by such a link, so nodes that are linked are always in one tree."""
+    key, held = None, []
+
+    def edges() -> Iterator[pa.RecordBatch]:
+        rep, fps = (np.concatenate(x) for x in zip(*held))
+        out: list = []
+        while len(rep) > 1:
+            todo, rep, fps = [(rep[0], fps[0])], rep[1:], fps[1:]
+            while todo and len(rep):
+                of, one = todo.pop()
+                apart = np.bitwise_count(fps ^ one)
+                hit = (apart.min(axis=1) <= limit) & (apart.sum(axis=1, dtype=np.int64) <= limit_all)
+                if hit.any():
+                    out.append((rep[hit], np.full(int(hit.sum()), of)))
+                    todo.extend(zip(rep[hit], fps[hit]))
+                    rep, fps = rep[~hit], fps[~hit]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, reps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        rows = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(keys), -1)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).tolist()
+        for a, b in zip(first, [*first[1:], len(keys)]):
+            if keys[a] != key and held:
+                yield from edges()
+                held = []
+            key = keys[a]
+            held.append((reps[a:b], rows[a:b]))
+    if held:
+        yield from edges()
+
+
 def near_copies(docs: DataFrame, k: int = PAIR, seeds: int = SEEDS, limit: int = LIMIT) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs``, by several fingerprints of pairs of words.
 
@@ -244,7 +296,8 @@ def near_copies(docs: DataFrame, k: int = PAIR, seeds: int = SEEDS, limit: int =
     word pairs differs in 6 (cosine 0.955), and of eight under different seeds at least one is
     within 4 bits in nine cases of ten. At a likeness of 0.9 it is all but certain, while
     unrelated texts are 20 bits or more apart. A link under one seed must then hold under all
-    together: of 512 bits 49 differ at a likeness of 0.8, 63 at 0.7 and 80 at 0.6.
+    together: of 512 bits 49 differ at a likeness of 0.8, 63 at 0.7 and 80 at 0.6. Components are
+    those of all pairs that are linked so, however large a group is.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +312,11 @@ def near_copies(docs: DataFrame, k: int = PAIR, seeds: int = SEEDS, limit: int =
     each = nodes.select("rep", F.posexplode("fps").alias("seed", "fp"))
     heads = common.materialise(each.groupBy("seed", "fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "heads")
     equal = each.join(heads.filter("n > 1").withColumnRenamed("rep", "v"), ["seed", "fp"]).filter("rep <> v").select(F.col("rep").alias("u"), "v")
-    pairs = common.materialise(links(heads.select("seed", "fp", "rep"), limit).unionByName(equal).distinct(), "pairs")
-    of = lambda end: nodes.select(F.col("rep").alias(end), F.col("fps").alias(f"fps_{end}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    apart = F.aggregate(F.zip_with("fps_u", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    found = components(both.filter(apart <= LIMIT_ALL * seeds // SEEDS).select("u", "v"))
+    # One-seed links only say which nodes can be in one component; those that hold are looked for within.
+    maybe = components(links(heads.select("seed", "fp", "rep"), limit).unionByName(equal))
+    inside = common.materialise(nodes.join(maybe.withColumnRenamed("node", "rep"), "rep").select("component", "rep", "fps"), "inside")
+    dealt = _dealt(inside).repartition(common.tasks(docs.sparkSession), "key").sortWithinPartitions("key")
+    found = components(dealt.mapInArrow(lambda batches: _held(batches, limit, LIMIT_ALL * seeds // SEEDS), "u long, v long"))
     groups = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").filter("n > 1 or component < rep").select("node", F.coalesce("component", "rep").alias("component"))
     groups = common.materialise(groups, "groups")
     return fps.join(groups, "node", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -127,3 +127,34 @@ def test_prints_against_loop():
         for s in range(3):
             k = [int(x) for x in hashing.mix(h ^ np.uint64(s * 0x9E3779B97F4A7C15 & (1 << 64) - 1))]
             assert int(row[s]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in k) > len(k))
+
+
+@pytest.mark.parametrize("block", [40, 500])
+def test_near_copies_of_a_large_group_against_all_pairs(spark, monkeypatch, block):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = rnd.choices(vocabulary, k=300)
+    texts = []
+    for i in range(1200):
+        share = 0.06 * rnd.random()
+        texts.append(" ".join(rnd.choice(vocabulary) if rnd.random() < share else w for w in base))
+    texts += [texts[5] + " w1"] * 3 + [" ".join(rnd.choices(vocabulary, k=200)) for _ in range(50)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    fps = simhash.prints(pa.array(texts))
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(texts)):
+        apart = np.bitwise_count(fps[i + 1 :] ^ fps[i])
+        for j in np.flatnonzero((apart.min(axis=1) <= 4) & (apart.sum(axis=1) <= simhash.LIMIT_ALL)) + i + 1:
+            a, b = root(i), root(int(j))
+            label[max(a, b)] = min(a, b)
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert 1 < len(set(got.values())) < 1000
