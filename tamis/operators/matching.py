@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tamis.functions import text as T
 
@@ -59,25 +60,62 @@ def quote_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return found.unionByName(short).distinct()
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks similarity of two names (not an edit distance, so Spark has no function for it)."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+#: Names of either side that are compared with each other in one group.
+NAMES_LEFT, NAMES_RIGHT = 500, 5000
+
+
+def _letters(names: list[str]) -> np.ndarray:
+    """How often each name has each character, by code point modulo 64."""
+    return np.array([np.bincount(np.fromiter(map(ord, x), dtype=np.int64, count=len(x)) % 64, minlength=64) for x in names], dtype=np.int32).reshape(-1, 64)
+
+
+def _best_of(mine: list[str], names: list[str], held: list[int], least: float, top: int) -> Iterator[tuple[int, int, float]]:
+    """(i, j, score) of each of ``mine`` with the ``names`` that can be among its ``top`` rows, ``held``
+    rows for each name. No ratio is above twice the shared letters over all letters, so names are
+    scored in the order of that bound until it is below the last place."""
+    letters, length = _letters(names), np.array([len(x) for x in names])
+    for i, (a, own) in enumerate(zip(mine, _letters(mine))):
+        bound = 2 * np.minimum(letters, own).sum(axis=1) / (length + len(a))
+        inside = np.fromiter((b in a or a in b for b in names), dtype=bool, count=len(names))
+        best = [0.95] * min(top, sum(held[j] for j in np.flatnonzero(inside)))
+        yield from ((i, int(j), 0.95) for j in np.flatnonzero(inside))
+        for j in np.argsort(-bound, kind="stable").tolist():
+            if bound[j] < least - 1e-9 or (len(best) >= top and bound[j] < best[-1] - 1e-9):
+                break
+            if inside[j]:
+                continue
+            score = difflib.SequenceMatcher(None, a, names[j]).ratio()
+            if score >= least and (len(best) < top or score >= best[-1]):
+                best = sorted([*best, *[score] * held[j]], reverse=True)[:top]
+                yield i, j, score
 
 
 def best_matches(left: DataFrame, right: DataFrame, least: float = 0.3, top: int = 5) -> DataFrame:
-    """left (id, name) and right (other, name): the ``top`` most similar names among those with the
-    same longest token, as (id, other, score, place). Containment scores 0.95; names are normalized."""
-
-    def keyed(df: DataFrame, i: str) -> DataFrame:
-        longest = F.array_max(F.transform(T.long_tokens(T.normalize(F.col("name"))), lambda t: F.struct(F.length(t).alias("n"), t.alias("token"))))["token"]
-        return df.select(i, T.normalize(F.col("name")).alias(f"{i}_name"), longest.alias("token")).filter("token is not null")
-
-    pairs = keyed(left, "id").join(keyed(right, "other"), "token").drop("token")
-    inside = F.contains("id_name", F.col("other_name")) | F.contains("other_name", F.col("id_name"))
-    scored = pairs.withColumn("score", F.when(inside, 0.95).otherwise(ratio("id_name", "other_name"))).filter(F.col("score") >= least)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return scored.withColumn("place", place).filter(F.col("place") <= top).select("id", "other", "score", "place")
+    """left (id, name) and right (other, name): the ``top`` most similar of all names that score at
+    least ``least``, as (id, other, score, place). Containment scores 0.95, else the matching-blocks
+    similarity of difflib counts; names are normalized, and those that are then empty have no match.
+
+    Distinct names of both sides are dealt into groups, and every two groups meet, so no pair is
+    lost; of rows with one name only the first ``top`` can have a place.
+    """
+    place = lambda i, *by: F.row_number().over(Window.partitionBy(i).orderBy(*by))
+    mine = left.select("id", T.normalize(F.col("name")).alias("id_name")).filter("id_name <> ''")
+    theirs = right.select("other", T.normalize(F.col("name")).alias("other_name")).filter("other_name <> ''")
+    theirs = theirs.withColumn("_p", place("other_name", "other")).filter(F.col("_p") <= top).drop("_p")
+    a, b = mine.select("id_name").distinct(), theirs.groupBy("other_name").agg(F.count("*").alias("held"))
+    parts, blocks = -(-a.count() // NAMES_LEFT) or 1, -(-b.count() // NAMES_RIGHT) or 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.withColumn("part", F.pmod(F.xxhash64("id_name"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
+    b = b.withColumn("block", F.pmod(F.xxhash64("other_name"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+
+    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        p, q = x.id_name.tolist(), y.other_name.tolist()
+        found = _best_of(p, q, y.held.tolist(), least, top) if p and q else ()
+        return pd.DataFrame([(p[i], q[j], s) for i, j, s in found], columns=["id_name", "other_name", "score"]).astype({"score": float})
+
+    scored = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(score, "id_name string, other_name string, score double")
+    ranked = scored.join(theirs, "other_name").withColumn("place", place("id_name", F.desc("score"), "other")).filter(F.col("place") <= top)
+    return mine.join(ranked, "id_name").select("id", "other", "score", "place")
 
 
 def mutual_best(matches: DataFrame) -> DataFrame:

@@ -415,7 +415,7 @@ def q_nfkc_normalize(spark, t):
 
 @query()
 def q_fuzzy_match(spark, t):
-    """Page titles against the titles of documents: the best five of those with one longest token."""
+    """Page titles against the titles of documents: the best five of all that score 0.3 or more."""
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
     right = t("documents").select(F.col("doc_id").alias("other"), T.title(F.col("text")).alias("name"))
     return matching.best_matches(t("pages").select(F.col("page_id").alias("id"), title.alias("name")), right)

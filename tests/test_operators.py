@@ -1,6 +1,7 @@
 """Hand-written cases of the operators, from the formats and rules that they state."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,26 @@ def test_fuzzy_names(spark):
     assert {(r.id, r.other) for r in matching.mutual_best(matching.best_matches(left, right)).collect()} == {(1, 11), (2, 13)}
 
 
+def test_fuzzy_names_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "NAMES_LEFT", 9)
+    monkeypatch.setattr(matching, "NAMES_RIGHT", 13)
+    rnd = random.Random(5)
+    words = ["laparoscopy", "training", "of", "a", "box", "surgeons", "vr", "knots", "12"]
+    name = lambda: " ".join(rnd.choices(words, k=rnd.randint(1, 5)))
+    mine = [(i, name()) for i in range(40)] + [(90, "Laparoscopi training"), (91, "vr a"), (92, ""), (93, None), (94, "中文 标题")]
+    theirs = [(i, name()) for i in range(70)] + [(700, "Training of laparoscopy"), (701, "vr"), (702, None), (703, "中文"), (704, "vr")]
+    got = {(r.id, r.place): (r.other, r.score) for r in matching.best_matches(spark.createDataFrame(mine, "id int, name string"), spark.createDataFrame(theirs, "other int, name string")).collect()}
+    want = {}
+    for i, x in mine:
+        a, pairs = T.plain(x or ""), []
+        for j, y in theirs:
+            if a and (b := T.plain(y or "")):
+                pairs.append((0.95 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio(), j))
+        pairs = sorted((p for p in pairs if p[0] >= 0.3), key=lambda p: (-p[0], p[1]))[:5]
+        want |= {(i, k): (j, pytest.approx(s)) for k, (s, j) in enumerate(pairs, 1)}
+    assert got == want and (90, 1) in got and (91, 1) in got
+
+
 def test_judges(spark):
     docs = spark.createDataFrame([(1, "x" * 300), (2, None), (3, "licensed under " + "y" * 300)], "doc_id long, text string")
     got = {r.doc_id: (r.p, r.c, r.reason) for r in judging.judge_all(docs, judging.RuleJudge()).collect()}
