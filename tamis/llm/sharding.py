@@ -144,8 +144,23 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, toler
     return out.select("doc_id", "size", "text_crc32", F.floor(F.col("range") / ranges).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), *(["_keep.*"] if keep else []))
 
 
+def write_shards(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
+    """``docs`` written to the shared folder, a folder for each shard, and read back: all columns but
+    doc_id are carried through the exchange; size and text_crc32 are those of the texts read back."""
+    spark = docs.sparkSession
+    made = {"doc_id", "size", "text_crc32", "shard", "slot"}
+    if clash := made.intersection(docs.columns) - {"doc_id"}:
+        raise ValueError(f"columns of the shards that docs has already: {sorted(clash)}")
+    out = shards_of(docs, shards, ranges, keep=[c for c in docs.columns if c not in made]).drop("size", "text_crc32")
+    path = common.new_path(spark, "shards")
+    out.write.partitionBy("shard").parquet(path)
+    read = spark.read.schema(out.schema).parquet(path)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return read.withColumn("size", (F.octet_length(text) + 8).cast("long")).withColumn("text_crc32", F.crc32(text))
+
+
 def op8_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shards_of(common.load(spark, sf_dir, "documents"))
+    out = write_shards(common.load(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -48,3 +48,16 @@ def test_odd_tables(spark):
     assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(50))
     assert sharding.shards_of(one.limit(0)).count() == 0
     assert sharding.op8_histogram_sort_shards(spark, "/root/testdata/sf0.001").columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_shards_hold_the_documents(spark, monkeypatch):
+    paths, new_path = [], sharding.common.new_path
+    monkeypatch.setattr(sharding.common, "new_path", lambda *a: paths.append(new_path(*a)) or paths[-1])
+    got = sharding.op8_histogram_sort_shards(spark, "/root/testdata/sf0.001").collect()
+    path = next(p for p in paths if "/shards-" in p)
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    held = spark.read.parquet(path).collect()
+    assert sorted((r.doc_id, r.text, r.lang, r.source) for r in held) == sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.values())
+    assert {(r.doc_id, r.shard, r.slot) for r in held} == {(r.doc_id, r.shard, r.slot) for r in got}
+    check(got, [(d, r.text) for d, r in docs.items()], 24, 2 * max(len(r.text.encode()) + 8 for r in docs.values()))
+    assert sharding.write_shards(spark.createDataFrame([(1, None), (None, "a")], "doc_id long, text string")).count() == 2
