@@ -42,7 +42,10 @@ class WordMemo(dict):
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        #: Texts that may hold an added token (in any case of letters) are encoded whole.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.heads = {x for c in added for x in (c[0], c[0].lower(), c[0].upper())}
         self.model, self.spaced, self.code, self.limit = self.tok.model, spaced, "H", limit
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path}: ids don't fit in 16 bits")
@@ -91,11 +94,13 @@ class WordMemo(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids of ``text``, without special tokens, as little-endian 16-bit numbers."""
+        """The ids of ``text``, none added to it, as little-endian 16-bit numbers."""
         if not text:
             return b""
         if _ODD.search(text) or text[-1] in " \n" or any(run in text for run in _RUNS):
             return self.whole(text)
+        if any(c in text for c in self.heads) and self.added.search(text):
+            return self.whole(text)
         if not _INNER.search(text):
             text = text.replace(",", " ,").replace(".", " .")  # then "word," is looked up as two known words
         elif " ," in text or " ." in text:
@@ -109,7 +114,7 @@ class WordMemo(dict):
 def memo(path: str, spaced: bool) -> WordMemo:
     """The encoder of this Python worker for a vocabulary file."""
     known = _LOCAL.__dict__.setdefault("memos", {})
-    if path not in known:
+    if (path, spaced) not in known:
         known.clear()
-        known[path] = WordMemo(path, spaced)
-    return known[path]
+        known[path, spaced] = WordMemo(path, spaced)
+    return known[path, spaced]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,8 @@ def filesystem(path: str):
     """The file system of a URI or path, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    # Spark's names of S3 are not known to Arrow.
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def write_file(path: str, write: Callable) -> None:

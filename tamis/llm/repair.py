@@ -2,14 +2,16 @@
 
 A file holds blocks of whole documents in ascending id. Each block has a grammar of its own: in
 rounds, the most frequent adjacent pairs of symbols become nonterminals (never across the end of
-a document), until no pair is frequent enough, the symbol space is full or the rounds are used
-up. A round replaces all chosen pairs left to right; the pairs of a round hold symbols of earlier
-rounds only, so decoding expands round by round. A block stores its rules, the length to which
-each rule expands (so that any id range of a document is found without expanding the rest) and
-for each document its id, first symbol and number of ids.
+a document), until no pair has LEAST_USES uses, from which a rule pays, or all 16-bit symbols are
+used. The pairs of a round hold symbols of earlier rounds only. A block stores its rules, the
+length to which each rule expands (so that any id range of a document is found without expanding
+the rest) and for each document its id, first symbol and number of ids.
+
+Text that spells a special token is that token's id, as in a plain call of the library.
 
 Handling of odd rows: null texts are empty (end id alone); a null doc_id sorts first and is kept;
-repeated rows and doc_ids stay, each with ids of its own; no rows give a table of no rows.
+repeated rows and doc_ids stay, each with ids of its own, in order of text; no rows give a table of
+no rows.
 """
 
 from __future__ import annotations
@@ -29,63 +31,130 @@ from .files import filesystem, write_file
 
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIII")  # magic, documents, symbols, rules, rounds, first rule
-NO_ID = -(1 << 63)
 WIDE = 1 << 16
-
-
-def _pairs(seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacent pairs as one number each, and which of them are within a document."""
-    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    return key, (seq[:-1] != end) & (seq[1:] != end)
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 4, least: int = 24) -> tuple[np.ndarray, np.ndarray, list[int]]:
+END = WIDE - 1
+#: Uses from which a rule (8 bytes with its length) is shorter than the symbols that it saves (2 bytes a use).
+LEAST_USES = 5
+
+
+class _Pairs:
+    """A sequence of symbols with the number of adjacent pairs by hashed pair, kept up to date as
+    pairs are replaced. Counts by hash are never too small, so they tell which pairs may be frequent."""
+
+    BITS = 20
+    NONE = 1 << BITS  # the slot of pairs that go across the end of a document
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray):
+        self.seq = ids.astype(np.uint16)
+        self.seq[ends] = END
+        self.slot = np.full(len(self.seq), self.NONE, dtype=np.int32)
+        self.slot[:-1] = self._slots(np.arange(len(self.seq) - 1))
+        self.count = np.bincount(self.slot, minlength=self.NONE + 1).astype(np.int32)
+        self.count[self.NONE] = 0
+
+    def _slots(self, at: np.ndarray) -> np.ndarray:
+        a, b = self.seq[at], self.seq[at + 1]
+        out = ((a.astype(np.uint32) << np.uint32(16) | b) * np.uint32(0x9E3779B1) >> np.uint32(32 - self.BITS)).astype(np.int32)
+        out[(a == END) | (b == END)] = self.NONE
+        return out
+
+    def _add(self, slots: np.ndarray, by: int) -> None:
+        slots = np.sort(slots)
+        first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
+        self.count[slots[first]] += by * np.diff(first, append=len(slots)).astype(np.int32)
+        self.count[self.NONE] = 0
+
+    def frequent(self, cut: int, within: np.ndarray | None = None) -> np.ndarray:
+        """Places (of ``within``) whose pair may occur ``cut`` times."""
+        if within is None:
+            return np.flatnonzero(self.count.take(self.slot) >= cut)
+        return within[self.count[self.slot[within]] >= cut]
+
+    def choose(self, at: np.ndarray, cut: int, least: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the candidate places: pairs that occur ``cut`` times, the most frequent first, and the
+        places to replace with the number of their pair. Of places that overlap the one with the
+        more frequent pair is taken; a pair that so keeps fewer than ``least`` uses is not chosen."""
+        code = np.sort(self.seq[at].astype(np.uint64) << np.uint64(48) | self.seq[at + 1].astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
+        key = (code >> np.uint64(32)).astype(np.uint32)
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(start, append=len(key))
+        some = np.flatnonzero(n >= cut)
+        some = some[np.argsort(-n[some], kind="stable")][:room]
+        rank = np.zeros(len(n), dtype=np.uint32)
+        rank[some] = np.arange(len(some), 0, -1)  # 0: not chosen
+        each = np.repeat(rank, n)
+        code = (code << np.uint64(32) | each)[each > 0]
+        code.sort()
+        at, each = (code >> np.uint64(32)).astype(np.int64), code.astype(np.uint32).astype(np.int32)
+        near = at[1:] - at[:-1] == 1
+        same = np.concatenate(([False], near & (each[1:] == each[:-1])))
+        if same.any():  # of a run of one symbol every other place
+            place = np.arange(len(each))
+            each[(place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 1] = 0
+        ok = each > 0
+        ok[1:] &= ~near | (each[1:] > each[:-1])
+        ok[:-1] &= ~near | (each[:-1] > each[1:])
+        at, each = at[ok], each[ok]
+        good = np.bincount(each, minlength=len(some) + 1) >= least
+        good[0] = False
+        number = np.cumsum(good[::-1])[::-1] - 1
+        ok = good[each]
+        return key[start[some]][good[:0:-1]], at[ok], number[each[ok]]
+
+    def replace(self, at: np.ndarray, symbols: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Puts ``symbols`` in place of the pairs at ``at``. Returns the places, in the shorter
+        sequence, of pairs that changed and of ``others`` that are left."""
+        flag = np.zeros(len(self.seq), dtype=bool)
+        for d in (-1, 0, 1):
+            flag[at + d] = True
+        flag[-1] = False  # where place 0 was replaced; the last place has no pair
+        self._add(self.slot[flag], -1)
+        self.seq[at] = symbols
+        stay = np.ones(len(self.seq), dtype=bool)
+        stay[at + 1] = False
+        flag[:] = False
+        flag[at - 1] = True
+        flag[at] = True
+        flag[-1] = False
+        fresh = flag[stay]
+        flag[others] = True
+        self.seq, self.slot = self.seq[stay], self.slot[stay]
+        changed = np.flatnonzero(fresh)
+        self.slot[changed] = self._slots(changed)
+        self._add(self.slot[changed], 1)
+        return np.flatnonzero(flag[stay])
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = LEAST_USES, step: int = 64) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Symbols of ``ids`` (whole documents, ``ends``: positions of their last ids), rules (left,
-    right), and the number of rules after each round. Symbol WIDE - 1 stands for a document's end."""
-    seq = ids.astype(np.uint32)
-    end = WIDE - 1
-    seq[ends] = end
+    right), and the number of rules after each round. Symbol END stands for a document's end.
+
+    Pairs that occur ``cut`` times are replaced in rounds, then the cut is lowered, down to
+    ``least``; there the rounds go on until no pair has so many uses (or no symbol is left)."""
+    pairs = _Pairs(ids, ends)
     rules: list[np.ndarray] = []
     counts: list[int] = []
-    room = end - first_rule
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
+    number = first_rule
+    cut = max(least, int(pairs.count.max(initial=0)) // step)
+    at = pairs.frequent(cut)
+    while number < END:
+        chosen = np.zeros(0, np.uint32)
+        if len(at):
+            chosen, spots, which = pairs.choose(at, cut, least, END - number)
+        if not len(chosen) and cut == least:
             break
-        key, inner = _pairs(seq, end)
-        ordered = np.sort(key[inner])
-        if not len(ordered):
-            break
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        n = np.diff(starts, append=len(ordered))
-        often = np.flatnonzero(n >= least)
-        if not len(often):
-            break
-        often = often[np.argsort(-n[often], kind="stable")][: min(room, 4096)]
-        chosen = ordered[starts[often]]
-        number = first_rule + (counts[-1] if counts else 0)
-        # A table by hashed pair; of pairs with one slot the more frequent stays, the rest wait for the next round.
-        bits = 18
-        mix = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        slot_key = np.full(1 << bits, np.iinfo(np.uint64).max, dtype=np.uint64)
-        slot_key[mix(chosen)[::-1]] = chosen[::-1]
-        chosen = chosen[slot_key[mix(chosen)] == chosen]
-        slot_rule = np.zeros(1 << bits, dtype=np.uint32)
-        slot_rule[mix(chosen)] = number + np.arange(len(chosen), dtype=np.uint32)
-        slots = mix(key)
-        at = np.flatnonzero((slot_key[slots] == key) & inner)
-        run = np.concatenate(([True], np.diff(at) != 1)) if len(at) else np.zeros(0, bool)
-        place = np.arange(len(at))
-        at = at[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]  # of overlapping pairs the left one
-        seq[at] = slot_rule[slots[at]]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)], 1))
-        counts.append((counts[-1] if counts else 0) + len(chosen))
-        room -= len(chosen)
-        if len(at) < 0.01 * len(key):
-            break
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), counts
+        few = not len(chosen) or len(spots) < len(at) // 4
+        if len(chosen):
+            at = pairs.replace(spots, number + which, at)
+            rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(END)], 1))
+            number += len(chosen)
+            counts.append(number - first_rule)
+        if few and cut > least:
+            cut = max(least, cut // step)
+            at = pairs.frequent(cut)
+        else:
+            at = pairs.frequent(cut, at)
+    return pairs.seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), counts
 
 
 def expansion_lengths(rules: np.ndarray, counts: list[int], first_rule: int) -> np.ndarray:
@@ -98,21 +167,27 @@ def expansion_lengths(rules: np.ndarray, counts: list[int], first_rule: int) ->
     return out[first_rule : first_rule + done]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, counts: list[int], first_rule: int) -> np.ndarray:
-    """The ids of ``symbols``, but for the ends of documents, which stay WIDE - 1."""
-    seq = symbols.astype(np.uint32)
-    left, right = rules[:, 0], rules[:, 1]
-    for low, high in reversed(list(zip([0, *counts], counts))):
-        hit = (seq >= first_rule + low) & (seq < first_rule + high)
-        if not hit.any():
-            continue
-        at = np.arange(len(seq)) + np.concatenate(([0], np.cumsum(hit)[:-1]))
-        out = np.empty(len(seq) + int(hit.sum()), dtype=np.uint32)
-        out[at] = seq
-        rule, spot = seq[hit] - first_rule, at[hit]
-        out[spot], out[spot + 1] = left[rule], right[rule]
-        seq = out
-    return seq
+class Grammar:
+    """The expansion of every symbol, one after the other, so that symbols expand by one gather."""
+
+    def __init__(self, rules: np.ndarray, counts: list[int], first_rule: int):
+        self.flat = np.arange(WIDE, dtype=np.uint16)
+        self.start, self.size = np.arange(WIDE, dtype=np.int64), np.ones(WIDE, dtype=np.int64)
+        done = 0
+        for upto in counts:  # a round's rules hold symbols of earlier rounds only
+            ids = self.expand(rules[done:upto].reshape(-1))
+            size = self.size[rules[done:upto]].sum(1)
+            here = slice(first_rule + done, first_rule + upto)
+            self.start[here], self.size[here] = len(self.flat) + np.cumsum(size) - size, size
+            self.flat = np.concatenate((self.flat, ids))
+            done = upto
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of ``symbols``; the ends of documents stay END."""
+        size = self.size[symbols]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.repeat(self.start[symbols] - upto + size, size) + np.arange(total)]
 
 
 def write_block(doc_ids: list, parts: list[bytes], end_id: int, vocabulary: int) -> tuple[bytes, int]:
@@ -123,9 +198,9 @@ def write_block(doc_ids: list, parts: list[bytes], end_id: int, vocabulary: int)
     ids = np.frombuffer(b"".join(x for p in parts for x in (p, tail)), dtype="<u2")
     symbols, rules, counts = compress(ids, ends, vocabulary)
     lengths = expansion_lengths(rules, counts, vocabulary)
-    starts = np.concatenate(([0], np.flatnonzero(symbols == WIDE - 1)[:-1] + 1)).astype("<u4")
+    starts = np.concatenate(([0], np.flatnonzero(symbols == END)[:-1] + 1)).astype("<u4")
     body = [
-        np.array([NO_ID if d is None else d for d in doc_ids], dtype="<i8").tobytes(), starts.tobytes(), sizes.astype("<u4").tobytes(),
+        np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), np.array([d is None for d in doc_ids], dtype="u1").tobytes(), starts.tobytes(), sizes.astype("<u4").tobytes(),
         np.array(counts, dtype="<u4").tobytes(), rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(),
     ]
     head = _HEAD.pack(MAGIC, len(parts), len(symbols), len(rules), len(counts), vocabulary)
@@ -142,15 +217,16 @@ class Block:
         self.end_id, _ = struct.unpack_from("<IQ", raw, _HEAD.size)
         at = _HEAD.size + 12
         out = []
-        for kind, n in (("<i8", docs), ("<u4", docs), ("<u4", docs), ("<u4", rounds), ("<u2", 2 * rules), ("<u4", rules), ("<u2", symbols)):
+        for kind, n in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", docs), ("<u4", rounds), ("<u2", 2 * rules), ("<u4", rules), ("<u2", symbols)):
             out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
             at += np.dtype(kind).itemsize * n
-        self.doc_ids, self.starts, self.sizes, counts, pairs, self.lengths, self.symbols = out
-        self.counts, self.rules = counts.tolist(), pairs.reshape(-1, 2).astype(np.uint32)
+        self.doc_ids, nulls, self.starts, self.sizes, counts, pairs, self.lengths, self.symbols = out
+        self.nulls, self.rules = nulls.astype(bool), pairs.reshape(-1, 2)
+        self.grammar = Grammar(self.rules, counts.tolist(), self.first_rule)
 
     def all_ids(self) -> np.ndarray:
-        ids = expand(self.symbols, self.rules, self.counts, self.first_rule)
-        ids[ids == WIDE - 1] = self.end_id
+        ids = self.grammar.expand(self.symbols)
+        ids[ids == END] = self.end_id
         return ids
 
     def ids(self, place: int, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -160,18 +236,18 @@ class Block:
         size = int(self.sizes[place])
         stop = size if stop is None else min(stop, size)
         if start >= stop:
-            return np.zeros(0, dtype=np.uint32)
+            return np.zeros(0, dtype=np.uint16)
         each = np.ones(WIDE, dtype=np.int64)
         each[self.first_rule : self.first_rule + len(self.lengths)] = self.lengths
         upto = np.cumsum(each[own])
         a, b = np.searchsorted(upto, start, side="right"), np.searchsorted(upto, stop, side="left") + 1
         skip = start - (int(upto[a - 1]) if a else 0)
-        ids = expand(own[a:b], self.rules, self.counts, self.first_rule)
-        ids[ids == WIDE - 1] = self.end_id
+        ids = self.grammar.expand(own[a:b])
+        ids[ids == END] = self.end_id
         return ids[skip : skip + stop - start]
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabulary: int = 50257, end_id: int = 0, block_ids: int = 1 << 19) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 0, block_ids: int = 1 << 19) -> None:
     """Encodes the texts of ``docs`` (doc_id, text) and writes them in ascending doc_id under ``path``.
 
     One exchange by ranges of doc_id; each task streams its range into one file, a block at a
@@ -201,7 +277,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabula
                 yield finish(ids, parts)
 
         def finish(ids: list, parts: list) -> bytes:
-            block, n = write_block(ids, parts, end_id, vocabulary)
+            block, n = write_block(ids, parts, end_id, words.tok.get_vocab_size())
             total["docs"] += len(ids)
             total["ids"] += n
             return struct.pack("<Q", len(block)) + block
@@ -216,7 +292,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, vocabula
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange(common.tasks(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(store, "part long, file string, n_docs long, n_ids long").write.parquet(f"{path}/manifest")
+    rows.repartitionByRange(common.tasks(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(store, "part long, file string, n_docs long, n_ids long").write.parquet(f"{path}/manifest")
 
 
 def _blocks(name: str) -> Iterator[Block]:
@@ -239,7 +315,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
                     bounds = np.concatenate(([0], np.cumsum(block.sizes.astype(np.int64))))
                     cuts = [memoryview(raw)[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                     last = pa.array([zlib.crc32(c) for c in cuts], pa.int64()) if digest else pa.array([c.tobytes() for c in cuts], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.doc_ids == NO_ID), pa.array(start + bounds[:-1]), pa.array(block.sizes.astype(np.int64)), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.nulls), pa.array(start + bounds[:-1]), pa.array(block.sizes.astype(np.int64)), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
                     start += int(bounds[-1])
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

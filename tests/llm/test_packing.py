@@ -41,7 +41,6 @@ def test_plan_fits_the_histogram():
 
 def check(got, docs, window):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     want = sorted((d or -9, len(ids := [*tok.encode(t or "", add_special_tokens=False).ids, 1]), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, t in docs)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
