@@ -61,11 +61,38 @@ def test_taken(spark):
     assert mixing.taken(docs.limit(0)).count() == 0
 
 
-def test_mix_follows_the_plan(spark):
+def test_mix_follows_the_tree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    plan = {r.doc_id: (r.taken, sorted(r.shards)) for r in mixing.taken(docs, shards=8).collect()}
-    seen = defaultdict(lambda: [0, []])
-    for r in mixing.mix(docs, shards=8).select("mixed.*").collect():
-        seen[r.row.doc_id][0] += r.words
-        seen[r.row.doc_id][1].append(r.shard)
-    assert {d: (w, sorted(s)) for d, (w, s) in seen.items()} == {d: x for d, x in plan.items() if x[0]}
+    plan = {r.doc_id: r.taken for r in mixing.taken(docs, shards=8).collect()}
+    seen, where = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    last = {}
+    for r in mixing.mix(docs, shards=8).select("mixed.*").collect():  # in the order of the partitions
+        seen[r.row.doc_id] += r.words
+        where[r.shard][r.row.source] += r.words
+        assert last.get(r.shard, r.place) <= r.place
+        last[r.shard] = r.place
+    assert dict(seen) == {d: x for d, x in plan.items() if x}
+    assert set(where) == set(range(8))
+    every = sum(plan.values())
+    for source in {r.source for r in docs.select("source").distinct().collect()}:
+        share = sum(w[source] for w in where.values()) / every
+        assert all(abs(w[source] / sum(w.values()) - share) < 0.25 for w in where.values())
+
+
+def test_a_changed_tree_changes_what_is_taken(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = mixing.taken(docs, shards=8).collect()
+    none = mixing.taken(docs, shards=8, tree=lambda quotas, shards, seed: np.zeros((shards, len(quotas)), np.int64)).collect()
+    assert all(r.taken == 0 for r in none) and len(none) == len(whole)
+
+    def half(quotas, shards, seed):  # the later shards stay empty
+        out = mixing.splitting_tree(quotas, shards, seed)
+        out[shards // 2 :] = 0
+        return out
+
+    some = mixing.taken(docs, shards=8, tree=half).collect()
+    part = sum(r.taken for r in some) / sum(r.taken for r in whole)
+    assert 0.35 < part < 0.65 and all(r.taken <= 3 * r["size"] for r in some)
+    other = lambda q, s, seed: mixing.splitting_tree(q, s, seed + 1)
+    a, b = ({(r.mixed.row.doc_id, r.mixed["pass"]): r.mixed.shard for r in mixing.mix(docs, shards=8, tree=t).collect()} for t in (mixing.splitting_tree, other))
+    assert set(a) == set(b) and a != b
