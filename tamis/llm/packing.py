@@ -7,9 +7,9 @@ they use up the histogram (weighted by length). Repeats are rounded to what the
 what is left is matched with the same combinations greedily, and the rest, which no combination
 takes, is laid end to end and cut at windows, so that only its last window has padding.
 
-Only the histogram (units times BUCKETS) and the chosen combinations are on the driver. Pieces are
-ranked within (length, bucket) and find their window by rank; ids are never exchanged, but for
-those pieces that are cut once more.
+Only the histogram and the chosen combinations are on the driver. Pieces are numbered by length
+while they are made, so a piece finds its window by rank without a sort; windows with their ids
+and the spans of documents in them are written, and placements are read from the windows.
 
 Handling of odd rows: a null or empty text is one piece with the end id alone; documents that
 repeat a doc_id are packed each; a null doc_id is kept; no rows give no rows.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 from .encoding import memo
 
-WINDOW, UNIT, DEPTH, BUCKETS = 2048, 8, 3, 64
+WINDOW, UNIT, DEPTH = 2048, 8, 3
 END_ID = 1
 
 
@@ -108,55 +108,50 @@ def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...
     return sorted(chosen.items(), reverse=True)
 
 
-def tokenize(docs: DataFrame, vocabulary_path: str, spaced: bool = False, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most a window: piece (a number of its own), doc_id, start, length, ids_crc32,
-    doc_tokens and ids (16-bit little-endian). Written to the shared folder."""
+def tokenize(docs: DataFrame, vocabulary_path: str, spaced: bool = False, window: int = WINDOW, end_id: int = END_ID, unit: int = UNIT) -> DataFrame:
+    """Pieces of at most a window: part and nth (a piece's task, and its number among the task's
+    pieces of as many units), before (the ids of those), doc_id, start, length, doc_tokens, units
+    and ids (16-bit little-endian). Written to the shared folder."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, number = memo(vocabulary_path, spaced), TaskContext.get().partitionId() << 36
+        words, part = memo(vocabulary_path, spaced), TaskContext.get().partitionId()
         tail = np.array([end_id], dtype="<u2").tobytes()
+        seen, upto = [0] * (window // unit + 1), [0] * (window // unit + 1)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = words.encode(text or "") + tail
                 total = len(raw) // 2
                 for start in range(0, total, window):
                     ids = raw[2 * start : 2 * (start + window)]
-                    for column, value in zip(out, (number, doc, start, len(ids) // 2, zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4")), total, ids)):
+                    n = len(ids) // 2
+                    u = -(-n // unit)
+                    for column, value in zip(out, (seen[u], upto[u], doc, start, n, total, u, ids)):
                         column.append(value)
-                    number += 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], names=["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                    seen[u] += 1
+                    upto[u] += n
+            rows = len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * rows, pa.int32()), *(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.int32()), pa.array(out[7], pa.binary())], names=["part", "nth", "before", "doc_id", "start", "length", "doc_tokens", "units", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.materialise(rows.mapInArrow(run, "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"), "pieces")
-
-
-def _crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, a, b = (batch.column(i).to_pylist() for i in (0, 1, 2))
-        crcs = [zlib.crc32(np.frombuffer(x, "<u2")[i:j].astype("<u4")) for x, i, j in zip(ids, a, b)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(crcs, pa.int64())], names=[*batch.schema.names[1:], "ids_crc32"])
+    return common.materialise(rows.mapInArrow(run, "part int, nth long, before long, doc_id long, start long, length long, doc_tokens long, units int, ids binary"), "pieces", "zstd")
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> DataFrame:
-    """Where the pieces of ``tokenize`` go: one row per piece, or per part of it where it is cut
-    again, with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, piece."""
+    """The windows of the pieces of ``tokenize``, written to the shared folder: sequence_id, ids
+    (at most a window, 16-bit) and pieces, an array of (doc_id, start, length, doc_tokens) in order.
+
+    A piece's rank among all of its units is its number within its task, after the pieces of the
+    tasks before; ranks say which window it goes to. So nothing but the ids themselves is
+    exchanged, once, by window. What tasks hold by units is a row per task."""
     spark = pieces.sparkSession
     units = window // unit
-    size = F.ceil(F.col("length") / unit).cast("int").alias("units")
-    slim = pieces.select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", size, F.pmod(F.xxhash64("piece"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    counts = {(r.units, r.bucket): r.n for r in slim.groupBy("units", "bucket").agg(F.count("*").alias("n")).collect()}
+    each = common.materialise(pieces.groupBy("part", "units").agg(F.count("*").alias("n"), F.sum("length").alias("ids")), "counts")
     histogram = np.zeros(units + 1, dtype=np.int64)
-    for (u, _), n in counts.items():
-        histogram[u] += n
-    first: dict[tuple[int, int], int] = {}
-    for u in range(1, units + 1):
-        upto = 0
-        for b in range(BUCKETS):
-            first[u, b] = upto
-            upto += counts.get((u, b), 0)
+    for r in each.groupBy("units").agg(F.sum("n").alias("n")).collect():
+        histogram[r.units] = r.n
     used, windows, ranges = np.zeros(units + 1, dtype=np.int64), 0, []
     for combo, n in plan(histogram, depth):
         for place, u in enumerate(combo):
@@ -164,50 +159,64 @@ def pack(pieces: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int =
             used[u] += n
         windows += n
 
-    firsts = F.broadcast(spark.createDataFrame([(u, b, n, int(used[u])) for (u, b), n in first.items() if (u, b) in counts], "units int, bucket int, first long, used long"))
-    order = Window.partitionBy("units", "bucket").orderBy("piece")
-    ranked = slim.join(firsts, ["units", "bucket"]).withColumn("rank", F.row_number().over(order) - 1 + F.col("first"))
-    ranked = common.materialise(ranked.drop("first"), "ranked")
-
-    table = F.broadcast(spark.createDataFrame(ranges, "units int, low long, high long, base long, place int"))
-    fitted = ranked.filter("rank < used").join(table, "units").filter("rank >= low and rank < high").withColumn("sequence_id", F.col("base") + F.col("rank") - F.col("low"))
-    earlier = F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "piece"]
-    fitted = fitted.withColumn("offset", earlier).select(*columns)
-
-    # The rest end to end: tokens before each (length, bucket), then before each piece in it.
-    rest = ranked.filter("rank >= used")
-    before, upto = [], 0
-    for r in sorted(rest.groupBy("units", "bucket").agg(F.sum("length").alias("n")).collect(), key=lambda r: (-r.units, r.bucket)):
-        before.append((r.units, r.bucket, upto))
-        upto += r.n
-    before_df = F.broadcast(spark.createDataFrame(before, "units int, bucket int, before long"))
-    at = F.col("before") + F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = rest.join(before_df, ["units", "bucket"]).withColumn("at", at)
+    order = Window.partitionBy("units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = each.select("part", "units", *[F.coalesce(F.sum(c).over(order), F.lit(0)).cast("long").alias(c) for c in ("n", "ids")])
+    at = lambda c: F.map_from_entries(F.collect_list(F.struct("units", c)))
+    first = common.materialise(first.groupBy("part").agg(at("n").alias("_n"), at("ids").alias("_ids")).withColumnRenamed("part", "_part"), "first")
+    limits = F.array(*[F.lit(int(n)) for n in used])
+    ranked = pieces.join(first, F.col("part") == F.col("_part"))
+    ranked = ranked.withColumn("rank", F.element_at("_n", F.col("units")) + F.col("nth")).withColumn("at", F.element_at("_ids", F.col("units")) + F.col("before")).drop("_part", "_n", "_ids", "part", "nth", "before")
+    piece = F.struct("doc_id", "start", "length", "doc_tokens").alias("piece")
+
+    table = F.broadcast(spark.createDataFrame(ranges, "_units int, low long, high long, base long, place int"))
+    fitted = ranked.join(table, (F.col("units") == F.col("_units")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    fitted = fitted.select((F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("place").cast("long").alias("place"), piece, "ids")
+
+    # The rest end to end, the longest first; where the rest of each units begins is one row.
+    begins = {r.units: r.at for r in ranked.filter(F.col("rank") == F.element_at(limits, F.col("units") + 1)).select("units", "at").collect()}
+    total = {r.units: r.ids for r in each.groupBy("units").agg(F.sum("ids").alias("ids")).collect()}
+    shift, upto = [0] * (units + 1), 0
+    for u in sorted(begins, reverse=True):
+        shift[u] = upto - begins[u]
+        upto += total[u] - begins[u]
+    laid = ranked.filter(F.col("rank") >= F.element_at(limits, F.col("units") + 1)).withColumn("at", F.col("at") + F.element_at(F.array(*map(F.lit, shift)), F.col("units") + 1))
     laid = laid.withColumn("w", F.explode(F.sequence(F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("length") - 1) / window))))
-    low, high = F.greatest(F.col("at"), F.col("w") * window), F.least(F.col("at") + F.col("length"), (F.col("w") + 1) * window)
-    laid = laid.select(*columns[:5], "piece", (low - F.col("at")).alias("a"), (high - F.col("at")).alias("b"), (F.col("w") + windows).alias("sequence_id"), (low - F.col("w") * window).alias("offset"))
-    laid = common.materialise(laid, "laid")
-    whole = laid.filter("b - a = length").select(*columns)
-    cut = laid.filter("b - a < length").drop("ids_crc32").join(pieces.select("piece", "ids"), "piece")
-    cut = cut.select("ids", "a", "b", *[c for c in columns if c != "ids_crc32"]).mapInArrow(_crc, "a long, b long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, piece long, ids_crc32 long")
-    cut = cut.withColumn("start", F.col("start") + F.col("a")).withColumn("length", F.col("b") - F.col("a")).select(*columns)
-    return fitted.unionByName(whole).unionByName(cut)
+    low, high = F.greatest(F.col("at"), F.col("w") * window) - F.col("at"), F.least(F.col("at") + F.col("length"), (F.col("w") + 1) * window) - F.col("at")
+    laid = laid.withColumn("a", low).withColumn("b", high)
+    cut = F.expr("substring(ids, int(2 * a) + 1, int(2 * (b - a)))")
+    laid = laid.select((F.col("w") + windows).alias("sequence_id"), F.col("at").alias("place"), F.struct("doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("b") - F.col("a")).alias("length"), "doc_tokens").alias("piece"), cut.alias("ids"))
+
+    parts = fitted.unionByName(laid).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("place", "piece", "ids"))).alias("p"))
+    ids = F.aggregate("p", F.expr("X''"), lambda a, p: F.concat(a, p["ids"]))
+    return common.materialise(parts.select("sequence_id", ids.alias("ids"), F.col("p.piece").alias("pieces")), "windows", "zstd")
 
 
-def sequences(packed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids): the ids of each sequence, at most a window, as 16-bit binary."""
-    own = packed.join(pieces.select("piece", F.col("start").alias("_from"), "ids"), "piece")
-    part = F.expr("substring(ids, int(2 * (start - _from)) + 1, int(2 * length))")
-    parts = own.select("sequence_id", "length", F.struct("offset", part.alias("ids")).alias("p")).groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list("p")).alias("p"))
-    return parts.select("sequence_id", "length", F.aggregate("p", F.expr("X''"), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
+def placements(packed: DataFrame) -> DataFrame:
+    """One row per piece of the windows of ``pack``, read from them: doc_id, start, length,
+    ids_crc32 (of the ids that the window has there), doc_tokens, sequence_id, offset."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, ids, own = batch.columns
+            flat = own.flatten()
+            n = np.diff(own.offsets.to_numpy())
+            length = flat.field("length").to_numpy()
+            upto = np.cumsum(length)
+            window = np.repeat(np.arange(len(n)), n)
+            lead = np.concatenate(([0], upto))[np.cumsum(n) - n]
+            offset = upto - length - lead[window]
+            raw = [np.frombuffer(x, "<u2").astype("<u4") for x in ids.to_pylist()]
+            crcs = [zlib.crc32(raw[w][a : a + k]) for w, a, k in zip(window.tolist(), offset.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays([flat.field("doc_id"), flat.field("start"), flat.field("length"), pa.array(crcs, pa.int64()), flat.field("doc_tokens"), sequence.take(pa.array(window)), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return packed.select("sequence_id", "ids", "pieces").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     """The pieces of ``docs`` packed with the production vocabulary and window."""
     import public_tokenizers
 
-    return pack(tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))).drop("piece")
+    return placements(pack(tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))))
 
 
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
