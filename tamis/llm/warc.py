@@ -1,23 +1,29 @@
 """WARC archives: a writer, and a Python data source that reads headers first.
 
-Archives are ``.warc.gz`` with one gzip member per record. A member's header has an extra field
-``sl`` with the lengths of the member and of what it holds, so a reader jumps over a record after
-its WARC header, or before it, without inflating the rest.
+Archives are written as ``.warc.gz`` with one gzip member per record, at most ROLL bytes a file, so
+that a file is work for one task. A member's header has an extra field ``sl`` with the lengths of
+the member and of what it holds, so a reader jumps over a record after its WARC header without
+reading or inflating the rest. Archives of others are read too: ``.warc.gz`` of any gzip members is
+inflated as a stream, of which unwanted payloads are passed over but not kept, and in ``.warc`` they
+are skipped by Content-Length. Records of all types are rows; digests in base32 are given as hex.
 
 ``spark.read.format("warc").schema(...).load(path)`` has the columns of SCHEMA, or those of them
 that the given schema names. Partitions are planned from file sizes: small files share one.
 Filters on columns that the WARC header holds are pushed into the reader (with
 ``spark.sql.python.filterPushdown.enabled``, which ``register`` sets); payloads of other records,
 and all payloads where the schema has none, stay compressed. With option ``verify`` each payload
-is inflated and held against length and digest of its header.
+is inflated and held against length and digest of its header. Where the header has no length of
+the payload, it is that of the block (revisits: null); HTTP headers are not part of a payload.
 
 Handling of odd rows: a null html is an empty payload, a null or odd url is written percent-encoded;
 a null page_id has an empty record number, reads back null and is a response; rows that repeat a page_id with its
-payload are all responses (none has a larger page_id); no rows write no archive and read as none.
+payload are all responses (none has a larger page_id); no rows write no archive, and a folder without
+archives has no rows; a record cut off at the end of an archive is an error.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -34,7 +40,9 @@ from . import common
 from .files import filesystem, write_file
 
 SCHEMA = "record_type string, record_id string, page_id long, target_uri string, date string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-LEAST_BYTES = 1000
+LEAST_BYTES, ROLL = 1000, 128 << 20
+#: Bytes read at once, and at first of a record.
+CHUNK, HEAD = 1 << 18, 1 << 12
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:x-page:"
 _MEMBER = struct.Struct("<BBBBIBBHBBHII")  # gzip header with one extra subfield of two lengths
@@ -75,22 +83,31 @@ def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return slim.join(repeated, "digest").filter("page_id < refers_to")
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least: int = LEAST_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least: int = LEAST_BYTES, roll: int = ROLL) -> None:
     """Writes each row of ``pages`` (page_id, url, html) as a record of archives under ``path``."""
 
     def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, n = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz", [0]
-
-        def write(out) -> None:
-            for batch in batches:
-                for page, url, html, of in zip(*(c.to_pylist() for c in batch.columns)):
-                    out.write(member(record(page, url, (html or "").encode(), of, date)))
-                    n[0] += 1
-
-        write_file(name, write)
-        yield pa.RecordBatch.from_pydict({"file": [name], "records": n})
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        row, files = next(rows, None), 0
+        while row is not None:
+            name, n = f"{path}/part-{TaskContext.get().partitionId():06d}-{files:04d}.warc.gz", 0
+
+            def write(out) -> None:
+                nonlocal row, n
+                size = 0
+                while row is not None and size < roll:
+                    page, url, html, of = row
+                    data = member(record(page, url, (html or "").encode(), of, date))
+                    out.write(data)
+                    size += len(data)
+                    n += 1
+                    row = next(rows, None)
+
+            write_file(name, write)
+            files += 1
+            yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
 
     again = common.materialise(revisits(pages, least).distinct(), "revisits").withColumnRenamed("page_id", "_page")
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -111,6 +128,21 @@ def _number(urn: str | None) -> int | None:
     return int(n) if re.fullmatch(r"-?\d+", n) else None
 
 
+def _digest(value: str | None) -> str | None:
+    """A SHA-1 as bare lower-case hex, from hex or base32; other digests as they are."""
+    kind, _, digest = (value or "").strip().rpartition(":")
+    if kind.lower() in ("", "sha1") and re.fullmatch(r"[A-Z2-7a-z]{32}", digest):
+        return base64.b32decode(digest.upper()).hex()
+    return digest.lower() or None if kind.lower() in ("", "sha1") else value
+
+
+def _length(h: dict) -> int | None:
+    if "x-payload-length" in h:
+        return int(h["x-payload-length"])
+    http = h.get("content-type", "").startswith("application/http")
+    return None if http or h.get("warc-type") == "revisit" else int(h["content-length"])
+
+
 #: Columns that the WARC header alone gives.
 FROM_HEADER: dict[str, Callable[[dict], object]] = {
     "record_type": lambda h: h.get("warc-type"),
@@ -119,8 +151,8 @@ FROM_HEADER: dict[str, Callable[[dict], object]] = {
     "target_uri": lambda h: h.get("warc-target-uri"),
     "date": lambda h: h.get("warc-date"),
     "refers_to": lambda h: _number(h.get("warc-refers-to")),
-    "payload_digest": lambda h: (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
-    "payload_bytes": lambda h: int(h["x-payload-length"]) if "x-payload-length" in h else None,
+    "payload_digest": lambda h: _digest(h.get("warc-payload-digest")),
+    "payload_bytes": _length,
 }
 _TESTS: dict[type, Callable] = {
     EqualTo: lambda a, b: a is not None and a == b, In: lambda a, b: a is not None and a in b, GreaterThan: lambda a, b: a is not None and a > b, GreaterThanOrEqual: lambda a, b: a is not None and a >= b,
@@ -166,43 +198,171 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         files, at = filesystem(self.path)
-        found = files.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
-        return [Files(names) for names in plan([(x.path, x.size) for x in found if x.path.endswith(".warc.gz")], self.target)]
+        found = files.get_file_info([at])[0]
+        found = [found] if found.type == fs.FileType.File else files.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
+        return [Files(names) for names in plan([(x.path, x.size) for x in found if x.path.endswith((".warc.gz", ".warc"))], self.target)] or [Files([])]
+
+    def _row(self, h: dict, payload: bytes | None) -> tuple:
+        if payload is not None and self.verify:
+            digest, size = FROM_HEADER["payload_digest"](h), FROM_HEADER["payload_bytes"](h)
+            if (digest and hashlib.sha1(payload).hexdigest() != digest) or (size is not None and len(payload) != size):
+                raise ValueError(f"payload of {h.get('warc-record-id')} differs from its header")
+        return tuple(payload if c == "payload" else FROM_HEADER[c](h) for c in self.columns)
+
+    def _wanted(self, h: dict) -> tuple[bool, bool]:
+        """Whether a record is a row, and whether its payload is needed for that."""
+        row = all(_TESTS[kind](FROM_HEADER[name](h), value) for name, kind, value in self.tests)
+        return row, row and h.get("warc-type") != "revisit" and (self.verify or "payload" in self.columns)
 
     def rows(self, source) -> Iterator[tuple]:
-        """The wanted records of one archive."""
-        while start := source.read(_MEMBER.size):
+        """The wanted records of one archive (a file that can seek)."""
+        start = source.read(_MEMBER.size)
+        source.seek(0)
+        if start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl":
+            yield from self._members(source)
+        elif start[:2] == b"\x1f\x8b":
+            yield from self._records(_Inflated(source))
+        elif start:
+            yield from self._records(_Plain(source))
+
+    def _members(self, source) -> Iterator[tuple]:
+        """Members with their lengths: only headers, and payloads that are needed, are inflated."""
+        held = _Plain(source)
+        while start := held.take(_MEMBER.size):
+            if len(start) < _MEMBER.size:
+                raise ValueError("an archive that ends within a record")
             *kind, size, _ = _MEMBER.unpack(start)
             if kind[:4] != [0x1F, 0x8B, 8, 4] or kind[8:10] != [ord("s"), ord("l")]:
-                raise ValueError("a member without its lengths")
-            data = source.read(size - _MEMBER.size)
-            inflate, head = zlib.decompressobj(-15), b""
-            rest = data[:-8]
-            while (end := head.find(b"\r\n\r\n")) < 0 and rest:
-                head += inflate.decompress(rest, 1024)
+                held.back(len(start))  # other members follow
+                yield from self._records(_Inflated(held))
+                return
+            left = size - _MEMBER.size
+            inflate, head, rest = zlib.decompressobj(-15), b"", b""
+            while (end := head.find(b"\r\n\r\n")) < 0:
+                if not rest:
+                    rest = held.take(min(HEAD, left))
+                    left -= len(rest)
+                    if not rest:
+                        raise ValueError("a record without a header")
+                head += inflate.decompress(rest, HEAD)
                 rest = inflate.unconsumed_tail
             h = headers(head[:end])
-            if not all(_TESTS[kind](FROM_HEADER[name](h), value) for name, kind, value in self.tests):
-                continue
+            row, needed = self._wanted(h)
             payload = None
-            if h.get("warc-type") != "revisit" and (self.verify or "payload" in self.columns):
-                whole = head + inflate.decompress(rest) + inflate.flush()
-                if self.verify and zlib.crc32(whole) != struct.unpack("<I", data[-8:-4])[0]:
+            if needed:
+                data = rest + held.take(left)
+                whole = head + inflate.decompress(data) + inflate.flush()
+                if self.verify and zlib.crc32(whole) != struct.unpack("<I", inflate.unused_data[:4])[0]:
                     raise ValueError(f"damaged record {h.get('warc-record-id')}")
-                block = whole[end + 4 : end + 4 + int(h["content-length"])]
-                payload = block.partition(b"\r\n\r\n")[2]
+                payload = _payload(h, whole[end + 4 : end + 4 + int(h["content-length"])])
                 self.inflated += 1
-                if self.verify and (hashlib.sha1(payload).hexdigest(), len(payload)) != (FROM_HEADER["payload_digest"](h), FROM_HEADER["payload_bytes"](h)):
-                    raise ValueError(f"payload of {h.get('warc-record-id')} differs from its header")
-            yield tuple(payload if c == "payload" else FROM_HEADER[c](h) for c in self.columns)
+            else:
+                held.skip(left)
+            if row:
+                yield self._row(h, payload)
+
+    def _records(self, source) -> Iterator[tuple]:
+        """Records one after the other in a stream of plain bytes."""
+        while True:
+            head = source.take(HEAD)
+            head = head.lstrip(b"\r\n") if head.strip(b"\r\n") else b""
+            if not head:
+                return
+            while (end := head.find(b"\r\n\r\n")) < 0:
+                if not (more := source.take(HEAD)):
+                    raise ValueError("a record without a header")
+                head += more
+            source.back(len(head) - end - 4)
+            h = headers(head[:end])
+            row, needed = self._wanted(h)
+            size = int(h["content-length"])
+            if needed:
+                block = source.take(size)
+                if len(block) < size:
+                    raise ValueError(f"an archive that ends within record {h.get('warc-record-id')}")
+                payload = _payload(h, block)
+                self.inflated += 1
+            else:
+                payload = None
+                source.skip(size)
+            if row:
+                yield self._row(h, payload)
 
     def read(self, partition: Files) -> Iterator[tuple]:
         files, _ = filesystem(self.path)
         for name in partition.names:
-            with files.open_input_stream(name, compression=None) as source:
+            with files.open_input_file(name) as source:
                 yield from self.rows(source)
 
 
+def _payload(h: dict, block: bytes) -> bytes:
+    """What a block holds: of an HTTP message the body, else all of it."""
+    return block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").startswith("application/http") else block
+
+
+class _Plain:
+    """Bytes of a file, read ahead by CHUNK; what is skipped beyond that is not read."""
+
+    def __init__(self, source):
+        self.source, self.held, self.at = source, b"", 0
+
+    def take(self, n: int) -> bytes:
+        if len(self.held) - self.at < n:
+            self.held = self.held[self.at :]
+            self.at = 0
+            parts = [self.held]
+            need = n - len(self.held)
+            while need > 0 and (more := self.more(max(CHUNK, need))):
+                parts.append(more)
+                need -= len(more)
+            self.held = b"".join(parts)
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+    def more(self, n: int) -> bytes:
+        return self.source.read(n)
+
+    def read(self, n: int) -> bytes:
+        return self.take(n)
+
+    def back(self, n: int) -> None:
+        """Puts back the last ``n`` bytes taken, all of which are still held."""
+        self.at -= n
+        if self.at < 0:
+            raise ValueError("more put back than is held")
+
+    def skip(self, n: int) -> None:
+        inside = min(n, len(self.held) - self.at)
+        self.at += inside
+        if n > inside:
+            self.source.seek(n - inside, 1)
+
+
+class _Inflated(_Plain):
+    """The bytes that a sequence of gzip members holds."""
+
+    def __init__(self, source):
+        super().__init__(source)
+        self.inflate, self.raw = zlib.decompressobj(31), b""
+
+    def more(self, n: int) -> bytes:
+        while True:
+            if self.inflate.eof:
+                self.raw = self.inflate.unused_data
+                self.inflate = zlib.decompressobj(31)
+            if not self.raw and not (raw := self.source.read(CHUNK)):
+                return b""
+            out = self.inflate.decompress(self.raw or raw, n)
+            self.raw = self.inflate.unconsumed_tail
+            if out:
+                return out
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (part := self.take(min(n, CHUNK))):
+            n -= len(part)
+
+
 class WarcDataSource(DataSource):
     """``spark.read.format("warc")``; see the module."""
 

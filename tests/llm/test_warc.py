@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import io
 
@@ -73,3 +75,66 @@ def test_query_and_no_rows(spark):
     path = common.new_path(spark, "none")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert spark.read.format("warc").load(path).count() == 0
+    assert spark.read.format("warc").load(path + "-never-written").count() == 0
+
+
+def foreign():
+    """Records as other tools write them: several types, no payload length, base32 digests."""
+    body = b"<p>" + bytes(range(256)) * 40
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    kinds = [("warcinfo", "application/warc-fields", b"software: x\r\n\r\nmore", None), ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n", None), ("response", "application/http; msgtype=response", http, sha), ("metadata", "text/plain", b"", None), ("conversion", "text/plain", body[3:], None)]
+    out = []
+    for i, (kind, mime, block, digest) in enumerate(kinds):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{i}>", "WARC-Target-URI: http://x/", f"Content-Type: {mime}", *([f"WARC-Payload-Digest: {digest}"] if digest else []), f"Content-Length: {len(block)}", "", ""]
+        out.append("\r\n".join(lines).encode() + block + b"\r\n\r\n")
+    return out, body
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 18])
+def test_archives_of_others(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    records, body = foreign()
+    ours = warc.member(warc.record(77, "http://y/", b"own" * 900, None, "d"))
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "d.warc.gz").write_bytes(ours + b"".join(map(gzip.compress, records)))
+    (tmp_path / "e.warc.gz").write_bytes(b"")
+    (tmp_path / "notes.txt").write_text("x")
+    reader = lambda schema, **o: warc.WarcReader(StructType.fromDDL(schema), {"path": str(tmp_path), "partitionbytes": "1", **o})
+    one = reader("record_type string, payload_digest string, payload_bytes long, payload binary", verify="true")
+    got = [r for p in one.partitions() for r in one.read(p)]
+    assert len(got) == 21 and [r for r in got if r[3] == b"own" * 900][0][2] == 2700
+    assert [r[:2] for r in got if r[0] == "response" and r[3] == body] == [("response", hashlib.sha1(body).hexdigest())] * 4
+    assert sum(r[3] == body[3:] for r in got) == 4 and sum(r == ("metadata", None, 0, b"") for r in got) == 4
+    heads = reader("record_type string, target_uri string")
+    assert list(heads.pushFilters([EqualTo(("record_type",), "response")])) == []
+    assert sorted(r for p in heads.partitions() for r in heads.read(p)) == [("response", "http://x/")] * 4 + [("response", "http://y/")] and heads.inflated == 0
+    warc.register(spark)
+    assert spark.read.format("warc").load(str(tmp_path)).groupBy("record_type").count().count() == 5
+    with pytest.raises(ValueError):
+        list(reader("record_type string, payload binary").rows(io.BytesIO(b"".join(records)[:-5000])))
+
+
+def test_files_roll_and_unwanted_members_are_not_read(spark):
+    pages = spark.createDataFrame([(i, "u", f"{i}" * 30000) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = common.new_path(spark, "roll")
+    warc.write_warc(pages, path, roll=300)
+    reader = warc.WarcReader(StructType.fromDDL("page_id long"), {"path": path})
+    files = [n for p in reader.partitions() for n in p.names]
+    assert len(files) > 3 and sorted(r[0] for p in reader.partitions() for r in reader.read(p)) == list(range(20))
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+    import os
+
+    data = b"".join(warc.member(warc.record(i, "u", os.urandom(1 << 20), None, "d")) for i in range(8))
+    source = Counted(data)
+    assert len(list(reader.rows(source))) == 8 and source.taken < len(data) / 2
