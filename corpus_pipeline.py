@@ -8,18 +8,14 @@ back for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tamis.llm import common, langid, mixing, outliers, packing, simhash
 
-#: Documents whose best language is less like them than this are of no known language.
-LEAST_COSINE = 0.05
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with letters whose profile is like that of a language learned from ``docs``."""
-    found = langid.language_of(langid.fit(docs))(F.col("text").cast("string"))
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), found.alias("_found")).filter((F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_COSINE)).select("_row.*")
+    """Keeps documents with letters that are about as like their language, learned from ``docs``, as its
+    own documents of like length are."""
+    return langid.keep_known(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture to target weights draws them. A document in which a
-    source's quota ends is taken whole if more than half of it is within."""
+    """Documents as often as the mixture to target weights draws them, in the order of its shards and
+    places. A document in which a source's quota ends is taken whole if more than half is within."""
     mixed = mixing.mix(docs).select("mixed.*")
     return mixed.filter("2 * words > size").select("row.*")
 
