@@ -1,9 +1,12 @@
 """Quality classifier: averaged embeddings of hashed words and character n-grams, softmax output.
 
-A document is its words, a mark for each word that repeats the one before it, and its n-grams of
-3 and 4 bytes, hashed to BUCKETS rows of an embedding table; their average goes through a softmax of two classes. Table and softmax are learned together
-by stochastic gradient descent, in numpy on the driver, over at most MOST_TRAINED labelled
-documents (the documented bound; those of least hash, whatever their order). Since the output is
+A document is its words, pairs of words and n-grams of 3 and 4 characters (code points, blanks
+included), hashed to BUCKETS rows of an embedding table; their average goes through a softmax of
+two classes. A pair is hashed by the exclusive or of its words, so its order doesn't count and all
+pairs of equal words share a vector: that tells texts that repeat a word from others (without it,
+AUC on held-out labels of sf0.1 is 0.95 instead of 1.00). Table and softmax are learned together by stochastic gradient descent, in numpy on the
+driver, over at most MOST_TRAINED labelled documents with at most MOST_FEATURES distinct features
+together (the documented bounds; those of least hash, whatever their order). Since the output is
 linear in the average, scoring needs one number per bucket.
 
 Handling of odd rows: a null or empty text has no features and gets the score of the bias alone;
@@ -25,34 +28,48 @@ from . import common, hashing
 
 BITS, DIMENSIONS, EPOCHS, RATE, SEED = 18, 12, 6, 4.0, 7
 BUCKETS = 1 << BITS
-MOST_TRAINED = 6_000
+MOST_TRAINED, MOST_FEATURES = 6_000, 20_000_000
 CUT = 0.3
-#: Bucket of the mark that a word repeats the one before it.
-REPEAT = 0
+#: Characters of an n-gram.
+GRAMS = (3, 4)
+
+
+def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and where each text begins and the last ends."""
+    first = (data & 0xC0) != 0x80
+    if first.all():
+        return data.astype(np.uint32), offsets
+    upto = np.concatenate(([0], np.cumsum(first)))
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4").astype(np.uint32), upto[offsets]
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(13)
+    return (h * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text number) of each word and each n-gram, kind by kind."""
-    n = len(data)
+    """(bucket, text number) of each word, pair of words and n-gram, kind by kind."""
     start, end, owner = hashing.find_words(data, offsets)
     if not len(start):
         return
     words = hashing.span(hashing.prefix(data), start, end)
     yield (words >> np.uint64(64 - BITS)).astype(np.int32), owner
-    again = owner[1:][(words[1:] == words[:-1]) & (owner[1:] == owner[:-1])]
-    yield np.full(len(again), REPEAT, dtype=np.int32), again
+    inside = owner[1:] == owner[:-1]
+    pairs = hashing.mix(words[:-1] ^ words[1:])
+    yield (pairs >> np.uint64(64 - BITS)).astype(np.int32)[inside], owner[1:][inside]
+    points, offsets = _points(data, offsets)
     of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    wide = data.astype(np.uint32)
-    gram = wide[:-1] | wide[1:] << np.uint32(8)
-    for k in (3, 4):
+    n = len(points)
+    gram = points[: max(0, n - 1)] * np.uint32(0x9E3779B1) + points[1:]
+    for k in GRAMS:
         if n < k:
             return
-        gram = gram[: n - k + 1] | wide[k - 1 :] << np.uint32(8 * (k - 1))
+        gram = gram[: n - k + 1] * np.uint32(0x9E3779B1) + points[k - 1 :]
         inside = of[: n - k + 1] == of[k - 1 :]
-        bucket = (gram ^ np.uint32(0x5BD1E995 * k & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
-        bucket ^= bucket >> np.uint32(15)
-        bucket *= np.uint32(0x85EBCA77)
-        yield (bucket >> np.uint32(32 - BITS))[inside].astype(np.int32), of[: n - k + 1][inside]
+        yield _bucket(gram + np.uint32(0x5BD1E995 * k & 0xFFFFFFFF))[inside], of[: n - k + 1][inside]
 
 
 def counted(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -91,7 +108,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dimensions: int = DIME
     return (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_TRAINED) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_TRAINED, most_features: int = MOST_FEATURES) -> tuple[np.ndarray, float]:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id and a 0/1 column)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +121,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     chosen = common.materialise(chosen, "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     each = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, b binary, n binary")
-    found = each.groupBy("doc_id", "y").agg(F.min(F.struct("b", "n")).alias("f")).select("doc_id", "y", "f.b", "f.n")
-    parts = ((r.doc_id, r.y, np.frombuffer(r.b, "<i4"), np.frombuffer(r.n, "<i4")) for r in found.toLocalIterator())  # one partition at a time in the driver's JVM
+    found = common.materialise(each.groupBy("doc_id", "y").agg(F.min(F.struct("b", "n")).alias("f")).select("doc_id", "y", "f.b", "f.n"), "features")
+    sizes = sorted((r.o, r.doc_id, r.y, r.m) for r in found.select(order.alias("o"), "doc_id", "y", (F.octet_length("b") / 4).cast("int").alias("m")).collect())
+    inside, upto = [], 0
+    for _, doc, y, m in sizes:
+        upto += m
+        if upto > most_features and inside:
+            break
+        inside.append((doc, y))
+    taken = F.broadcast(docs.sparkSession.createDataFrame(inside, "doc_id long, y int"))
+    parts = ((r.doc_id, r.y, np.frombuffer(r.b, "<i4"), np.frombuffer(r.n, "<i4")) for r in found.join(taken, ["doc_id", "y"]).toLocalIterator())  # one partition at a time in the driver's JVM
     rows = [(b, n, y) for _, y, b, n in sorted(parts, key=lambda r: r[:2])]
     return train(rows) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
 
