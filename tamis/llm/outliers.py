@@ -3,13 +3,18 @@
 Each document has counts of its words, symbols, repeated lines and repeated passages. A few plain
 rules fail the worst; of the others, transformed ratios of the counts form a vector. For each
 language and source, the MCD mean and covariance are those of the h = 75 % of its vectors that lie
-closest together: starting from medians and quantile ranges, concentration steps take the h rows
-nearest by Mahalanobis distance and estimate anew, until no determinant falls any more. A document
-is rejected where its squared distance is above CUT.
+closest together. From each of several starts (medians with quantile ranges; the same with the
+correlations of the coordinates' hyperbolic tangents, and of their spatial signs) concentration
+steps take the h rows nearest by Mahalanobis distance and estimate anew, until no determinant falls
+any more; of the starts the one with the least determinant counts. A document is rejected where its
+squared distance is above CUT.
 
 Everything is DataFrame functions. The corpus is read once, into a table of counts; each step is
-two aggregations of it with sums that combine before the exchange, whatever the size of a group.
-The h rows are found by a histogram of distances, so ties share a fate and repeated runs agree.
+two aggregations of it, for all groups and starts, with sums (about the last mean) that combine
+before the exchange, whatever the size of a group. The h rows are found by a histogram of
+distances, so ties share a fate and repeated runs agree. Coordinates are bounded, so a histogram
+has some thousands of buckets a group at most. Determinants fall at every step but the last, so the
+steps end; more than MOST_STEPS raise.
 
 FLOORS are added to the covariance as least deviations of each coordinate: where three quarters of
 the documents have no symbol at all, the covariance alone would be singular and any symbol an
@@ -32,10 +37,10 @@ from . import common
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, SPAN = 20, 30, 8
 #: Least deviation of each coordinate, the share h, its consistency factor (chi-square, 4 degrees:
-#: 0.75 / P(chi2(6) < 5.385)), rows of a group at least, steps at most, and the cut (chi-square's
+#: 0.75 / P(chi2(6) < 5.385)), rows of a group at least, steps from which the search is broken off, and the cut (chi-square's
 #: 1 - 3e-7 quantile for 4 degrees).
 FLOORS = (0.1, 0.05, 0.15, 0.15)
-SHARE, CONSISTENCY, LEAST_ROWS, MOST_STEPS, CUT = 0.75, 1.485, 100, 8, 36.0
+SHARE, CONSISTENCY, LEAST_ROWS, MOST_STEPS, CUT = 0.75, 1.485, 100, 100, 36.0
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 
@@ -82,12 +87,13 @@ def _groups(rows: DataFrame) -> DataFrame:
     """(_own, g): for each language and source the number of the group by whose estimate its rows
     are judged, null if there is none."""
     lang, all_ = F.xxhash64(F.lit(2), F.col("lang").isNull(), "lang"), F.xxhash64(F.lit(3))
-    n = rows.groupBy(_own().alias("_own"), lang.alias("pool")).agg(F.count("*").alias("n"))
+    n = common.materialise(rows.groupBy(_own().alias("_own"), lang.alias("pool")).agg(F.count("*").alias("n")), "own")
     n = n.withColumn("g", F.when(F.col("n") >= LEAST_ROWS, F.col("_own")))
-    for pool in (F.col("pool"), all_):
-        left = F.sum(F.when(F.col("g").isNull(), F.col("n"))).over(Window.partitionBy(pool))
-        n = n.withColumn("g", F.coalesce("g", F.when(left >= LEAST_ROWS, pool)))
-    return common.materialise(n.select("_own", "g"), "groups")
+    for name, pool in (("pool", F.col("pool")), ("all", all_)):
+        n = n.withColumn("_p", pool)
+        left = n.filter("g is null").groupBy("_p").agg(F.sum("n").alias("_left")).filter(F.col("_left") >= LEAST_ROWS)
+        n = common.materialise(n.join(left, "_p", "left").withColumn("g", F.coalesce("g", F.when(F.col("_left").isNotNull(), F.col("_p")))).drop("_p", "_left"), name)
+    return n.select("_own", "g")
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -116,41 +122,82 @@ def distance(columns: dict[str, Column] | None = None) -> Column:
     return reduce(lambda a, b: a + b, [x * x for x in z])
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """g with mean, Cholesky factor and log determinant of the regularised covariance of ``rows``."""
-    first = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
-    for i in range(P):
-        for j in range(i + 1):
-            cov = F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            cov = F.greatest(cov, F.lit(0.0)) * CONSISTENCY + FLOORS[i] ** 2 if i == j else cov * CONSISTENCY
-            for k in range(j):
-                cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # The floors keep pivots positive; rounding may not push them below a hundredth of that.
-            first = first.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(FLOORS[i] ** 2 / 100))) if i == j else cov / F.col(f"l{j}{j}"))
-    return first.select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(P)]).alias("logdet"))
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+MODEL = [*[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in LOWER], "logdet"]
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """MCD estimate of each group g of ``rows`` (g, x0..)."""
-    # Start: medians, and half the range between the 16 % and 84 % quantiles, on a grid of 1/200.
+def _factored(rows: DataFrame, keep: list[str], cov: dict[tuple[int, int], Column]) -> DataFrame:
+    """``keep`` and m0.. of ``rows`` with the Cholesky factor and log determinant of ``cov``."""
+    for i, j in LOWER:
+        c = cov[i, j]
+        for k in range(j):
+            c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        # The floors keep pivots positive; rounding may not push them below a hundredth of that.
+        rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2 / 100))) if i == j else c / F.col(f"l{j}{j}"))
+    return rows.withColumn("logdet", reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(P)])).select(*keep, *MODEL)
+
+
+def _estimate(near: DataFrame) -> DataFrame:
+    """Mean and factor of the rows ``near`` by g and start; they hold y0.., the coordinates less the
+    last mean m0.., so that sums of squares don't cancel."""
+    sums = near.groupBy("g", "start").agg(F.count("*").alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(P)], *[F.avg(f"y{i}").alias(f"a{i}") for i in range(P)], *[F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"s{i}{j}") for i, j in LOWER])
+    sums = sums.select("*", *[(F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(P)])
+    cov = {}
+    for i, j in LOWER:
+        c = F.col(f"s{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}")
+        cov[i, j] = F.greatest(c, F.lit(0.0)) * CONSISTENCY + FLOORS[i] ** 2 if i == j else c * CONSISTENCY
+    return _factored(sums, ["g", "start"], cov)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, start, m0.., l00.., logdet): where the concentration steps of each group begin."""
+    # Medians, and half the range between the 16 % and 84 % quantiles, on a grid of 1/200.
     grid = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(x) * 200).cast("int").alias("bucket")) for i, x in enumerate(X)])).alias("e"))
     grid = common.materialise(grid.select("g", "e.*").groupBy("g", "dim", "bucket").agg(F.count("*").alias("n")), "grid")
     q = reduce(lambda a, b: a.join(b, ["g", "dim"]), [_upto(grid, ["g", "dim"], s, f"q{int(100 * s)}") for s in (0.16, 0.5, 0.84)])
     here = lambda i, c: F.max(F.when(F.col("dim") == i, c))
-    start = q.groupBy("g").agg(*[here(i, (F.col("q50") + 0.5) / 200).alias(f"m{i}") for i in range(P)], *[here(i, F.sqrt(((F.col("q84") - F.col("q16")) / 400) ** 2 + FLOORS[i] ** 2)).alias(f"l{i}{i}") for i in range(P)])
-    now = common.materialise(start.select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i in range(P) for j in range(i)], F.lit(float("inf")).alias("logdet")), "mcd")
+    scale = F.sqrt(((F.col("q84") - F.col("q16")) / 400) ** 2)
+    middle = common.materialise(q.groupBy("g").agg(*[here(i, (F.col("q50") + 0.5) / 200).alias(f"m{i}") for i in range(P)], *[here(i, F.sqrt(scale**2 + FLOORS[i] ** 2)).alias(f"d{i}") for i in range(P)]), "middle")
+    z = rows.join(middle, "g").select("g", *[((F.col(X[i]) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i in range(P)])
+    length = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in range(P)]))
+    sign = lambda i: F.when(length > 0, F.col(f"z{i}") / length).otherwise(0.0)
+    kinds = {"t": lambda i: F.tanh(F.col(f"z{i}")), "u": sign}
+    sums = z.groupBy("g").agg(*[F.sum(f(i) * f(j)).alias(f"{k}{i}{j}") for k, f in kinds.items() for i, j in LOWER])
+    both = common.materialise(middle.join(sums, "g"), "signs")
+    out = []
+    for start, k in enumerate((None, "t", "u")):
+        cov = {}
+        for i, j in LOWER:
+            if i == j:
+                cov[i, j] = F.col(f"d{i}") ** 2
+            elif k is None:
+                cov[i, j] = F.lit(0.0)
+            else:  # a correlation below one, so that the factor exists
+                r = F.coalesce(F.try_divide(F.col(f"{k}{i}{j}"), F.sqrt(F.col(f"{k}{i}{i}") * F.col(f"{k}{j}{j}"))), F.lit(0.0))
+                cov[i, j] = 0.9 * r * F.col(f"d{i}") * F.col(f"d{j}")
+        out.append(_factored(both.withColumn("start", F.lit(start)), ["g", "start"], cov))
+    return common.materialise(reduce(DataFrame.unionByName, out).withColumn("logdet", F.lit(float("inf"))), "starts")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """MCD estimate of each group g of ``rows`` (g, x0..)."""
+    done, now = [], _starts(rows)
     for _ in range(MOST_STEPS):
-        far = rows.join(now, "g").select("g", *X, _bucket(distance()).alias("bucket"))
-        limit = common.materialise(_upto(far.groupBy("g", "bucket").agg(F.count("*").alias("n")), ["g"], SHARE, "most"), "nearest")
-        new = _estimate(far.join(limit, "g").filter("bucket <= most"))
+        far = rows.join(now, "g").select("g", "start", *[f"m{i}" for i in range(P)], *[(F.col(x) - F.col(f"m{i}")).alias(f"y{i}") for i, x in enumerate(X)], _bucket(distance()).alias("bucket"))
+        limit = common.materialise(_upto(far.groupBy("g", "start", "bucket").agg(F.count("*").alias("n")), ["g", "start"], SHARE, "most"), "nearest")
+        new = _estimate(far.join(limit, ["g", "start"]).filter("bucket <= most"))
         fell = F.col("new.logdet") < F.col("old.logdet") - 1e-6
-        both = new.alias("new").join(now.alias("old"), "g")
-        now = common.materialise(both.select("g", *[F.when(fell, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in new.columns if c != "g"], fell.alias("fell")), "mcd")
-        moved = now.filter("fell").limit(1).count()
-        now = now.drop("fell")
-        if not moved:
+        both = new.alias("new").join(now.alias("old"), ["g", "start"])
+        both = common.materialise(both.select("g", "start", *[F.when(fell, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in MODEL], fell.alias("fell")), "mcd")
+        done.append(both.filter("not fell").drop("fell"))  # these have settled
+        now = both.filter("fell").drop("fell")
+        if now.isEmpty():
             break
-    return now
+    else:
+        raise RuntimeError("concentration steps did not settle")
+    every = reduce(DataFrame.unionByName, done)
+    best = every.groupBy("g").agg(F.min_by(F.struct(*MODEL), F.struct("logdet", "start")).alias("b"))
+    return common.materialise(best.select("g", "b.*"), "estimates")
 
 
 def fit(base: DataFrame) -> tuple[DataFrame, DataFrame]:

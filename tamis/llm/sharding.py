@@ -5,11 +5,11 @@ is in one shard, or in as many consecutive ones as its bytes fill. The bytes bel
 counted exactly, across all partitions; the probes around each wanted splitter are then spread
 over the one gap that it lies in, until a probe is within TOLERANCE of its place. Where the gap is
 a single hash (a text with a large share of the rows), probes go on over its doc_ids. Only counts
-reach the driver: at most PROBES for each open splitter.
+reach the driver: at most MOST_COUNTS a round, or 4 for each open splitter.
 
-Each shard is cut into several ranges of nearly equal bytes, so that the exchange and the sort of
-a shard are shared by several tasks; a row's slot is its rank in the range after the rows of the
-shard's ranges before it.
+Each shard is cut into ranges of nearly equal bytes, as many as its bytes need, so that the exchange
+and the sort of a shard are shared by several tasks; a row's slot is its rank in the range after
+the rows of the shard's ranges before it.
 
 Handling of odd rows: a null text has size 8 and the crc32 of no bytes, and is sorted like an empty
 one; a null doc_id comes first; rows equal in text and doc_id can't be parted by a splitter; no
@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS, RANGES, PROBES, FIRST_PROBES, TOLERANCE = 24, 8, 256, 4096, 0.0005
+#: Bytes that one task sorts, about: shards have as many ranges as that needs, RANGES at least.
+RANGE_BYTES = 1 << 30
+#: Counts of one round at most; where more splitters are open each has fewer probes, but 4 at least.
+MOST_COUNTS = 1 << 20
 _TOP = (1 << 63) - 1
 #: Bits of k below those that number the first probes.
 _SHIFT = 51
@@ -102,7 +106,7 @@ def splitters(rows: DataFrame, shards: int, ranges: int, tolerance: float) -> tu
     first.targets = list(range(1, parts))
     gaps, rounds = [first] if parts > 1 else [], 0
     while gaps:
-        probes = PROBES if rounds else FIRST_PROBES
+        probes = max(4, min(PROBES, MOST_COUNTS // len(gaps))) if rounds else FIRST_PROBES
         found = _count(rows, gaps, probes)
         rounds += 1
         later: dict[tuple, _Gap] = {}
@@ -129,22 +133,27 @@ def splitters(rows: DataFrame, shards: int, ranges: int, tolerance: float) -> tu
     return total, sorted(out[t] for t in range(1, parts)), rounds
 
 
-def shards_of(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, tolerance: float = TOLERANCE, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) and the ``keep`` columns of each row of ``docs``, by one exchange."""
+def shards_of(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None, tolerance: float = TOLERANCE, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) and the ``keep`` columns of each row of ``docs``, by one
+    exchange. ranges: of each shard; by default as many as its bytes need."""
+    spark = docs.sparkSession
     rows = common.materialise(keyed(docs), "keys")
+    if ranges is None:
+        total = rows.agg(F.sum("size")).first()[0] or 0
+        ranges = max(RANGES, -(-total // (shards * RANGE_BYTES)))
     _, starts, _ = splitters(rows, shards, ranges, tolerance)
     whole = keyed(docs, F.struct(*keep).alias("_keep")) if keep else rows
     counts = {r.range: r.n for r in with_range(rows, starts).groupBy("range").agg(F.count("*").alias("n")).collect()}
     before = []
     for i in range(shards * ranges):
         before.append(0 if i % ranges == 0 else before[-1] + counts.get(i - 1, 0))
+    firsts = F.broadcast(spark.createDataFrame(list(enumerate(before)), "range int, _first long"))  # a row per range
     order = Window.partitionBy("range").orderBy("k", "d", "doc_id")
-    first = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("range") + 1)
-    out = with_range(whole, starts).withColumn("slot", F.row_number().over(order) - 1 + first)
-    return out.select("doc_id", "size", "text_crc32", F.floor(F.col("range") / ranges).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), *(["_keep.*"] if keep else []))
+    out = with_range(whole, starts).withColumn("_rank", F.row_number().over(order) - 1).join(firsts, "range")
+    return out.select("doc_id", "size", "text_crc32", F.floor(F.col("range") / ranges).cast("int").alias("shard"), (F.col("_rank") + F.col("_first")).cast("long").alias("slot"), *(["_keep.*"] if keep else []))
 
 
-def write_shards(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
+def write_shards(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None) -> DataFrame:
     """``docs`` written to the shared folder, a folder for each shard, and read back: all columns but
     doc_id are carried through the exchange; size and text_crc32 are those of the texts read back."""
     spark = docs.sparkSession

@@ -42,6 +42,18 @@ def test_splitters_are_exact(spark):
     assert len({s[0] for s in starts}) == 1
 
 
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(sharding, "MOST_COUNTS", 100)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    seen = []
+    plain = sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda rows, shards, ranges, tolerance: seen.append(ranges) or plain(rows, shards, ranges, tolerance))
+    check(sharding.shards_of(docs, 3).collect(), rows, 3, 2 * max(len(t.encode()) + 8 for _, t in rows))
+    assert seen[0] > 3 * sharding.RANGES
+
+
 def test_odd_tables(spark):
     one = spark.createDataFrame([(1, "a")] * 50, "doc_id long, text string")
     got = sharding.shards_of(one).collect()

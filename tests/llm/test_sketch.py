@@ -52,3 +52,24 @@ def test_merge_and_containment():
     x, y = sketch.sketches(pa.array([" ".join(words[:20004]), " ".join(words[20000:])]))
     assert (sketch.merge(x, y) == a).all() and (sketch.from_text(sketch.to_text(a)) == a).all()
     assert abs(len(a) * sketch.SCALE / 39996 - 1) < 0.05
+
+
+def test_short_texts_in_long_ones():
+    rng = np.random.default_rng(6)
+    pieces = [[f"w{x}" for x in rng.integers(0, 300, 200)] for _ in range(300)]
+    notes = sketch.sketches(pa.array([" ".join(p[50:57]) for p in pieces]))
+    books = sketch.sketches(pa.array([" ".join(p) for p in pieces]))
+    assert all(sketch.containment(n, b) == 1.0 for n, b in zip(notes, books))  # 1.0 is true of each
+    others = [sketch.containment(n, b) for n, b in zip(notes, books[1:]) if len(n)]
+    assert max(others) == 0.0 and len(others) > 150
+    assert 0.2 < sum(map(len, notes)) / 900 < 0.3  # one in four of three shingles each
+    for n, b in zip(notes, books):
+        assert (sketch.merge(n, b) == b).all()
+    # every kept hash is below the threshold, whatever the length
+    assert all((x < np.uint64((1 << 64) // sketch.SCALE)).all() for x in [*notes, *books])
+    # long, short and empty texts in one sketch are those of their shingles together
+    every = sketch.sketches(pa.array([" ".join(p) for p in pieces[:3]] + ["one", None]))
+    merged = every[0]
+    for x in every[1:]:
+        merged = sketch.merge(merged, x)
+    assert set(merged.tolist()) == set().union(*(set(x.tolist()) for x in every))
