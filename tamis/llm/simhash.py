@@ -17,6 +17,7 @@ and takes part by its fingerprint only; repeated rows share a component; no rows
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,29 +161,33 @@ def _links(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
             yield got
 
 
-def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
+def links(nodes: DataFrame, limit: int = LIMIT, depth: int | None = None) -> DataFrame:
     """Edges (u, v) that connect the reps of ``nodes`` (distinct seed, fp with a rep) whose
     fingerprints of one seed differ in at most ``limit`` (4 at most) bits: enough for all
-    components, never all pairs."""
+    components, never all pairs. depth: boxes of the chain that go into every key, 2 to 4; by
+    default such that a key has some tens of fingerprints. Keys that are crowded all the same are
+    lengthened, box by box, up to the whole ring."""
     if limit > LIMIT:
         raise ValueError(f"the ring of five boxes holds for {LIMIT} bits at most")
     spark = nodes.sparkSession
     if "seed" not in nodes.columns:
         nodes = nodes.withColumn("seed", F.lit(0))
-    n = max([r["count"] for r in nodes.groupBy("seed").count().collect()], default=0)
-    depth = 2 if n <= 1 << 23 else 3 if n <= 1 << 27 else 4
-    keys = _keys(nodes, depth)
-    if depth < 4:
+    sizes = [r["count"] for r in nodes.groupBy("seed").count().collect()]
+    if depth is None:
+        depth = 2 if max(sizes, default=0) <= 1 << 23 else 3 if max(sizes) <= 1 << 27 else 4
+    parts, now = [], _keys(nodes, depth)
+    for d in range(depth, 5):
         # At most CROWDED_KEYS keys can be above the limit, so they may be broadcast.
-        crowd = max(CROWD, keys_per_node(depth) * n // CROWDED_KEYS)
-        crowded = common.materialise(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
-        some = F.broadcast(crowded)
-        deep = keys.join(some, "key", "left_semi").select("fp", "rep", "start", F.col("key").alias("above"))
-        keys = keys.join(some, "key", "left_anti").select("key", "start", "fp", "rep")
-        more = [F.struct(F.lit(j).alias("j"), F.element_at(F.array(*[_parts(s + depth, depth + 1)[j] for s in range(5)]), F.col("start") + 1).alias("b")) for j in range(depth + 1)]
-        deep = deep.withColumn("k", F.explode(F.array(*more))).select(F.xxhash64("above", "k.j", "k.b").alias("key"), "start", "fp", "rep")
-        keys = keys.unionByName(deep)
-    keys = keys.select("key", "start", "fp", "rep").repartition(common.tasks(spark), "key").sortWithinPartitions("key")
+        crowd = max(CROWD, keys_per_node(d) * sum(sizes) // CROWDED_KEYS)
+        crowded = common.materialise(now.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"), "crowded")
+        if crowded.isEmpty():
+            break
+        parts.append(now.join(F.broadcast(crowded), "key", "left_anti").select("key", "start", "fp", "rep"))
+        deep = now.join(F.broadcast(crowded), "key", "left_semi").select("fp", "rep", "start", F.col("key").alias("above"))
+        more = [F.struct(F.lit(j).alias("j"), F.element_at(F.array(*[_parts(s + d, d + 1)[j] for s in range(5)]), F.col("start") + 1).alias("b")) for j in range(d + 1)]
+        now = deep.withColumn("k", F.explode(F.array(*more))).select(F.xxhash64("above", "k.j", "k.b").alias("key"), "start", "fp", "rep")
+    parts.append(now.select("key", "start", "fp", "rep"))
+    keys = reduce(DataFrame.unionByName, parts).repartition(common.tasks(spark), "key").sortWithinPartitions("key")
     return keys.mapInArrow(lambda batches: _links(batches, limit), "u long, v long")
 
 

@@ -35,8 +35,8 @@ def slow_components(pairs, fps):
     return {x: root(x) for x in pairs}
 
 
-@pytest.mark.parametrize("crowd", [2, 2000])
-def test_links_against_all_pairs(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,depth", [(2, None), (2000, None), (2000, 3), (2000, 4), (5, 3)])
+def test_links_against_all_pairs(spark, monkeypatch, crowd, depth):
     monkeypatch.setattr(simhash, "CROWD", crowd)
     monkeypatch.setattr(simhash, "CROWDED_KEYS", 1 << 30)
     rnd = random.Random(7)
@@ -53,7 +53,7 @@ def test_links_against_all_pairs(spark, monkeypatch, crowd):
     fps |= {base ^ (rnd.getrandbits(9) << 30) for _ in range(300)}
     fps = sorted(fps)
     nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)], "fp long, rep long")
-    got = {r.node: r.component for r in components(simhash.links(nodes)).collect()}
+    got = {r.node: r.component for r in components(simhash.links(nodes, depth=depth)).collect()}
     want = slow_components(list(range(len(fps))), fps)
     assert {i: got.get(i, i) for i in want} == want
     assert len(got) > 1000
@@ -158,3 +158,20 @@ def test_near_copies_of_a_large_group_against_all_pairs(spark, monkeypatch, bloc
             label[max(a, b)] = min(a, b)
     assert got == {i: root(i) for i in range(len(texts))}
     assert 1 < len(set(got.values())) < 1000
+
+
+def test_a_star_of_one_seed_does_not_hide_links(spark, monkeypatch):
+    """Document 1 is near all others under one seed and far under the rest; 2 to 5 are near each other."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(21)
+    base = rnd.integers(0, 1 << 63, 8, dtype=np.uint64)
+    made = []
+    for i in range(5):
+        fps = rnd.integers(0, 1 << 63, 8, dtype=np.uint64) if i == 0 else base ^ np.uint64(0b111 << 3 * i)
+        fps[0] = base[0] ^ np.uint64(i and 1 << i)
+        made.append(fps)
+    texts = [f"text {i}" for i in range(5)]
+    monkeypatch.setattr(simhash, "prints", lambda column, k, seeds: np.array([made[int(t.split()[1])] for t in column.to_pylist()]).reshape(-1, 8))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 2}
