@@ -6,7 +6,7 @@ language and source, the MCD mean and covariance are those of the h = 75 % of it
 closest together. From each of several starts (medians with quantile ranges; the same with the
 correlations of the coordinates' hyperbolic tangents, and of their spatial signs) concentration
 steps take the h rows nearest by Mahalanobis distance and estimate anew, until no determinant falls
-any more; of the starts the one with the least determinant counts. A document is rejected where its
+by a thousandth any more; of the starts the one with the least determinant counts. A document is rejected where its
 squared distance is above CUT.
 
 Everything is DataFrame functions. The corpus is read once, into a table of counts; each step is
@@ -41,6 +41,8 @@ LEAST_WORDS, MOST_REPEATED_PERCENT, SPAN = 20, 30, 8
 #: 1 - 3e-7 quantile for 4 degrees).
 FLOORS = (0.1, 0.05, 0.15, 0.15)
 SHARE, CONSISTENCY, LEAST_ROWS, MOST_STEPS, CUT = 0.75, 1.485, 100, 100, 36.0
+#: By how much a step has to lower a log determinant to be followed by another.
+LEAST_FALL = 1e-3
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
 
@@ -184,9 +186,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     done, now = [], _starts(rows)
     for _ in range(MOST_STEPS):
         far = rows.join(now, "g").select("g", "start", *[f"m{i}" for i in range(P)], *[(F.col(x) - F.col(f"m{i}")).alias(f"y{i}") for i, x in enumerate(X)], _bucket(distance()).alias("bucket"))
-        limit = common.materialise(_upto(far.groupBy("g", "start", "bucket").agg(F.count("*").alias("n")), ["g", "start"], SHARE, "most"), "nearest")
+        limit = _upto(far.groupBy("g", "start", "bucket").agg(F.count("*").alias("n")), ["g", "start"], SHARE, "most")
         new = _estimate(far.join(limit, ["g", "start"]).filter("bucket <= most"))
-        fell = F.col("new.logdet") < F.col("old.logdet") - 1e-6
+        fell = F.col("new.logdet") < F.col("old.logdet") - LEAST_FALL
         both = new.alias("new").join(now.alias("old"), ["g", "start"])
         both = common.materialise(both.select("g", "start", *[F.when(fell, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in MODEL], fell.alias("fell")), "mcd")
         done.append(both.filter("not fell").drop("fell"))  # these have settled
