@@ -65,6 +65,14 @@ DELAY = ["retention", "follow-up", "follow up", "month", "week", "transfer test"
 IMMEDIATE = ["immediate post", "immediately after", "same day", "no follow-up", "without follow-up", "即时", "立即", "无随访"]
 DESIGN_RISK = ["cross-sectional", "feasibility", "pilot study", "validation study", "construct validity", "correlation", "observational", "横断面", "可行性", "相关性", "观察性"]
 CONTROLLED = ["randomized", "randomised", "randomly assigned", "control group", "controlled trial", "quasi-experimental", "对照组", "随机"]
+RISK_INTERNAL = ["VR内部", "VR 内部", "仅比较VR", "两组均为VR", "同一VR", "另一个VR", "不是非VR对照", "非VR对照缺失", "VR vs VR", "HMD vs desktop", "both groups", "internal VR", "VR-only"]
+RISK_TRANSFER = [
+    "transfer", "迁移", "operating room", "OR performance", "real-world", "real world", "clinical performance", "novel task", "follow-up", "follow up",
+    "retention", "retested", "maintenance", "delayed", "weeks", "months", "year", "真实环境", "真实手术", "术中表现", "随访", "延迟", "保持",
+]
+RISK_CONTRADICTION = ["应为INCLUDE", "应为 INCLUDE", "不应被排除", "所有五个维度均PASS", "all five", "should be include", "应排除", "不应纳入"]
+RISK_KNOWLEDGE = ["knowledge retention", "knowledge test", "written test", "MCQ", "multiple-choice", "quiz", "cognitive", "知识保持", "知识保留", "知识测试", "理论知识", "笔试", "选择题"]
+RISK_CATEGORIES = ["C_INTERNAL_VR_INCLUDED", "EXCLUDE_WITH_TRANSFER_OR_RETENTION_SIGNAL", "KNOWLEDGE_RETENTION_INCLUDED", "EXPLICIT_REASON_CONTRADICTION"]
 # ------------------------------------------------------------------------------------------------
 
 #: Rules of an audit: (severity, category, sections, hit terms, absent terms, least hits of the absent terms).

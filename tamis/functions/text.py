@@ -97,9 +97,11 @@ def year(c: Column) -> Column:
 
 
 def contains_any(normalized: Column, terms: list[str]) -> Column:
-    """The terms that are part of a normalized text, in list order; terms are normalized alike."""
+    """The terms that are part of a normalized text, in list order; terms are normalized alike. A term
+    that begins with ``re:`` is a regular expression."""
     # No lambda: so the normalized text is one shared subexpression of compiled code.
-    return F.array_compact(F.array(*[F.when(F.contains(normalized, F.lit(plain(t))), F.lit(t)) for t in terms]))
+    hit = lambda t: F.rlike(normalized, F.lit(t[3:])) if t.startswith("re:") else F.contains(normalized, F.lit(plain(t)))
+    return F.array_compact(F.array(*[F.when(hit(t), F.lit(t)) for t in terms]))
 
 
 def plain(term: str) -> str:
@@ -117,3 +119,49 @@ def control_characters(c: Column) -> Column:
 def parse_object(c: Column, schema: str) -> Column:
     """JSON by schema, from the whole text or else from its outermost braces."""
     return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema)).otherwise(F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema))
+
+
+@F.pandas_udf(StringType())
+def quote_normal_text(s: pd.Series) -> pd.Series:
+    """Compatibility composition, lower case, white space squeezed."""
+    return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).lower().split()))
+
+
+def quote_normal(c: Column) -> Column:
+    """``quote_normal_text`` of texts without compatibility characters, as an expression of the JVM;
+    apply ``nfkc`` before where there may be some."""
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+
+
+# --- Fixed values: headings between which the sections of a paper lie ----------------------------
+SECTIONS = {
+    "abstract": (r"(?:abstract|摘要)[:\s]*\n?", r"\n(?:introduction|keywords|1\.|I\.)", 1500),
+    "methods": (r"(?:methods?|methodology|materials?\s+(?:and|&)\s+methods?|实验方法|研究方法)[:\s]*\n?", r"\n(?:results?|findings?|discussion|conclusion|3\.|III\.)", 4000),
+    "results": (r"(?:results?|findings?)[:\s]*\n?", r"\n(?:discussion|conclusion|4\.|IV\.)", 3000),
+}
+# ------------------------------------------------------------------------------------------------
+
+
+def section_of(c: Column, name: str) -> Column:
+    """The abstract, methods or results of a paper, from its heading to the next, at most so long; empty without them."""
+    begin, end, most = SECTIONS[name]
+    return F.left(F.btrim(F.regexp_extract(c, f"(?is){begin}(.*?){end}", 1), F.lit(" \t\n\r\x0b\x0c")), F.lit(most))
+
+
+def judge_content(c: Column, most: int = 8000) -> Column:
+    """What a judge reads of a paper: methods and results, or the beginning of all where there are no
+    methods or both are below 2000 characters."""
+    methods, results = section_of(c, "methods"), section_of(c, "results")
+    both = F.when(results != "", F.concat(methods, F.lit("\n\n"), results)).otherwise(methods)
+    return F.when((methods != "") & (F.length(both) >= 2000), both).otherwise(F.left(c, F.lit(most)))
+
+
+def make_key(author: Column, year: Column, title: Column) -> Column:
+    """Author, year and six digits of the md5 of the title's first thirty characters in lower case."""
+    head = F.lower(F.left(F.btrim(title, F.lit(" \t\n\r\x0b\x0c")), F.lit(30)))
+    return F.concat_ws("_", author, year.cast("string"), F.left(F.md5(head.cast("binary")), F.lit(6)))
+
+
+def iso_time(c: Column) -> Column:
+    """An ISO time, with T or a blank, with or without zone (then the session's); null if it is none."""
+    return F.try_to_timestamp(c)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions import rules
+
 RESULT = "doc_id long, p string, i string, c string, o string, s string, reason string"
 
 
@@ -51,3 +53,36 @@ def attempts(calls: DataFrame, base_seconds: int = 30, most: int = 3) -> DataFra
     """Retries of each call with their waits of base * 2^n seconds."""
     n = F.sequence(F.lit(0), F.lit(most - 1))
     return calls.select("*", F.explode(n).alias("attempt")).withColumn("wait_seconds", F.when(F.col("attempt") == 0, 0).otherwise(F.lit(base_seconds) * F.pow(F.lit(2), F.col("attempt") - 1)).cast("int"))
+
+
+SECOND = "doc_id long, label string, confidence string, reason string"
+
+
+class SecondJudge(Protocol):
+    """Looks at title and abstract again: label REVIEW, NOT_REVIEW or UNCERTAIN, confidence high, medium or low."""
+
+    def look(self, batch: pd.DataFrame) -> pd.DataFrame: ...
+
+
+class RuleSecondJudge:
+    """REVIEW where a title has one of the words of reviews; UNCERTAIN without title and abstract."""
+
+    def look(self, batch: pd.DataFrame) -> pd.DataFrame:
+        text = (batch["title"].fillna("") + " " + batch["abstract"].fillna("")).str.lower()
+        review = text.map(lambda x: any(w in x for w in rules.REVIEW_KEYWORDS))
+        label = review.map({True: "REVIEW", False: "NOT_REVIEW"}).mask(text.str.strip() == "", "UNCERTAIN")
+        confidence = batch["abstract"].fillna("").str.len().ge(100).map({True: "high", False: "medium"}).mask(label == "UNCERTAIN", "low")
+        return pd.DataFrame({"doc_id": batch["doc_id"], "label": label, "confidence": confidence, "reason": ""})
+
+
+def look_again(papers: DataFrame, judge: SecondJudge) -> DataFrame:
+    """A second judge over (doc_id, title, abstract), batch by batch; a batch that fails is UNCERTAIN."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                yield judge.look(batch)
+            except Exception as error:  # noqa: BLE001  as in ``judge_all``
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "label": "UNCERTAIN", "confidence": "low", "reason": f"judge failed: {type(error).__name__}"})
+
+    return papers.select("doc_id", F.col("title").cast("string").alias("title"), F.col("abstract").cast("string").alias("abstract")).mapInPandas(run, SECOND)

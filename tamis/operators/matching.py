@@ -25,39 +25,55 @@ def first_rule(text: Column, patterns: list[str], keywords: list[str]) -> Column
 
 
 def quote_ratio(docs: DataFrame, quotes: DataFrame, least: float = 0.72) -> DataFrame:
-    """(item_id, doc_id, hits, tokens) where at least ``least`` of a quote's long tokens are part of
-    the document's normalized text. docs: doc_id, text; quotes: item_id, text.
+    """(item_id, doc_id, hits, tokens) where at least ``least`` of a quote's long tokens (repeats
+    counted) are part of the document's normalized text. docs: doc_id, text; quotes: item_id, text.
 
     A token has no blank, so it lies within one word: tokens are looked up in the vocabulary by
-    their first four characters, and documents by words. No document meets a quote with which it
-    shares no word.
+    their first four characters, and documents by words. A document that lacks more than ``1 -
+    least`` of a quote's tokens isn't found, so one that is found has one of any tokens of more than
+    that share: only a quote's rarest tokens of so much weight make candidates, and the others are
+    counted for these alone. Equal texts are searched once.
     """
     tokens = quotes.select("item_id", F.explode(T.long_tokens(T.normalize(F.col("text")))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("m"))
-    sizes = tokens.groupBy("item_id").agg(F.sum("m").alias("tokens"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.long_tokens(T.normalize(F.col("text"))))).alias("word"))
+    texts = docs.select("doc_id", T.normalize(F.col("text")).alias("norm")).withColumn("h", F.sha2(F.col("norm").cast("binary"), 256))
+    words = texts.select("h", "norm").dropDuplicates(["h"]).select("h", F.explode(F.array_distinct(T.long_tokens(F.col("norm")))).alias("word"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring("word", i, F.lit(4))))
-    vocabulary = words.select("word").distinct().withColumn("gram", F.explode(grams))
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("gram", F.explode(grams))
     held = tokens.select("token").distinct().withColumn("gram", F.left("token", F.lit(4)))
-    pairs = vocabulary.join(held, "gram").filter(F.contains("word", F.col("token"))).select("word", "token").distinct()
-    found = words.join(pairs, "word").select("doc_id", "token").distinct()
-    hits = found.join(tokens, "token").groupBy("item_id", "doc_id").agg(F.sum("m").alias("hits"))
-    return hits.join(sizes, "item_id").filter(F.col("hits") >= least * F.col("tokens"))
+    pairs = vocabulary.join(held, "gram").filter(F.contains("word", F.col("token"))).select("word", "n", "token").distinct()
+    often = pairs.groupBy("token").agg(F.sum("n").alias("n"))
+    rare = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "token")
+    ranked = tokens.join(often, "token", "left").withColumn("before", F.sum("m").over(rare.rowsBetween(Window.unboundedPreceding, -1))).withColumn("tokens", F.sum("m").over(Window.partitionBy("item_id")))
+    # The tokens before hold at most what may lack; the one that exceeds it is still needed.
+    ranked = ranked.withColumn("lead", F.coalesce("before", F.lit(0)) <= F.col("tokens") - least * F.col("tokens") + 1e-6).drop("before", "n")
+    found = words.join(pairs.select("word", "token"), "word").select("h", "token").distinct()
+    candidates = found.join(ranked.filter("lead").select("item_id", "token"), "token").select("item_id", "h").distinct()
+    hits = candidates.join(ranked, "item_id").join(found, ["h", "token"]).groupBy("item_id", "h").agg(F.sum("m").alias("hits"), F.first("tokens").alias("tokens"))
+    return hits.filter(F.col("hits") >= least * F.col("tokens")).join(texts.select("h", "doc_id"), "h").select("item_id", "doc_id", "hits", "tokens")
 
 
 def quote_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the normalized quote is part of the normalized text.
 
-    Quotes of three words or more meet the documents that have their longest inner word (which the
-    text has whole); shorter ones, if any, are compared with all.
-    """
+    The text has every inner word of a quote whole, and its last word begins (its first word ends) one
+    of the text's: quotes meet texts by their longest inner word; those of two words by the first
+    word's end, and those of one word by the vocabulary's words that have it. Candidates are pairs of
+    numbers; each text that is one is fetched once for them."""
     texts = docs.select("doc_id", T.normalize(F.col("text")).alias("norm"))
-    wanted = quotes.select("item_id", T.normalize(F.col("text")).alias("quote"), F.split(T.normalize(F.col("text")), " ").alias("w")).filter("quote <> ''")
-    inner = F.slice("w", 2, F.size("w") - 2)
-    anchored = wanted.filter(F.size("w") >= 3).select("item_id", "quote", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
-    words = texts.select("doc_id", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).join(anchored.select("word").distinct(), "word", "left_semi")
-    found = words.join(anchored, "word").filter(F.contains("norm", F.col("quote"))).select("item_id", "doc_id")
-    short = texts.join(F.broadcast(wanted.filter(F.size("w") < 3).select("item_id", "quote")), F.contains("norm", F.col("quote"))).select("item_id", "doc_id")
-    return found.unionByName(short).distinct()
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+    wanted = quotes.select("item_id", T.normalize(F.col("text")).alias("quote")).filter("quote <> ''").withColumn("w", F.split("quote", " "))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    anchored = wanted.filter(F.size("w") >= 3).select("item_id", longest.alias("word"))
+    short = wanted.filter(F.size("w") < 3).select("item_id", F.size("w").alias("n"), F.get("w", 0).alias("part"))
+    # Parts of words: by their first three characters (fewer, if they have not so many).
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(*[F.substring("word", i, F.lit(k)) for k in (1, 2, 3)]))))
+    held = words.select("word").distinct().join(F.broadcast(short.limit(1).select(F.lit(True).alias("any"))), F.col("any")).withColumn("gram", F.explode(pieces))
+    within = held.join(short.withColumn("gram", F.left("part", F.lit(3))), "gram").filter(F.when(F.col("n") == 2, F.endswith("word", F.col("part"))).otherwise(F.contains("word", F.col("part"))))
+    keys = anchored.unionByName(within.select("item_id", "word")).distinct()
+    candidates = words.join(keys, "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    met = texts.join(candidates, "doc_id").select("doc_id", "norm", F.explode("items").alias("item_id"))
+    return met.join(wanted.select("item_id", "quote"), "item_id").filter(F.contains("norm", F.col("quote"))).select("item_id", "doc_id").distinct()
 
 
 #: Names of either side that are compared with each other in one group.
@@ -69,14 +85,14 @@ def _letters(names: list[str]) -> np.ndarray:
     return np.array([np.bincount(np.fromiter(map(ord, x), dtype=np.int64, count=len(x)) % 64, minlength=64) for x in names], dtype=np.int32).reshape(-1, 64)
 
 
-def _best_of(mine: list[str], names: list[str], held: list[int], least: float, top: int) -> Iterator[tuple[int, int, float]]:
+def _best_of(mine: list[str], names: list[str], held: list[int], least: float, top: int, contained: bool = True) -> Iterator[tuple[int, int, float]]:
     """(i, j, score) of each of ``mine`` with the ``names`` that can be among its ``top`` rows, ``held``
     rows for each name. No ratio is above twice the shared letters over all letters, so names are
     scored in the order of that bound until it is below the last place."""
     letters, length = _letters(names), np.array([len(x) for x in names])
     for i, (a, own) in enumerate(zip(mine, _letters(mine))):
         bound = 2 * np.minimum(letters, own).sum(axis=1) / (length + len(a))
-        inside = np.fromiter((b in a or a in b for b in names), dtype=bool, count=len(names))
+        inside = np.fromiter((contained and (b in a or a in b) for b in names), dtype=bool, count=len(names))
         best = [0.95] * min(top, sum(held[j] for j in np.flatnonzero(inside)))
         yield from ((i, int(j), 0.95) for j in np.flatnonzero(inside))
         for j in np.argsort(-bound, kind="stable").tolist():
@@ -90,9 +106,9 @@ def _best_of(mine: list[str], names: list[str], held: list[int], least: float, t
                 yield i, j, score
 
 
-def best_matches(left: DataFrame, right: DataFrame, least: float = 0.3, top: int = 5) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, least: float = 0.3, top: int = 5, contained: bool = True) -> DataFrame:
     """left (id, name) and right (other, name): the ``top`` most similar of all names that score at
-    least ``least``, as (id, other, score, place). Containment scores 0.95, else the matching-blocks
+    least ``least``, as (id, other, score, place). Containment scores 0.95 (with ``contained``), else the matching-blocks
     similarity of difflib counts; names are normalized, and those that are then empty have no match.
 
     Distinct names of both sides are dealt into groups, and every two groups meet, so no pair is
@@ -110,7 +126,7 @@ def best_matches(left: DataFrame, right: DataFrame, least: float = 0.3, top: int
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         p, q = x.id_name.tolist(), y.other_name.tolist()
-        found = _best_of(p, q, y.held.tolist(), least, top) if p and q else ()
+        found = _best_of(p, q, y.held.tolist(), least, top, contained) if p and q else ()
         return pd.DataFrame([(p[i], q[j], s) for i, j, s in found], columns=["id_name", "other_name", "score"]).astype({"score": float})
 
     scored = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(score, "id_name string, other_name string, score double")

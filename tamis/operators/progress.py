@@ -56,12 +56,70 @@ def consistency(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).withColumn("ok", F.col("expected") == F.col("actual"))
 
 
-def last_wins(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Upsert: rows of ``new`` replace those of ``old`` with the same key."""
-    return new.unionByName(old.join(new, key, "left_anti"))
+def last_wins(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
+    """Upsert: rows of ``new`` replace those of ``old`` with the same key; of rows of ``new`` with one
+    key the last by ``position`` (dropped from the result unless ``old`` has it) counts."""
+    one = Window.partitionBy(key).orderBy(F.desc(position))
+    last = new.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*old.columns)
+    return last.unionByName(old.join(new, key, "left_anti"))
 
 
 def first_wins(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
     """Rows of ``new`` with keys that are not in ``old``; within ``new`` the first by ``position``."""
     one = Window.partitionBy(key).orderBy(position)
     return new.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n").join(old, key, "left_anti")
+
+
+def reconcile(completed: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, status, decision): state (key) against record files (key, decision). missing: marked as
+    done without a file, to be done again; unmarked: a file that the state lacks, to be marked with the
+    file's decision; ok. Several files of a key are one, with the first decision by name."""
+    one = files.groupBy("key").agg(F.min("decision").alias("decision"))
+    both = completed.select("key").distinct().withColumn("done", F.lit(True)).join(one, "key", "full")
+    status = F.when(F.col("done").isNull(), "unmarked").when(F.col("decision").isNull(), "missing").otherwise("ok")
+    return both.select("key", status.alias("status"), "decision")
+
+
+def recount(expected: DataFrame, files: DataFrame, decisions: list[str]) -> DataFrame:
+    """(decision, expected, actual, ok): stored counts (decision, n) against record files, for each of ``decisions``."""
+    every = files.sparkSession.createDataFrame([(d,) for d in decisions], "decision string")
+    actual = files.groupBy("decision").agg(F.count("*").alias("actual"))
+    out = every.join(expected.select("decision", F.col("n").alias("expected")), "decision", "left").join(actual, "decision", "left").fillna(0, ["expected", "actual"])
+    return out.withColumn("ok", F.col("expected") == F.col("actual"))
+
+
+def efficiency(processed: DataFrame, remaining: DataFrame) -> DataFrame:
+    """One row: processed, days, daily_average, remaining, eta_days. processed: at (a time), one row each; remaining: one row each."""
+    done = processed.agg(F.count("*").alias("processed"), F.countDistinct(F.to_date("at")).alias("days"))
+    out = done.crossJoin(remaining.agg(F.count("*").alias("remaining"))).withColumn("daily_average", F.try_divide("processed", "days"))
+    return out.withColumn("eta_days", F.when((F.col("remaining") > 0) & (F.col("daily_average") > 0), F.col("remaining") / F.col("daily_average")))
+
+
+def qa_status(reviews: DataFrame, screening: DataFrame, key: str) -> DataFrame:
+    """One row: resolved, confirmed and pending_maybe. reviews: key, action (resolve or confirm); a MAYBE
+    without a resolution is pending. Repeated reviews of a key and action count once."""
+    counts = reviews.select(key, "action").distinct().agg(F.count_if(F.col("action") == "resolve").alias("resolved"), F.count_if(F.col("action") == "confirm").alias("confirmed"))
+    resolved = reviews.filter("action = 'resolve'").select(key).distinct()
+    pending = screening.filter("decision = 'MAYBE'").join(resolved, key, "left_anti").agg(F.count("*").alias("pending_maybe"))
+    return counts.crossJoin(pending)
+
+
+def find(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, if there is one: a filter that reaches the scan."""
+    return df.filter(F.col(key) == F.lit(value)).limit(1)
+
+
+def missing_path(included: DataFrame, path: str = "path") -> DataFrame:
+    """Included records whose path is null or empty."""
+    return included.filter((F.col("decision") == "INCLUDE") & (F.col(path).isNull() | (F.col(path) == "")))
+
+
+def invalid_paper() -> Column:
+    """No author, year 0 and no title; null where one of them is null and the others don't decide."""
+    return (F.col("author") == "") & (F.col("year") == 0) & (F.col("title") == "")
+
+
+def latest_reviews(reviews: DataFrame, *by: str) -> DataFrame:
+    """The last review by reviewed_at of each key and action."""
+    w = Window.partitionBy(*by).orderBy(F.desc("reviewed_at"), *[F.desc(c) for c in reviews.columns if c not in by and c != "reviewed_at"])
+    return reviews.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -214,8 +214,8 @@ def q_title_overlap(spark, t):
     return rows.select("page_id", F.size("tk").alias("n_tokens"), T.overlap(F.col("tk"), F.col("body")).alias("share"))
 
 
-@query("""with h as (select sha256(text) as sha, doc_id, source, lang from documents) select sha, count(*) as n, string_agg(cast(doc_id as varchar), ',' order by cast(doc_id as varchar)) as uids,
- count(distinct source) as n_source, count(distinct lang) as n_lang, case when count(distinct source) > 1 or count(distinct lang) > 1 then 'FAIL' else 'INFO' end as severity from h group by 1 having count(*) > 1""")
+@query("""with h as (select sha256(text) as sha, doc_id, source, lang from documents), g as (select sha, count(*) as n, min(doc_id) as first_uid,
+ count(distinct source) as n_source, count(distinct lang) as n_lang, case when count(distinct source) > 1 or count(distinct lang) > 1 then 'FAIL' else 'INFO' end as severity from h group by 1 having count(*) > 1) select g.*, doc_id from g join h using (sha)""")
 def q_shared_hash(spark, t):
     rows = t("documents").select("doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     return gates.shared_hash(rows, "doc_id", "sha", "source", "lang")
@@ -257,19 +257,19 @@ def q_quote_exact(spark, t):
     return matching.quote_exact(t("documents"), t("benchmark"))
 
 
-RATIO_SQL = f"d as (select doc_id, {norm_sql('text')} as norm from documents where lang = 'en'), b as (select item_id, {tokens_sql('text')} as tk from benchmark), x as (select item_id, doc_id, len(list_filter(tk, lambda w: contains(norm, w))) as hits, len(tk) as tokens from b, d where len(tk) > 0)"
+RATIO_SQL = f"d as (select doc_id, {norm_sql('text')} as norm from documents), b as (select item_id, {tokens_sql('text')} as tk from benchmark), x as (select item_id, doc_id, len(list_filter(tk, lambda w: contains(norm, w))) as hits, len(tk) as tokens from b, d where len(tk) > 0)"
 
 
 @query(f"with {RATIO_SQL} select item_id, doc_id, hits, tokens from x where hits >= 0.72::double * tokens")
 def q_quote_ratio(spark, t):
-    return matching.quote_ratio(t("documents").filter("lang = 'en'"), t("benchmark")).select("item_id", "doc_id", "hits", "tokens")
+    return matching.quote_ratio(t("documents"), t("benchmark")).select("item_id", "doc_id", "hits", "tokens")
 
 
 @query(f"""with {RATIO_SQL}, f as (select item_id from x where hits >= 0.72::double * tokens group by 1), u as (select b.item_id // 4 as uid, count(*) as n from b left join f using (item_id) where f.item_id is null group by 1)
  select case when n >= 2 then 'HIGH' else 'MEDIUM' end as severity, uid, 'evidence_not_found' as category, n from u""")
 def q_grounding_findings(spark, t):
-    """Records of four quotes each: those of which quotes are in no English document."""
-    found = matching.quote_ratio(t("documents").filter("lang = 'en'"), t("benchmark")).select("item_id").distinct()
+    """Records of four quotes each: those of which quotes are in no document."""
+    found = matching.quote_ratio(t("documents"), t("benchmark")).select("item_id").distinct()
     missing = t("benchmark").join(found, "item_id", "left_anti").groupBy(F.expr("item_id div 4").alias("uid")).agg(F.count("*").alias("n"))
     return gates.grounding_findings(missing)
 
@@ -374,7 +374,7 @@ NOW = "2024-01-31 12:00:00"
  a as (select *, datesub('second', last_ts, timestamp '{NOW}') as age_seconds from r), b as (select *, case when last_state = 'purchase' then 'completed' when age_seconds > 600 then 'stale' else 'running_or_recent' end as status from a)
  select *, status = 'stale' and n_failed > 0 as can_resume from b""")
 def q_run_status(spark, t):
-    return runs.run_status(events(t), NOW)
+    return runs.run_status(events(t), NOW, "purchase", "error")
 
 
 @query("select * from (select user_id as run, event_id, event_type as state, cast(row_number() over (partition by user_id order by ts desc, event_id desc) as int) as place from events) where place <= 20")
@@ -408,9 +408,17 @@ def q_section_extract(spark, t):
     return t("pages").select("page_id", part("title", 150).alias("head"), part("p", 400).alias("first_paragraph"))
 
 
-@query("select doc_id, md5(nfc_normalize(text)) as nfkc_md5 from documents")
+#: Letters whose compatibility forms a text is given, which NFKC has to undo.
+COMPATIBLE = {"fi": "\ufb01", "0": "\uff10", "A": "\uff21", "th": "t\u02b0"}
+
+
+@query("select doc_id, md5(nfc_normalize(text)) as nfkc_md5, md5(trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g'))) as quote_md5 from documents")
 def q_nfkc_normalize(spark, t):
-    return t("documents").select("doc_id", F.md5(T.nfkc("text").cast("binary")).alias("nfkc_md5"))
+    """Texts with ligatures, full-width and modifier letters in place of plain ones, back to plain text."""
+    text = F.col("text")
+    for plain, other in COMPATIBLE.items():
+        text = F.replace(text, F.lit(plain), F.lit(other))
+    return t("documents").select("doc_id", T.nfkc(text).alias("n")).select("doc_id", F.md5(F.col("n").cast("binary")).alias("nfkc_md5"), F.md5(T.quote_normal(F.col("n")).cast("binary")).alias("quote_md5"))
 
 
 @query()
@@ -421,4 +429,4 @@ def q_fuzzy_match(spark, t):
     return matching.best_matches(t("pages").select(F.col("page_id").alias("id"), title.alias("name")), right)
 
 
-from tamis.plans import more  # noqa: E402,F401  (registers the queries of sources and streams)
+from tamis.plans import audit, more  # noqa: E402,F401  (register their queries)

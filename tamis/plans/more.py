@@ -17,7 +17,7 @@ def q_ris_import(spark, t):
     title = F.trim(F.regexp_replace(T.title(F.col("text")), r"\s+", " "))
     name = F.regexp_replace("source", "[^a-zA-Z]", "")
     record = F.concat(F.lit("TY  - JOUR\nTI  - "), title, F.lit("\nAU  - Src"), name, F.lit(", Q.\nAU  - Second, A.\nPY  - "), (2000 + F.col("doc_id") % 25).cast("string"), F.lit("/05/01\nLA  - "), F.col("lang"), F.lit("\nAN  - "), F.col("doc_id").cast("string"), F.lit("\nER  - \n"))
-    files = t("documents").select((F.col("doc_id") % 997).cast("string").alias("path"), F.struct("doc_id", record.alias("r")).alias("r")).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["r"]), "").alias("content"))
+    files = t("documents").select(F.expr("doc_id div 50").cast("string").alias("path"), F.struct("doc_id", record.alias("r")).alias("r")).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["r"]), "").alias("content"))
     return ris.parse(files).select(F.col("accession_number").cast("long").alias("doc_id"), "title", "year", "key", "authors_str", "language")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,9 +91,20 @@ def calls(checkpoints: DataFrame) -> DataFrame:
     )
 
 
-def export_csv(df: DataFrame, path: str, names: dict[str, str]) -> None:
-    """CSV under other names, one file per partition."""
-    df.select(*[F.col(k).alias(v) for k, v in names.items()]).write.mode("overwrite").csv(path, header=True, escape='"')
+#: The columns of the export and their names.
+EXPORT = {
+    "key": "Key", "author": "Author", "year": "Year", "title": "Title", "doi": "DOI", "decision": "Decision", "code": "Exclusion code", "p": "P", "i": "I", "c": "C", "o": "O", "s": "S",
+    "reason": "Reason", "text_quality": "Text quality", "path": "Path", "at": "Screened at", "model": "Model", "fingerprint": "Fingerprint",
+}
+
+
+def export_csv(df: DataFrame, path: str, names: dict[str, str] = EXPORT) -> None:
+    """CSV under other names, by default the 18 columns of the export (those that ``df`` lacks are empty),
+    each file with a byte-order mark before its header, as spreadsheets want it."""
+    first, *rest = names.items()
+    columns = [(F.col(k).cast("string") if k in df.columns else F.lit(None).cast("string")).alias(v) for k, v in [first, *rest]]
+    columns[0] = columns[0].alias("\ufeff" + first[1])
+    df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def export_markdown(records: DataFrame, path: str) -> None:
@@ -108,3 +122,48 @@ def write_json(value: dict, path: str) -> None:
     with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(path) or ".", delete=False) as out:
         json.dump(value, out, ensure_ascii=False, indent=1)
     os.replace(out.name, path)
+
+
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """(uid, text) of text files that are named by uid."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return raw.select(F.url_decode(F.regexp_extract("path", r"([^/]+)\.txt$", 1)).alias("uid"), "text").filter("uid <> ''")
+
+
+class PageText(Protocol):
+    """Takes the text of the first pages (all, if none is given) from a document's bytes."""
+
+    def pages(self, content: bytes, first: int | None) -> str: ...
+
+
+def documents(spark: SparkSession, path: str, extractor: PageText, first: int | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """(path, sha256, size, text, problem) of binary documents by a pluggable extractor. A file above
+    ``most_bytes``, or one on which the extractor fails, has a problem instead of a text."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = raw.filter(F.col("length") > most_bytes).select("path", F.lit(None).cast("string").alias("sha256"), F.col("length").alias("size"), F.lit(None).cast("string").alias("text"), F.lit("too large").alias("problem"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for content in batch["content"]:
+                try:
+                    found.append((extractor.pages(bytes(content), first), None))
+                except Exception as error:  # noqa: BLE001  a broken file is a row with its problem, not the end of the run
+                    found.append((None, type(error).__name__))
+            yield pd.DataFrame({"path": batch["path"], "sha256": batch["sha256"], "size": batch["size"], "text": [x for x, _ in found], "problem": [x for _, x in found]})
+
+    small = raw.filter(F.col("length") <= most_bytes).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), "content")
+    return small.mapInPandas(run, "path string, sha256 string, size long, text string, problem string").unionByName(large)
+
+
+def cached(documents: DataFrame, cache: DataFrame) -> DataFrame:
+    """Texts known for the same key and digest: documents (key, sha256), cache (key, sha256, text)."""
+    return documents.join(cache, ["key", "sha256"])
+
+
+def backup(tables: dict[str, DataFrame], path: str, version: str) -> str:
+    """Copies of tables under a folder for the version, which must be new."""
+    where = f"{path}/{version}"
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{where}/{name}")
+    return where

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,3 +39,32 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 def each_batch(events: DataFrame, checkpoint: str, handle) -> StreamingQuery:
     """``handle(batch, number)`` for each micro-batch: the same transforms as over tables."""
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def staleness(events: DataFrame, stale_seconds: int = 600, late: str = "0 seconds") -> DataFrame:
+    """(run, last_ts, status) whenever a run's status changes: running while its heartbeats come, stale
+    once event time has passed its last one by ``stale_seconds``, running again with the next. Kept per
+    run is its last heartbeat alone; a timer of the watermark tells that none came."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            last, _ = state.get
+            out.append((key[0], pd.Timestamp(last, unit="ms"), "stale"))
+            state.update((last, True))
+        else:
+            last, stale = state.get if state.exists else (None, True)
+            for now in sorted(int(t.timestamp() * 1000) for b in batches for t in b["ts"]):
+                if last is not None and not stale and now - last > stale_seconds * 1000:  # before its timer came
+                    out.append((key[0], pd.Timestamp(last, unit="ms"), "stale"))
+                    stale = True
+                last = now if last is None else max(last, now)
+                if stale:
+                    out.append((key[0], pd.Timestamp(now, unit="ms"), "running"))
+                    stale = False
+            state.update((last, False))
+            state.setTimeoutTimestamp(max(last + stale_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["run", "last_ts", "status"]).astype({"run": "int64", "last_ts": "datetime64[ns]", "status": "object"})
+
+    keyed = events.withWatermark("ts", late).groupBy("run")
+    return keyed.applyInPandasWithState(update, "run long, last_ts timestamp, status string", "last_ms long, stale boolean", "append", GroupStateTimeout.EventTimeTimeout)

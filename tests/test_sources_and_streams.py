@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 
@@ -74,6 +75,8 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.csv(spark, str(tmp_path / "v2.csv")).collect()] == [("a", "x\ny")]
     files.export_csv(files.csv(spark, str(tmp_path / "v2.csv")), str(tmp_path / "e"), {"Key": "键 key", "Title": "题 title"})
     assert files.csv(spark, str(tmp_path / "e")).columns == ["键 key", "题 title"]
+    files.export_csv(spark.createDataFrame([("a", 2020)], "key string, year int"), str(tmp_path / "x"))
+    assert len(files.csv(spark, str(tmp_path / "x")).columns) == 18 and next((tmp_path / "x").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbf")
     files.append_jsonl(spark.range(2), str(tmp_path / "j"))
     files.append_jsonl(spark.range(1), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
@@ -97,3 +100,34 @@ def test_stream_equals_batch(spark, tmp_path):
     query = heartbeat.each_batch(heartbeat.read(spark, str(parts / "*")), str(tmp_path / "cp2"), lambda batch, n: seen.append(batch.count()))
     query.awaitTermination()
     assert sum(seen) == events.count() + 1
+
+
+class Upper:
+    def pages(self, content, first):
+        return content.decode("ascii").upper()[:first]
+
+
+def test_texts_documents_and_backups(spark, tmp_path):
+    (tmp_path / "txt").mkdir()
+    (tmp_path / "txt" / "u 1.txt").write_text("one")
+    (tmp_path / "txt" / "notes.md").write_text("no")
+    assert [tuple(r) for r in files.texts(spark, str(tmp_path / "txt")).collect()] == [("u 1", "one")]
+    (tmp_path / "pdf").mkdir()
+    for name, data in (("a.pdf", b"abc"), ("b.pdf", b"\xff"), ("c.pdf", b"x" * 50)):
+        (tmp_path / "pdf" / name).write_bytes(data)
+    got = {r.path[-5:]: (r.text, r.problem) for r in files.documents(spark, str(tmp_path / "pdf"), Upper(), 2, most_bytes=40).collect()}
+    assert got == {"a.pdf": ("AB", None), "b.pdf": (None, "UnicodeDecodeError"), "c.pdf": (None, "too large")}
+    where = files.backup({"t": spark.range(3)}, str(tmp_path / "backups"), "v1")
+    assert spark.read.parquet(where + "/t").count() == 3
+
+
+def test_staleness_stream(spark, tmp_path):
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for i, rows in enumerate([[(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:10")], [(2, "2024-01-01 00:20:00")], [(1, "2024-01-01 00:25:00"), (2, "2024-01-01 00:26:00")], [(9, "2024-01-01 02:00:00")], [(9, "2024-01-01 02:00:01")]]):
+        data = [(i, datetime.datetime.fromisoformat(ts), user, "x", 0.0, "{}") for user, ts in rows]
+        spark.createDataFrame(data, kinds).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    out = heartbeat.staleness(heartbeat.read(spark, str(tmp_path / "in" / "*")))
+    heartbeat.to_table(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = [(r.run, str(r.last_ts)[11:16], r.status) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("last_ts", "status").collect()]
+    mine = [x[1:] for x in got if x[0] == 1]
+    assert ("00:00", "running") in mine and ("00:00", "stale") in mine and ("00:25", "running") in mine and ("00:25", "stale") in mine
