@@ -28,7 +28,7 @@ from . import common, hashing
 
 BITS, DIMENSIONS, EPOCHS, RATE, SEED = 18, 12, 6, 4.0, 7
 BUCKETS = 1 << BITS
-MOST_TRAINED, MOST_FEATURES = 6_000, 20_000_000
+MOST_TRAINED, MOST_FEATURES = 6_000, 12_000_000
 CUT = 0.3
 #: Characters of an n-gram.
 GRAMS = (3, 4)
@@ -87,11 +87,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dimensions: int = DIME
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dimensions, 1 / dimensions, (BUCKETS, dimensions)).astype(np.float32)
     soft, bias = np.zeros((dimensions, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    shares = [(b, (n / max(1, n.sum())).astype(np.float32), y) for b, n, y in rows]
-    steps, done = max(1, epochs * len(shares)), 0
+    steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(shares)):
-            bucket, share, label = shares[i]
+        for i in rng.permutation(len(rows)):
+            bucket, n, label = rows[i]
+            share = n.astype(np.float32) / np.float32(max(1, n.sum()))
             step = rate * (1 - done / steps)
             done += 1
             vectors = table[bucket]
