@@ -224,7 +224,7 @@ def _where() -> list[Column]:
 
 def verdicts(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """``keep`` columns of each row of ``docs`` with its counts, distance2 and kept."""
-    base = common.materialise(counts(docs, [*keep, *_where()]), "counts")
+    base = common.materialise(counts(docs, [*keep, *_where()]), "counts", "zstd")
     return judge(base, fit(base)).drop("lang", "source")
 
 
