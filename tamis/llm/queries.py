@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import classifier, langid, mixing, outliers, packing, repair, sharding, simhash, sketch, warc
+from functools import reduce
 
-QUERIES = {**repair.QUERIES, **simhash.QUERIES, **mixing.QUERIES, **warc.QUERIES, **sketch.QUERIES, **langid.QUERIES, **classifier.QUERIES, **sharding.QUERIES, **packing.QUERIES, **outliers.QUERIES}
-ORACLE_SQL = {**repair.ORACLE_SQL, **simhash.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL, **sketch.ORACLE_SQL, **langid.ORACLE_SQL, **classifier.ORACLE_SQL, **sharding.ORACLE_SQL, **packing.ORACLE_SQL, **outliers.ORACLE_SQL}
+from . import classifier, fim, langid, mixing, outliers, packing, repair, sharding, simhash, sketch, warc
+
+MODULES = [repair, warc, mixing, simhash, outliers, sketch, langid, sharding, classifier, packing, fim]
+QUERIES: dict = reduce(lambda a, m: a | m.QUERIES, MODULES, {})
+ORACLE_SQL: dict[str, str] = reduce(lambda a, m: a | m.ORACLE_SQL, MODULES, {})
