@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the query contracts: a word, and what separates words.
@@ -21,9 +21,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def quoted(name: str) -> str:
-    """A column's name as an identifier, whatever is in it (dots, blanks)."""
-    return "`" + name.replace("`", "``") + "`"
+def whole(docs: DataFrame) -> Column:
+    """All columns of a table as one struct, whatever their names (dots and blanks are quoted)."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +50,20 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/tamis/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    MADE.append(f"{shared_dir(spark)}/tamis/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+    return MADE[-1]
+
+
+#: Paths of this process that were given out and not dropped.
+MADE: list[str] = []
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.remove(name)
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

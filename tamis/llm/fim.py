@@ -92,7 +92,7 @@ def fill_in_middle(docs: DataFrame, unit: str = "line", seed: int = 7, rate: int
     cent of these to suffix-prefix-middle."""
     if unit not in CLASS_CHANGES:
         raise ValueError(f"unit must be one of {sorted(CLASS_CHANGES)}")
-    row = F.struct(*[F.col(common.quoted(c)) for c in docs.columns]).alias("row")
+    row = common.whole(docs).alias("row")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     kinds = rows.select("row").schema.add("n", "long").add("form", "string").add("prefix_chars", "long").add("middle_chars", "long").add("output", "string")
 

@@ -176,7 +176,7 @@ def keep_known(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     predicted language's own documents (lang is what is predicted) of like length have. Where it
     has none of that length, those of the nearest length count. Texts are profiled once: rows
     wait with their cosines in the shared folder, and are never exchanged."""
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    row = common.whole(docs).alias("_row")
     found = docs.select(row, F.col("lang").cast("string").alias("_lang"), language_of(fit(docs))(F.col("text").cast("string")).alias("_f"))
     found = common.materialise(found.select("_row", "_lang", "_f.*").withColumn("_size", F.floor(F.log2(F.greatest("letters", F.lit(1)))).cast("int")), "profiles", "zstd")
     # A cosine is counted by the thousandth, so a language has at most 64 lengths of 1001 counts.

@@ -15,7 +15,8 @@ most MOST_BLOCKS rows and one per source, whatever the size of the corpus) and t
 
 Handling of odd rows: a null text has size 0; a null source is a source of its own, last in
 order; a source of size 0 has target 0 and is taken 0 times; sources of one document may repeat
-it up to three times; repeated rows are documents of their own; no rows give no rows.
+it up to three times; repeated rows are documents of their own, and of ties in a hash all are drawn alike; a null
+doc_id is a value like any other; no rows give no rows. All columns are carried in ``mixed.row``, so their names clash with none.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def _plan(slim: DataFrame, weights: tuple, shards: int, most: float, seed: int,
     parts = np.maximum(1, np.floor(MOST_BLOCKS * (sizes / max(1, int(sizes.sum())))).astype(np.int64))
     ids = F.broadcast(spark.createDataFrame([(i, r._source, int(parts[i])) for i, r in enumerate(found)], "_id int, _s string, _blocks long"))
 
-    by_block = _placed(slim, ids).groupBy("_id", "_block").agg(F.sum("_size").alias("s")).select("_id", F.xxhash64("_block", "_id", F.lit(seed + 1)).alias("o"), "_block", "s").toArrow().sort_by([("_id", "ascending"), ("o", "ascending"), ("_block", "ascending")])
+    # Blocks without words are left out: nothing is drawn of them, and each place in the order counts.
+    by_block = _placed(slim, ids).groupBy("_id", "_block").agg(F.sum("_size").alias("s")).filter("s > 0").select("_id", F.xxhash64("_block", "_id", F.lit(seed + 1)).alias("o"), "_block", "s").toArrow().sort_by([("_id", "ascending"), ("o", "ascending"), ("_block", "ascending")])
     source, size = by_block["_id"].to_numpy().astype(np.int64), by_block["s"].to_numpy()
     first = np.searchsorted(source, np.arange(n))
     nth = np.arange(len(source)) - first[source]  # place of the block in the permuted order
@@ -143,7 +145,7 @@ def _mixture(docs: DataFrame, weights: tuple, shards: int, most: float, seed: in
     more = [c.alias(name) for name, c in more.items()]
     slim = common.materialise(_sized(docs, more, seed), "sizes")
     sources, blocks, words = _plan(slim, weights, shards, most, seed, tree)
-    rows = _sized(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), *more], seed)
+    rows = _sized(docs, [common.whole(docs).alias("row"), F.col("doc_id").cast("long").alias("_doc"), *more], seed)
     drawn = _draw(rows, sources, blocks).withColumn("d", F.explode("draws"))
     drawn = drawn.select("row", "d.pass", "d.words", F.col("_size").alias("size"), "d.shard", F.xxhash64("_doc", "d.pass", F.lit(seed + 2)).alias("place"), *[c for c in slim.columns if c[0] != "_" or c == "_key"])
     ranges = max(1, -(-words // (shards * RANGE_WORDS)))
@@ -172,7 +174,8 @@ def taken(docs: DataFrame, weights: tuple = WEIGHTS, shards: int = 64, most: flo
     out = dealt.select("row.text", "row.source", "doc_id", "_key", "pass", "words", "place", "shard")
     path = common.new_path(docs.sparkSession, "mixture")
     out.write.partitionBy("shard").parquet(path)
-    held = docs.sparkSession.read.schema(out.schema).parquet(path).groupBy("_key", "doc_id").agg(F.expr("sum(words) div count_if(pass = 0)").alias("taken"))
+    copies = F.greatest(*[F.count_if(F.col("pass") == p) for p in range(int(most) + 1)], F.lit(1))  # a pass that draws one draws all
+    held = docs.sparkSession.read.schema(out.schema).parquet(path).groupBy("_key", "doc_id").agg(F.sum("words").alias("words"), copies.alias("n")).select("_key", "doc_id", F.expr("words div n").alias("taken"))
     held = held.withColumnsRenamed({"_key": "_k", "doc_id": "_d"})
     every = slim.join(F.broadcast(sources.select("_s", "source_size", "target")), F.col("_source").eqNullSafe(F.col("_s")))
     every = every.join(held, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")

@@ -231,7 +231,7 @@ def verdicts(docs: DataFrame, keep: list[Column]) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Counted once: the rows wait with
     their counts in the shared folder until the verdicts are known, and are never exchanged."""
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    row = common.whole(docs).alias("_row")
     return verdicts(docs, [row]).filter("kept").select("_row.*")
 
 

@@ -13,7 +13,8 @@ the rows of the shard's ranges before it.
 
 Handling of odd rows: a null text has size 8 and the crc32 of no bytes, and is sorted like an empty
 one; a null doc_id comes first; rows equal in text and doc_id can't be parted by a splitter; no
-rows give no rows; where all rows are one key, all are in one shard.
+rows give no rows; where all rows are one key, all are in one shard. Documents are carried as one
+struct ``row``, so that any names may be among their columns.
 """
 
 from __future__ import annotations
@@ -133,16 +134,16 @@ def splitters(rows: DataFrame, shards: int, ranges: int, tolerance: float) -> tu
     return total, sorted(out[t] for t in range(1, parts)), rounds
 
 
-def shards_of(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None, tolerance: float = TOLERANCE, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) and the ``keep`` columns of each row of ``docs``, by one
-    exchange. ranges: of each shard; by default as many as its bytes need."""
+def shards_of(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None, tolerance: float = TOLERANCE, keep: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) and, with ``keep``, all columns as ``row`` of each row of
+    ``docs``, by one exchange. ranges: of each shard; by default as many as its bytes need."""
     spark = docs.sparkSession
     rows = common.materialise(keyed(docs), "keys")
     if ranges is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         ranges = max(RANGES, -(-total // (shards * RANGE_BYTES)))
     _, starts, _ = splitters(rows, shards, ranges, tolerance)
-    whole = keyed(docs, F.struct(*keep).alias("_keep")) if keep else rows
+    whole = keyed(docs, common.whole(docs).alias("row")) if keep else rows
     counts = {r.range: r.n for r in with_range(rows, starts).groupBy("range").agg(F.count("*").alias("n")).collect()}
     before = []
     for i in range(shards * ranges):
@@ -150,27 +151,25 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None,
     firsts = F.broadcast(spark.createDataFrame(list(enumerate(before)), "range int, _first long"))  # a row per range
     order = Window.partitionBy("range").orderBy("k", "d", "doc_id")
     out = with_range(whole, starts).withColumn("_rank", F.row_number().over(order) - 1).join(firsts, "range")
-    return out.select("doc_id", "size", "text_crc32", F.floor(F.col("range") / ranges).cast("int").alias("shard"), (F.col("_rank") + F.col("_first")).cast("long").alias("slot"), *(["_keep.*"] if keep else []))
+    return out.select("doc_id", "size", "text_crc32", F.floor(F.col("range") / ranges).cast("int").alias("shard"), (F.col("_rank") + F.col("_first")).cast("long").alias("slot"), *(["row"] if keep else []))
 
 
 def write_shards(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None) -> DataFrame:
-    """``docs`` written to the shared folder, a folder for each shard, and read back: all columns but
-    doc_id are carried through the exchange; size and text_crc32 are those of the texts read back."""
+    """``docs`` written to the shared folder, a folder for each shard, and read back: (row, shard, slot,
+    size, text_crc32), where ``row`` has all columns as they went through the exchange, and size and
+    text_crc32 are those of the texts read back."""
     spark = docs.sparkSession
-    made = {"doc_id", "size", "text_crc32", "shard", "slot"}
-    if clash := made.intersection(docs.columns) - {"doc_id"}:
-        raise ValueError(f"columns of the shards that docs has already: {sorted(clash)}")
-    out = shards_of(docs, shards, ranges, keep=[c for c in docs.columns if c not in made]).drop("size", "text_crc32")
+    out = shards_of(docs, shards, ranges, keep=True).select("row", "shard", "slot")
     path = common.new_path(spark, "shards")
     out.write.partitionBy("shard").parquet(path)
     read = spark.read.schema(out.schema).parquet(path)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary")
     return read.withColumn("size", (F.octet_length(text) + 8).cast("long")).withColumn("text_crc32", F.crc32(text))
 
 
 def op8_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = write_shards(common.load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op8_histogram_sort_shards": op8_histogram_sort_shards}

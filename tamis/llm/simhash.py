@@ -11,7 +11,8 @@ instead of all pairs. Equal fingerprints are one node; components are found on t
 
 Handling of odd rows: null, empty and wordless texts have fingerprint zero and are linked like
 any other; texts of fewer words than a shingle are one shingle; a null doc_id is a row of its own
-and takes part by its fingerprint only; repeated rows share a component; no rows give no rows.
+and takes part by its fingerprint only; repeated rows share a component; no rows give no rows. Other
+columns are carried as one struct or not at all, so their names clash with none.
 """
 
 from __future__ import annotations
@@ -215,8 +216,9 @@ SEEDS, PAIR = 8, 2
 #: Differing bits of all eight fingerprints together up to which a link holds: 49 are expected at a
 #: likeness of 0.8 (see ``near_copies``), and their standard deviation is 7.
 LIMIT_ALL = 56
-#: Nodes of a block of a large component (see ``_dealt``), and blocks at most.
-BLOCK, BLOCKS = 500, 64
+#: Nodes of a block of a large component (see ``_dealt``), blocks up to which it stays so small, and nodes
+#: of a block at most, however large the component (two are held in memory, 72 bytes a node).
+BLOCK, BLOCKS, MOST_BLOCK = 500, 64, 100_000
 
 
 def prints(texts: pa.Array, k: int = PAIR, seeds: int = SEEDS) -> np.ndarray:
@@ -245,9 +247,11 @@ def prints(texts: pa.Array, k: int = PAIR, seeds: int = SEEDS) -> np.ndarray:
 
 def _dealt(inside: DataFrame) -> DataFrame:
     """(key, rep, fps): the nodes that are compared with each other under each key. A component of
-    more than BLOCK nodes is cut into up to BLOCKS blocks, and every two blocks have a key, so that
-    each pair of its nodes meets and no task has them all."""
-    many = inside.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BLOCK).select("component", F.least(F.ceil(F.col("n") / BLOCK), F.lit(BLOCKS)).cast("int").alias("blocks"))
+    more than BLOCK nodes is cut into blocks, and every two blocks have a key, so that each pair of
+    its nodes meets and no task has them all. Up to BLOCKS blocks they have BLOCK nodes; then there
+    are as many until blocks of MOST_BLOCK nodes are full, and from there on more (copies of a
+    node grow with blocks, so few large ones cost least; blocks bound the memory)."""
+    many = inside.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BLOCK).select("component", F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("n") / MOST_BLOCK)).cast("int").alias("blocks"))
     some = F.broadcast(common.materialise(many, "many"))
     mine, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.col("other")
     cut = inside.join(some, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(other != mine)
@@ -330,11 +334,12 @@ def near_copies(docs: DataFrame, k: int = PAIR, seeds: int = SEEDS, limit: int =
 def drop_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """``docs`` without the documents that are not the least of their component. Rows that repeat
     doc_id and text are one document; a null doc_id always stays."""
-    gone = common.materialise(copies.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = common.materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
-    repeated = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(repeated)
+    gone = common.materialise(copies.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), common.whole(docs).alias("row"))
+    left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    again = common.materialise(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 and id is not null").select(F.col("id").alias("again")), "again")
+    repeated = left.join(again, F.col("id") == F.col("again"), "left_semi").dropDuplicates(["id", "t"])
+    return left.join(again, F.col("id") == F.col("again"), "left_anti").unionByName(repeated).select("row.*")
 
 
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

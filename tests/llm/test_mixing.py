@@ -61,6 +61,26 @@ def test_taken(spark):
     assert mixing.taken(docs.limit(0)).count() == 0
 
 
+def test_nothing_is_lost_where_texts_are_empty(spark):
+    rows = []
+    for source, words, n in (("a", 10_000, 400), ("b", 30_000, 600), ("c", 20_000, 300)):
+        full = n // 2 if source != "c" else n
+        each = [words // full + (i < words % full) for i in range(full)]
+        rows += [(" ".join(["w"] * k), source) for k in each] + [("" if i % 2 else None, source) for i in range(n - full)]
+    rows += [("one", "single"), ("", "nothing"), (None, None), ("x y", None)]
+    docs = spark.createDataFrame([(i * 7 % len(rows), *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = mixing.taken(docs).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    words, target = defaultdict(int), {}
+    for r in got:
+        words[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert len(got) == len(rows) and set(target) == {"a", "b", "c", "single", "nothing", None}
+    assert all(words[s] == round(t) for s, t in target.items()), (dict(words), target)
+    few = mixing.taken(docs, shards=3, seed=5).collect()
+    assert sum(r.taken for r in few) == sum(r.taken for r in got)
+
+
 def test_mix_follows_the_tree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = {r.doc_id: r.taken for r in mixing.taken(docs, shards=8).collect()}

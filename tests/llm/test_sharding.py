@@ -30,8 +30,16 @@ def test_near_equal_bytes_with_hot_copies(spark, shards, ranges):
     where = sorted({r.shard for r in got if r.text_crc32 == zlib.crc32(b"copy of a text " * 10)})
     assert where == list(range(where[0], where[-1] + 1))
     assert [r.asDict() for r in sorted(got, key=lambda r: (r.shard, r.slot))] == [r.asDict() for r in sorted(sharding.shards_of(df.repartition(2), shards, ranges).collect(), key=lambda r: (r.shard, r.slot))]
-    kept = sharding.shards_of(df, shards, ranges, keep=["text", "range"])
-    assert kept.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "range"] and kept.count() == len(docs)
+    kept = sharding.shards_of(df, shards, ranges, keep=True)
+    assert kept.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "row"] and kept.select("row.*").columns == df.columns and kept.count() == len(docs)
+
+
+def test_clashing_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name in ("size", "Shard", "slot", "text_crc32", "range", "row", "k", "_keep", "a.b", "_rank"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = sharding.write_shards(docs)
+    assert sorted(map(str, out.select("row.*").collect())) == sorted(map(str, docs.collect()))
 
 
 def test_splitters_are_exact(spark):
@@ -69,7 +77,7 @@ def test_shards_hold_the_documents(spark, monkeypatch):
     path = next(p for p in paths if "/shards-" in p)
     docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     held = spark.read.parquet(path).collect()
-    assert sorted((r.doc_id, r.text, r.lang, r.source) for r in held) == sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.values())
-    assert {(r.doc_id, r.shard, r.slot) for r in held} == {(r.doc_id, r.shard, r.slot) for r in got}
+    assert sorted((r.row.doc_id, r.row.text, r.row.lang, r.row.source) for r in held) == sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.values())
+    assert {(r.row.doc_id, r.shard, r.slot) for r in held} == {(r.doc_id, r.shard, r.slot) for r in got}
     check(got, [(d, r.text) for d, r in docs.items()], 24, 2 * max(len(r.text.encode()) + 8 for r in docs.values()))
     assert sharding.write_shards(spark.createDataFrame([(1, None), (None, "a")], "doc_id long, text string")).count() == 2

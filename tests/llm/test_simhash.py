@@ -108,6 +108,11 @@ def test_near_copies_and_clean_documents(spark):
     assert got[9003] == 9002 and got[9004] == 9004 and got[9001] == got[9006] == 9000
     left = simhash.drop_copies(docs, found)
     assert left.columns == docs.columns
+    clashing = docs
+    for name in ("_gone", "_again", "gone", "again", "id", "row", "n", "a.b"):
+        clashing = clashing.withColumn(name, F.lit(1))
+    again = simhash.drop_copies(clashing, simhash.near_copies(clashing))
+    assert again.columns == clashing.columns and again.count() == left.count()
     ids = [r.doc_id for r in left.collect()]
     assert ids.count(9005) == 1 and ids.count(None) == 1 and 9003 not in ids
     assert simhash.near_copies(docs.limit(0)).count() == 0
