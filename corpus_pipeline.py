@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
+    """The pieces of the packed corpus. What a stage wrote for itself goes once its result is stored."""
+    docs, done = common.load(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = len(common.MADE)
         docs = common.materialise(stage(spark, docs, sf_dir), name)
+        *scratch, result = common.MADE[before:]
+        common.drop_paths(spark, done + scratch)
+        done = [result]
     return STAGES[-1][1](spark, docs, sf_dir)
