@@ -5,11 +5,12 @@ of any length share one scale: the union of sketches is the sketch of the union
 sorting together), and shared hashes over own hashes estimate containment even between a note
 and a book: of a text that is wholly within another every kept hash is shared. The fraction is one
 in SCALE for every text, so of a text of s shingles nothing is kept with probability
-(1 - 1 / SCALE) ** s (10 % at 8 shingles, 1 % at 16); such a text has an empty sketch like a
-wordless one. Shingles are five words, ASCII letters lower-cased.
+(1 - 1 / SCALE) ** s (10 % at 8 shingles, 1 % at 16); such a text has an empty
+sketch like a wordless one, and beside it a mark, a hash of the set of all its shingles, by which it is told
+from other such texts: equal (1.0) or not (0.0). Shingles are five words, ASCII letters lower-cased.
 
-Handling of odd rows: null is an empty text; two empty sketches are alike (1.0) and contained in any
-(1.0), an empty and a filled one are not alike (0.0); a text of fewer words than a shingle is one shingle; documents that repeat a
+Handling of odd rows: null is an empty text; wordless texts are alike (1.0) and contained in any
+(1.0), an empty and a filled sketch are not alike (0.0); columns other than doc_id and text are not looked at, so any names may be there; a text of fewer words than a shingle is one shingle; documents that repeat a
 doc_id follow one another in order of text; a null doc_id sorts first; a single document is its own
 next; no rows give no rows.
 """
@@ -31,7 +32,13 @@ SHINGLE, SCALE = 5, 4
 
 def sketches(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
     """The sorted hashes kept of each text."""
+    return marked(texts, k, scale)[0]
+
+
+def marked(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted hashes kept of each text, and its mark: a hash of the set of all its shingles (0: none)."""
     out: list[np.ndarray] = []
+    marks = np.zeros(len(texts), dtype=np.uint64)
     least = np.uint64((1 << 64) // scale)
     for a, b in hashing.chunks(texts):
         data, offsets = hashing.raw(texts[a:b])
@@ -39,14 +46,22 @@ def sketches(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> list[np.n
         start, end, owner = hashing.find_words(data, offsets)
         h, owner = hashing.shingles(hashing.span(hashing.prefix(data), start, end), owner, k)
         keep = h < least
-        h, owner = h[keep], owner[keep]
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        fresh = np.ones(len(h), dtype=bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner = h[fresh], owner[fresh]
-        out += np.split(h, np.searchsorted(owner, np.arange(1, b - a)))
-    return out
+        few = np.bincount(owner[keep], minlength=b - a) == 0  # only their marks are asked for
+        for i, own in _by_owner(h[few[owner]], owner[few[owner]], b - a):
+            if len(own):
+                marks[a + i] = hashing.mix(np.bitwise_xor.reduce(hashing.mix(own))[None])[0] | np.uint64(1)
+        out += [own for _, own in _by_owner(h[keep], owner[keep], b - a)]
+    return out, marks
+
+
+def _by_owner(h: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The sorted distinct hashes of each of ``n`` texts."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[fresh], owner[fresh]
+    return enumerate(np.split(h, np.searchsorted(owner, np.arange(1, n))))
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,10 +73,11 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated resemblance: shared hashes over all hashes."""
+def likeness(a: np.ndarray, b: np.ndarray, mark_a: int = 0, mark_b: int = 0) -> float:
+    """Estimated resemblance: shared hashes over all hashes. Of two texts of which nothing is kept the
+    marks say whether their shingles are the same (1.0) or not (0.0)."""
     if not len(a) and not len(b):
-        return 1.0
+        return float(mark_a == mark_b)
     n = shared(a, b)
     return n / (len(a) + len(b) - n)
 
@@ -71,12 +87,13 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return shared(a, b) / len(a) if len(a) else 1.0
 
 
-def to_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u8").tobytes().hex()
+def to_text(sketch: np.ndarray, mark: int = 0) -> str:
+    """The kept hashes in hex; where there are none, ``=`` and the mark (nothing for wordless texts)."""
+    return sketch.astype(">u8").tobytes().hex() if len(sketch) or not mark else f"={int(mark):016x}"
 
 
 def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), dtype=">u8").astype(np.uint64)
+    return np.frombuffer(bytes.fromhex("" if text[:1] == "=" else text), dtype=">u8").astype(np.uint64)
 
 
 def interval(column: Column, bounds: list) -> Column:
@@ -137,12 +154,12 @@ def neighbours(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataFra
                 if not own:
                     continue
                 edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in own]
-                prints = sketches(rows.column(3), k, scale)
-                changed = sketches(pa.array(edited, pa.string()), k, scale)
+                prints, marks = marked(rows.column(3), k, scale)
+                changed, other = marked(pa.array(edited, pa.string()), k, scale)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[i] for i in own], pa.int64()), pa.array([len(texts[i]) for i in own], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-                    pa.array([to_text(prints[i]) for i in own]), pa.array([to_text(c) for c in changed]), pa.array([likeness(prints[i], c) for i, c in zip(own, changed)]),
-                    pa.array([likeness(prints[i], prints[i + 1]) for i in own]), pa.array([containment(prints[i + 1], prints[i]) for i in own]),
+                    pa.array([to_text(prints[i], marks[i]) for i in own]), pa.array([to_text(c, m) for c, m in zip(changed, other)]), pa.array([likeness(prints[i], c, marks[i], m) for i, c, m in zip(own, changed, other)]),
+                    pa.array([likeness(prints[i], prints[i + 1], marks[i], marks[i + 1]) for i in own]), pa.array([containment(prints[i + 1], prints[i]) if len(prints[i + 1]) or not marks[i + 1] else float(marks[i] == marks[i + 1]) for i in own]),
                 ], names=[x.split()[0] for x in kinds.split(", ")])
 
     return with_next(docs).mapInArrow(run, kinds)

@@ -30,9 +30,12 @@ def test_neighbours_against_brute_force(spark):
         edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
         r = by[doc, hashlib.sha256(edited.encode()).hexdigest()]
         assert r.n_chars == len(text)
-        a, b, c = sketch.sketches(pa.array([text, edited, following]))
-        assert (sketch.to_text(a), sketch.to_text(b)) == (r.fingerprint, r.edited_fingerprint)
-        assert r.near_edited == sketch.likeness(a, b) and r.near_next == sketch.likeness(a, c)
+        (a, b, c), (x, y, z) = sketch.marked(pa.array([text, edited, following]))
+        assert (sketch.to_text(a, x), sketch.to_text(b, y)) == (r.fingerprint, r.edited_fingerprint)
+        assert r.near_edited == sketch.likeness(a, b, x, y) and r.near_next == sketch.likeness(a, c, x, z)
+        if not len(a):  # nothing is kept: equal sets of shingles or not
+            assert (r.near_next == 1.0) == (resemblance(text, following) == 1.0)
+            assert (r.near_edited == 1.0) == (resemblance(text, edited) == 1.0)
         if len(text) > 1500:
             estimated += [r.near_edited, r.near_next]
             true += [resemblance(text, edited), resemblance(text, following)]
@@ -54,6 +57,17 @@ def test_merge_and_containment():
     assert abs(len(a) * sketch.SCALE / 39996 - 1) < 0.05
 
 
+def test_texts_of_which_nothing_is_kept():
+    texts = [f"{a} q w e r" for a in "abcdefghijklmnop"] + ["A q w e r", "", None, " \n"]
+    got, marks = sketch.marked(pa.array(texts))
+    empty = [i for i in range(16) if not len(got[i])]
+    assert len(empty) > 5 and len({marks[i] for i in empty}) == len(empty) and all(marks[empty])
+    assert sketch.likeness(got[empty[0]], got[empty[1]], marks[empty[0]], marks[empty[1]]) == 0.0
+    assert marks[0] == marks[16] and list(marks[17:]) == [0, 0, 0]
+    assert sketch.likeness(got[17], got[18], marks[17], marks[18]) == 1.0 and sketch.to_text(got[17], 0) == ""
+    assert len({sketch.to_text(got[i], marks[i]) for i in empty}) == len(empty) and not len(sketch.from_text(sketch.to_text(got[empty[0]], marks[empty[0]])))
+
+
 def test_short_texts_in_long_ones():
     rng = np.random.default_rng(6)
     pieces = [[f"w{x}" for x in rng.integers(0, 300, 200)] for _ in range(300)]
