@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tamis.functions import text as T
-from tamis.operators import matching
+from tamis.operators import likeness, matching, shared
 
 
 def doi_variants(doi: Column) -> Column:
@@ -50,16 +48,18 @@ def file_map(papers: DataFrame, files: DataFrame) -> DataFrame:
 
     A file of the key's name wins; else the first file by name whose name has the first author's
     name, the year and one of the first five words of the title's first thirty characters. Several
-    papers may get one file. Names meet papers by year and the beginning of the author's name, both
-    of which are substrings of the name, so no pair is lost and not all are compared."""
+    papers may get one file. Names meet papers by the whole author and the year, both of which are
+    parts of the name, so no pair is lost and not all are compared."""
     names = files.select("file", F.lower(F.regexp_replace("file", r"\.[^.]*$", "")).alias("stem"))
     exact = papers.select("key", F.lower("key").alias("stem")).join(names, "stem").groupBy("key").agg(F.min("file").alias("file")).withColumn("how", F.lit("key"))
     title = F.left(F.lower(F.col("title")), F.lit(30))
     rest = papers.join(exact, "key", "left_anti").select("key", first_author(F.col("author")).alias("author"), F.col("year").cast("string").alias("year"), F.slice(F.filter(F.split(title, r"\s+"), lambda w: w != ""), 1, 5).alias("words"))
-    rest = rest.filter("author <> '' and year <> ''").withColumn("head", F.left("author", F.lit(3)))
-    digits = F.filter(_substrings(F.col("stem"), 1, 8), lambda x: F.rlike(x, F.lit(r"^[0-9]+$")))
-    by = names.withColumn("year", F.explode(digits)).withColumn("head", F.explode(_substrings(F.col("stem"), 1, 3)))
-    hits = rest.join(by, ["year", "head"]).filter(F.contains("stem", F.col("author")) & F.exists("words", lambda w: F.contains(F.col("stem"), w)))
+    rest = rest.filter("author <> '' and year <> ''")
+    by = _with_authors(names, rest)
+    # The first file for each author, year and word: papers of one author and year share them.
+    asked = rest.withColumn("word", F.explode(F.array_distinct("words")))
+    found = asked.select("author", "year", "word").distinct().join(by, ["author", "year"]).filter(F.contains("stem", F.col("word"))).groupBy("author", "year", "word").agg(F.min("file").alias("file"))
+    hits = asked.join(found, ["author", "year", "word"])
     return exact.unionByName(hits.groupBy("key").agg(F.min("file").alias("file")).withColumn("how", F.lit("author_year_title")))
 
 
@@ -79,59 +79,90 @@ def plain_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
-def squashed(c: str) -> str:
-    """A name in lower case with nothing but letters, digits and ideographs, without ``.pdf``."""
-    bare = c.lower().strip().removesuffix(".pdf")
-    return "".join(x for x in bare if "a" <= x <= "z" or "0" <= x <= "9" or "一" <= x <= "鿿")
+#: Likeness of names of one author and year; the least likeness of two authors of one year, from which
+#: the names' score is ALIKE and a tenth of it.
+SAME_WORK, ALIKE_AUTHORS, ALIKE = 0.98, 0.6, 0.85
+
 
+def bare(c: Column) -> Column:
+    """A name without ``.pdf`` in lower case, of which only letters, digits and ideographs are left."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\.pdf$", ""), "[^a-z0-9\u4e00-\u9fff]", "")
 
-def name_score(key: str, file: str) -> float:
-    """Likeness of a key ``author_year`` to a file name, in tiers: one within the other 0.95; same
-    author and year 0.98; same year and similar authors (0.6 at least) 0.85 and a tenth of their
-    likeness; else the likeness of the whole names."""
-    import re
 
-    a, b = squashed(key), squashed(file)
-    if a in b or b in a:
-        return 0.95
-    author, _, year = key.rpartition("_")
-    found = re.match(r"^([\w一-鿿]+(?:[\s\-]+[\w一-鿿]+)*)\s*(?:等|和[\w一-鿿]+)?\s*-\s*(\d{4})", file)
-    if author and found and found[2] == year.strip():
-        mine, theirs = squashed(author), squashed(re.split("[和&]", found[1])[0].strip())
-        if mine == theirs:
-            return 0.98
-        alike = difflib.SequenceMatcher(None, mine, theirs).ratio()
-        if alike >= 0.6:
-            return 0.85 + alike * 0.1
-    return difflib.SequenceMatcher(None, a, b).ratio()
+def _work_rule(one: pd.Series, many: pd.DataFrame) -> np.ndarray:
+    """Scores that the whole names' letters don't decide."""
+    out = matching._contained_rule(one, many)
+    if one["author"] and one["year"]:
+        same = np.flatnonzero(np.isnan(out) & (many.year == one["year"]).to_numpy() & (many.author != "").to_numpy())
+        if len(same):
+            authors = many.author.iloc[same].tolist()
+            alike = likeness.Names(authors).ratios(one["author"], np.arange(len(same)), 0.0)
+            equal = np.array([a == one["author"] for a in authors])
+            out[same] = np.where(equal, SAME_WORK, np.where(alike >= ALIKE_AUTHORS - 1e-12, ALIKE + 0.1 * alike, np.nan))
+    return out
 
 
-@F.pandas_udf(DoubleType())
-def name_likeness(key: pd.Series, file: pd.Series) -> pd.Series:
-    """``name_score`` as a column; null where either is."""
-    return pd.Series([None if a is None or b is None else name_score(a, b) for a, b in zip(key, file)], dtype=float)
+def name_scores(keys: DataFrame, files: DataFrame, least: float = 0.3, top: int = 5) -> DataFrame:
+    """(id, other, score, place): keys (id, name ``author_year``) with the ``top`` most similar file names
+    (other, name ``author - year - title.pdf``) of ``least`` or more. One name within the other scores 0.95;
+    equal author and year 0.98; equal year and similar authors 0.85 and more; else the likeness of the whole names.
+    Author and year are columns, parsed once from each name; of several authors the first counts."""
+    parts = r"^(.*)_([^_]*)$", r"^(.*?)\s*-\s*([0-9]{4})"
+    first = lambda c: F.split_part(F.regexp_replace(c, "[\u548c&\u7b49]", "\n"), F.lit("\n"), F.lit(1))
+    cut = lambda df, who, p, of: df.select(who, F.struct(bare(F.col("name")).alias("name"), bare(of(F.regexp_extract("name", p, 1))).alias("author"), F.trim(F.regexp_extract("name", p, 2)).alias("year")).alias("key")).filter("key.name <> ''")
+    return matching._matches(cut(keys, "id", parts[0], lambda c: c), cut(files, "other", parts[1], first), least, top, _work_rule)
 
 
-def title_map(papers: DataFrame, files: DataFrame, least: float = 0.8) -> DataFrame:
-    """(key, file, score): papers (key, title) with the file whose name's title is the same, or else the
-    most similar of ``least`` or more (of 80 characters), each file once, as mutual best pairs."""
+def title_map(papers: DataFrame, files: DataFrame, least: float = 0.8, top: int = 5) -> DataFrame:
+    """(key, file, score): what results if one paper (key, title) after another, in ascending order, takes its
+    best file that is still free: one whose name's title is the same, else the most similar of
+    ``least`` or more (of 80 characters); of equal scores the least file.
+
+    Each paper is first given its ``top`` files. Papers up to the first that has found all of its files taken and
+    may have more are settled; the others go on with the files that are left and four times as many
+    places, until nobody finds any. So many equal titles don't make all pairs."""
     mine = papers.select("key", plain_title(F.col("title")).alias("a")).filter("a <> ''")
     theirs = files.select("file", plain_title(name_title(F.col("file"))).alias("b")).filter("b <> ''")
-    same = mine.join(theirs, F.col("a") == F.col("b")).select("key", "file", F.lit(1.0).alias("score"))
-    left = mine.join(same, "key", "left_anti").select(F.col("key").alias("id"), F.left("a", F.lit(80)).alias("name"))
-    right = theirs.join(same, "file", "left_anti").select(F.col("file").alias("other"), F.left("b", F.lit(80)).alias("name"))
-    alike = matching.best_matches(left, right, least, contained=False)
-    scored = alike.select(F.col("id").alias("key"), F.col("other").alias("file"), "score").unionByName(same)
-    best = scored.withColumn("x", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "file"))).withColumn("y", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "key")))
-    return best.filter("x = 1 and y = 1").select("key", "file", "score")
+    done = None
+    while True:
+        a = mine if done is None else mine.join(done, F.col("key") == F.col("id"), "left_anti")
+        b = theirs if done is None else theirs.join(done, F.col("file") == F.col("other"), "left_anti")
+        found = shared.stored(_candidates(a, b, least, top), "candidates")
+        if done is not None and found.isEmpty():
+            return done.select(F.col("id").alias("key"), F.col("other").alias("file"), F.least("score", F.lit(1.0)).alias("score"))
+        got = shared.stored(matching.each_once(found), "got")
+        open_ = found.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= top).join(got, "id", "left_anti").agg(F.min("id").alias("open"))
+        got = got.join(F.broadcast(open_), F.col("open").isNull() | (F.col("id") < F.col("open"))).select("id", "other", "score")  # open_ is one row
+        done = shared.stored(got if done is None else done.unionByName(got), "bound")
+        top *= 4
+
+
+def _candidates(mine: DataFrame, theirs: DataFrame, least: float, top: int) -> DataFrame:
+    """(id, other, score): the ``top`` files of each paper; a file of the same title scores 2."""
+    nth = theirs.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("file"))).filter(F.col("n") <= top)
+    same = mine.join(nth, F.col("a") == F.col("b")).select(F.col("key").alias("id"), F.col("file").alias("other"), F.lit(2.0).alias("score"))
+    left, right = mine.select(F.col("key").alias("id"), F.left("a", F.lit(80)).alias("name")), theirs.select(F.col("file").alias("other"), F.left("b", F.lit(80)).alias("name"))
+    alike = matching.best_matches(left, right, least, top, contained=False).select("id", "other", "score")
+    every = same.unionByName(alike).groupBy("id", "other").agg(F.max("score").alias("score"))
+    return every.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("n") <= top).drop("n")
+
+
+def _with_authors(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """names (file, stem) for each of the ``wanted`` (author, year) that are part of the stem. Authors are found
+    by equality, among the stem's parts of just the lengths that authors have."""
+    lengths = [r.n for r in wanted.select(F.length("author").alias("n")).distinct().collect()]  # as many as lengths of a name
+    parts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths or [1])), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem") - n + 1, F.lit(1))), lambda i: F.substring("stem", i, n)))))
+    held = names.withColumn("author", F.explode(parts)).join(wanted.select("author").distinct(), "author")
+    digits = F.filter(_substrings(F.col("stem"), 1, 8), lambda x: F.rlike(x, F.lit(r"^[0-9]+$")))
+    return held.withColumn("year", F.explode(digits)).join(wanted.select("author", "year").distinct(), ["author", "year"])
 
 
 def author_year_map(keys: DataFrame, files: DataFrame) -> DataFrame:
     """(key, file): the first file by name that has the author of ``author_year`` and the year. keys: key, year."""
     author = F.lower(F.element_at(F.split(F.regexp_extract("key", r"^(.*)_", 1), "[, ]"), 1))
     mine = keys.select("key", F.col("year").cast("string").alias("year"), author.alias("author")).filter("author <> '' and year <> ''")
-    names = files.select("file", F.lower("file").alias("name")).withColumn("year", F.explode(F.filter(_substrings(F.lower("file"), 1, 8), lambda x: F.rlike(x, F.lit(r"^[0-9]+$")))))
-    return mine.join(names, "year").filter(F.contains("name", F.col("author"))).groupBy("key").agg(F.min("file").alias("file"))
+    by = _with_authors(files.select("file", F.lower("file").alias("stem")), mine)
+    return mine.join(by, ["author", "year"]).groupBy("key").agg(F.min("file").alias("file"))
 
 
 def apply_choices(choices: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import rules
 from tamis.functions import text as T
+from tamis.operators import terms
 
 
 def issue(df: DataFrame, when: Column, severity: str | Column, scope: str, uid: str, message: str, evidence: Column) -> DataFrame:
@@ -86,11 +87,18 @@ def by_severity(findings: DataFrame) -> DataFrame:
 def absent_artifacts(lock: DataFrame, texts: DataFrame, records: DataFrame) -> DataFrame:
     """(severity, uid, category, evidence) of locked uids without a text (HIGH) or without a record (MEDIUM).
     An empty text is none."""
-    out = lock.select("uid").distinct().join(texts.filter("text <> ''").select("uid", F.lit(True).alias("has_text")), "uid", "left").join(records.select("uid", F.lit(True).alias("has_record")).distinct(), "uid", "left")
+    out = lock.select("uid").distinct().join(texts.filter("text <> ''").select("uid", F.lit(True).alias("has_text")).distinct(), "uid", "left").join(records.select("uid", F.lit(True).alias("has_record")).distinct(), "uid", "left")
     found = F.array_compact(F.array(F.when(F.col("has_text").isNull(), F.struct(F.lit("HIGH").alias("severity"), F.lit("missing_txt").alias("category"))), F.when(F.col("has_record").isNull(), F.struct(F.lit("MEDIUM").alias("severity"), F.lit("missing_record").alias("category")))))
     return out.select("uid", F.explode(found).alias("f")).select("f.severity", "uid", "f.category", F.lit("").alias("evidence"))
 
 
+def record_audit(lock: DataFrame, texts: DataFrame, records: DataFrame, sections: dict[str, Column], audit_rules: list = rules.AUDIT_RULES) -> DataFrame:
+    """(severity, uid, category, evidence): all findings on the locked uids (uid) by their texts (uid, text) and
+    records (uid and what ``sections`` are made of). A uid without a record has no findings beyond that."""
+    held = records.join(lock.select("uid").distinct(), "uid", "left_semi")
+    return audit_findings(held, "uid", sections, audit_rules).unionByName(absent_artifacts(lock, texts, records.select("uid")))
+
+
 def rule_audit(records: DataFrame) -> DataFrame:
     """(key, decision, risk_categories, context): records (key, decision, c, o, reason) of which a
     decision and the words of its reasons disagree; categories joined by ``;``."""
@@ -140,14 +148,13 @@ def admin_lists(lock: DataFrame, included: DataFrame, excluded: DataFrame) -> Da
     )
 
 
-def downstream(files: DataFrame, excluded: list[str]) -> DataFrame:
-    """Issues of excluded uids (an administrator's list, given as such) that occur in files (path, text):
-    in the text of tables, or in the names of JSON files outside of folders set aside."""
-    uids = F.array(*map(F.lit, excluded)) if excluded else F.array().cast("array<string>")
+def downstream(files: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Issues of excluded uids (a table, uid) that occur in files (path, text): in the text of tables, or
+    in the names of JSON files outside of folders set aside. All uids are looked for at once."""
     name = F.element_at(F.split("path", "/"), -1)
     aside = F.contains("path", F.lit("_excluded")) | F.contains(F.lower("path"), F.lit("quarantine"))
     where = F.when(F.endswith("path", F.lit(".tsv")), F.coalesce("text", F.lit(""))).when(F.endswith("path", F.lit(".json")) & ~aside, name).otherwise("")
-    hits = files.select("path", where.alias("_w")).select("path", F.explode(F.filter(uids, lambda u: F.contains(F.col("_w"), u))).alias("uid"))
+    hits = terms.found_terms(files.select(F.col("path").alias("key"), where.alias("text")), excluded.select(F.col("uid").alias("term_id"), F.col("uid").alias("term"))).select(F.col("key").alias("path"), F.col("term_id").alias("uid"))
     return issue(hits, F.lit(True), "FAIL", "downstream", "uid", "excluded uid downstream", F.col("path"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions import text as T
+from tamis.operators import likeness, shared
 
 
 def first_rule(text: Column, patterns: list[str], keywords: list[str]) -> Column:
@@ -24,114 +24,84 @@ def first_rule(text: Column, patterns: list[str], keywords: list[str]) -> Column
     return hit
 
 
-def quote_ratio(docs: DataFrame, quotes: DataFrame, least: float = 0.72) -> DataFrame:
-    """(item_id, doc_id, hits, tokens) where at least ``least`` of a quote's long tokens (repeats
-    counted) are part of the document's normalized text. docs: doc_id, text; quotes: item_id, text.
-
-    A token has no blank, so it lies within one word: tokens are looked up in the vocabulary by
-    their first four characters, and documents by words. A document that lacks more than ``1 -
-    least`` of a quote's tokens isn't found, so one that is found has one of any tokens of more than
-    that share: only a quote's rarest tokens of so much weight make candidates, and the others are
-    counted for these alone. Equal texts are searched once.
-    """
-    tokens = quotes.select("item_id", F.explode(T.long_tokens(T.normalize(F.col("text")))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("m"))
-    texts = docs.select("doc_id", T.normalize(F.col("text")).alias("norm")).withColumn("h", F.sha2(F.col("norm").cast("binary"), 256))
-    words = texts.select("h", "norm").dropDuplicates(["h"]).select("h", F.explode(F.array_distinct(T.long_tokens(F.col("norm")))).alias("word"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring("word", i, F.lit(4))))
-    vocabulary = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("gram", F.explode(grams))
-    held = tokens.select("token").distinct().withColumn("gram", F.left("token", F.lit(4)))
-    pairs = vocabulary.join(held, "gram").filter(F.contains("word", F.col("token"))).select("word", "n", "token").distinct()
-    often = pairs.groupBy("token").agg(F.sum("n").alias("n"))
-    rare = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "token")
-    ranked = tokens.join(often, "token", "left").withColumn("before", F.sum("m").over(rare.rowsBetween(Window.unboundedPreceding, -1))).withColumn("tokens", F.sum("m").over(Window.partitionBy("item_id")))
-    # The tokens before hold at most what may lack; the one that exceeds it is still needed.
-    ranked = ranked.withColumn("lead", F.coalesce("before", F.lit(0)) <= F.col("tokens") - least * F.col("tokens") + 1e-6).drop("before", "n")
-    found = words.join(pairs.select("word", "token"), "word").select("h", "token").distinct()
-    candidates = found.join(ranked.filter("lead").select("item_id", "token"), "token").select("item_id", "h").distinct()
-    hits = candidates.join(ranked, "item_id").join(found, ["h", "token"]).groupBy("item_id", "h").agg(F.sum("m").alias("hits"), F.first("tokens").alias("tokens"))
-    return hits.filter(F.col("hits") >= least * F.col("tokens")).join(texts.select("h", "doc_id"), "h").select("item_id", "doc_id", "hits", "tokens")
-
-
-def quote_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(item_id, doc_id) where the normalized quote is part of the normalized text.
-
-    The text has every inner word of a quote whole, and its last word begins (its first word ends) one
-    of the text's: quotes meet texts by their longest inner word; those of two words by the first
-    word's end, and those of one word by the vocabulary's words that have it. Candidates are pairs of
-    numbers; each text that is one is fetched once for them."""
-    texts = docs.select("doc_id", T.normalize(F.col("text")).alias("norm"))
-    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    wanted = quotes.select("item_id", T.normalize(F.col("text")).alias("quote")).filter("quote <> ''").withColumn("w", F.split("quote", " "))
-    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
-    anchored = wanted.filter(F.size("w") >= 3).select("item_id", longest.alias("word"))
-    short = wanted.filter(F.size("w") < 3).select("item_id", F.size("w").alias("n"), F.get("w", 0).alias("part"))
-    # Parts of words: by their first three characters (fewer, if they have not so many).
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(*[F.substring("word", i, F.lit(k)) for k in (1, 2, 3)]))))
-    held = words.select("word").distinct().join(F.broadcast(short.limit(1).select(F.lit(True).alias("any"))), F.col("any")).withColumn("gram", F.explode(pieces))
-    within = held.join(short.withColumn("gram", F.left("part", F.lit(3))), "gram").filter(F.when(F.col("n") == 2, F.endswith("word", F.col("part"))).otherwise(F.contains("word", F.col("part"))))
-    keys = anchored.unionByName(within.select("item_id", "word")).distinct()
-    candidates = words.join(keys, "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    met = texts.join(candidates, "doc_id").select("doc_id", "norm", F.explode("items").alias("item_id"))
-    return met.join(wanted.select("item_id", "quote"), "item_id").filter(F.contains("norm", F.col("quote"))).select("item_id", "doc_id").distinct()
-
-
 #: Names of either side that are compared with each other in one group.
-NAMES_LEFT, NAMES_RIGHT = 500, 5000
-
-
-def _letters(names: list[str]) -> np.ndarray:
-    """How often each name has each character, by code point modulo 64."""
-    return np.array([np.bincount(np.fromiter(map(ord, x), dtype=np.int64, count=len(x)) % 64, minlength=64) for x in names], dtype=np.int32).reshape(-1, 64)
-
-
-def _best_of(mine: list[str], names: list[str], held: list[int], least: float, top: int, contained: bool = True) -> Iterator[tuple[int, int, float]]:
-    """(i, j, score) of each of ``mine`` with the ``names`` that can be among its ``top`` rows, ``held``
-    rows for each name. No ratio is above twice the shared letters over all letters, so names are
-    scored in the order of that bound until it is below the last place."""
-    letters, length = _letters(names), np.array([len(x) for x in names])
-    for i, (a, own) in enumerate(zip(mine, _letters(mine))):
-        bound = 2 * np.minimum(letters, own).sum(axis=1) / (length + len(a))
-        inside = np.fromiter((contained and (b in a or a in b) for b in names), dtype=bool, count=len(names))
-        best = [0.95] * min(top, sum(held[j] for j in np.flatnonzero(inside)))
-        yield from ((i, int(j), 0.95) for j in np.flatnonzero(inside))
-        for j in np.argsort(-bound, kind="stable").tolist():
-            if bound[j] < least - 1e-9 or (len(best) >= top and bound[j] < best[-1] - 1e-9):
+NAMES_LEFT, NAMES_RIGHT = 500, 1500
+#: Likeness of names one of which is within the other.
+CONTAINED = 0.95
+
+
+def _best_of(left: pd.DataFrame, right: pd.DataFrame, least: float, top: int, rule) -> Iterator[tuple[int, int, float]]:
+    """(i, j, score) of each left name with the right ones that can be among its ``top`` rows; ``held`` of a
+    right name says how many rows it stands for. ``rule`` gives scores that are known without comparing
+    letters (nan: none). Of the others no ratio is above twice the shared letters over all letters,
+    so they are compared in the order of that bound, a batch at a time, until it is below the last place."""
+    names = likeness.Names(right.name.tolist())
+    held = right.held.to_numpy()
+    for i, (name, own) in enumerate(zip(left.name, likeness.letters(left.name.tolist()))):
+        known = rule(left.iloc[i], right) if rule else np.full(len(right), np.nan)
+        found = [(float(known[j]), int(j)) for j in np.flatnonzero(known >= least)]
+        bound = names.bounds(own, len(name))
+        order = np.argsort(-bound, kind="stable")
+        order = order[np.isnan(known[order]) & (bound[order] >= least - 1e-9)]
+        at, size = 0, likeness.BATCH // 8
+        while at < len(order):
+            best = np.repeat([x for x, _ in found], [held[j] for _, j in found]) if found else np.zeros(0)
+            cut = max(least, float(np.partition(best, -top)[-top])) if len(best) >= top else least
+            batch = order[at : at + size]
+            batch = batch[bound[batch] >= cut - 1e-9]
+            if not len(batch):
                 break
-            if inside[j]:
-                continue
-            score = difflib.SequenceMatcher(None, a, names[j]).ratio()
-            if score >= least and (len(best) < top or score >= best[-1]):
-                best = sorted([*best, *[score] * held[j]], reverse=True)[:top]
-                yield i, j, score
-
+            at, size = at + size, likeness.BATCH
+            scores = names.ratios(name, batch, cut)
+            found = [(x, j) for x, j in found if x >= cut] + [(float(x), int(j)) for x, j in zip(scores, batch) if x >= cut]
+        yield from ((i, j, x) for x, j in found)
 
-def best_matches(left: DataFrame, right: DataFrame, least: float = 0.3, top: int = 5, contained: bool = True) -> DataFrame:
-    """left (id, name) and right (other, name): the ``top`` most similar of all names that score at
-    least ``least``, as (id, other, score, place). Containment scores 0.95 (with ``contained``), else the matching-blocks
-    similarity of difflib counts; names are normalized, and those that are then empty have no match.
 
-    Distinct names of both sides are dealt into groups, and every two groups meet, so no pair is
-    lost; of rows with one name only the first ``top`` can have a place.
-    """
+def _matches(mine: DataFrame, theirs: DataFrame, least: float, top: int, rule) -> DataFrame:
+    """(id, other, score, place) from mine (id, key: a struct with name) and theirs (other, key). Distinct
+    keys of both sides are dealt into groups, and every two groups meet, so no pair is lost; of rows
+    with one key only the first ``top`` can have a place."""
     place = lambda i, *by: F.row_number().over(Window.partitionBy(i).orderBy(*by))
-    mine = left.select("id", T.normalize(F.col("name")).alias("id_name")).filter("id_name <> ''")
-    theirs = right.select("other", T.normalize(F.col("name")).alias("other_name")).filter("other_name <> ''")
-    theirs = theirs.withColumn("_p", place("other_name", "other")).filter(F.col("_p") <= top).drop("_p")
-    a, b = mine.select("id_name").distinct(), theirs.groupBy("other_name").agg(F.count("*").alias("held"))
+    theirs = theirs.withColumnRenamed("key", "other_key").withColumn("_p", place("other_key", "other")).filter(F.col("_p") <= top).drop("_p")
+    a, b = mine.select("key").distinct(), theirs.groupBy("other_key").agg(F.count("*").alias("held"))
     parts, blocks = -(-a.count() // NAMES_LEFT) or 1, -(-b.count() // NAMES_RIGHT) or 1
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = a.withColumn("part", F.pmod(F.xxhash64("id_name"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
-    b = b.withColumn("block", F.pmod(F.xxhash64("other_name"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+    fields = mine.schema["key"].dataType.fieldNames()
+    a = a.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("block", each(blocks)).select("part", "block", "key.*")
+    b = b.withColumn("block", F.pmod(F.xxhash64("other_key"), F.lit(blocks)).cast("int")).withColumn("part", each(parts)).select("part", "block", "held", "other_key.*")
+    a, b = (x.repartition(parts * blocks, "part", "block") for x in (a, b))
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        p, q = x.id_name.tolist(), y.other_name.tolist()
-        found = _best_of(p, q, y.held.tolist(), least, top, contained) if p and q else ()
-        return pd.DataFrame([(p[i], q[j], s) for i, j, s in found], columns=["id_name", "other_name", "score"]).astype({"score": float})
+        found = list(_best_of(x, y, least, top, rule)) if len(x) and len(y) else []
+        i, j, scores = ([f[k] for f in found] for k in range(3))
+        out = {f"a_{f}": x[f].to_numpy()[i] for f in fields} | {f"b_{f}": y[f].to_numpy()[j] for f in fields}
+        return pd.DataFrame(out | {"score": np.array(scores, dtype=float)})
+
+    kinds = ", ".join(f"{side}_{f} string" for side in "ab" for f in fields)
+    scored = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(score, f"{kinds}, score double")
+    scored = scored.select(*[F.struct(*[F.col(f"{side}_{f}").alias(f) for f in fields]).alias(name) for side, name in (("a", "key"), ("b", "other_key"))], "score")
+    ranked = scored.join(theirs, "other_key").withColumn("place", place("key", F.desc("score"), "other")).filter(F.col("place") <= top)
+    return mine.join(ranked, "key").select("id", "other", "score", "place")
+
+
+def _within(name: str, names: pd.Series) -> np.ndarray:
+    return np.fromiter((x in name or name in x for x in names), dtype=bool, count=len(names))
 
-    scored = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(score, "id_name string, other_name string, score double")
-    ranked = scored.join(theirs, "other_name").withColumn("place", place("id_name", F.desc("score"), "other")).filter(F.col("place") <= top)
-    return mine.join(ranked, "id_name").select("id", "other", "score", "place")
+
+def _contained_rule(one: pd.Series, many: pd.DataFrame) -> np.ndarray:
+    return np.where(_within(one["name"], many.name), CONTAINED, np.nan)
+
+
+def best_matches(left: DataFrame, right: DataFrame, least: float = 0.3, top: int = 5, contained: bool = True) -> DataFrame:
+    """left (id, name) and right (other, name): the ``top`` most similar of all names that score at
+    least ``least``, as (id, other, score, place). Containment scores 0.95 (with ``contained``), else the matching-blocks
+    similarity of difflib counts; names are normalized, and those that are then empty have no match.
+
+    Below a ratio of 2/3 two names need not share any two neighbouring letters, so no index of
+    q-grams can say which pairs count: all are bounded by their letters, and those that may have a
+    place are compared many at once (see ``likeness``). The time so grows with both sides."""
+    named = lambda df, who: df.select(who, T.normalize(F.col("name")).alias("n")).filter("n <> ''").select(who, F.struct(F.col("n").alias("name")).alias("key"))
+    return _matches(named(left, "id"), named(right, "other"), least, top, _contained_rule if contained else None)
 
 
 def mutual_best(matches: DataFrame) -> DataFrame:
@@ -139,3 +109,19 @@ def mutual_best(matches: DataFrame) -> DataFrame:
     mine = matches.withColumn("a", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
     both = mine.withColumn("b", F.row_number().over(Window.partitionBy("other").orderBy(F.desc("score"), "id")))
     return both.filter("a = 1 and b = 1").select("id", "other", "score")
+
+
+def each_once(matches: DataFrame) -> DataFrame:
+    """(id, other, score): what results if one id after another (in ascending order) takes its best
+    ``other`` that is still free (of equal scores, the least). Deferred acceptance: in each round all ids ask
+    for the best that has not refused them; of those who ask for one, the least id holds it and
+    all later ids are refused by it for good, whether they have asked yet or not. Ends when none is refused."""
+    left = shared.stored(matches.select("id", "other", "score").dropDuplicates(["id", "other"]), "matches")
+    first = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    while True:
+        asked = left.withColumn("n", F.row_number().over(first)).filter("n = 1")
+        held = shared.stored(asked.groupBy("other").agg(F.min("id").alias("holder")), "held")
+        refused = left.join(held, "other").filter("id > holder").select("id", "other")
+        if refused.isEmpty():
+            return asked.select("id", "other", "score")
+        left = shared.stored(left.join(refused, ["id", "other"], "left_anti"), "matches")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import rules
 from tamis.functions import text as T
-from tamis.operators import binding, decisions, gates, matching, progress, quality, reports, runs
+from tamis.operators import binding, decisions, gates, progress, quality, reports, runs, terms
 from tamis.plans.catalogue import NOW, SCREENING_SQL, STOP_SQL, events, judged, norm_sql, query, screening, tokens_sql
 
 
@@ -41,8 +41,9 @@ FIRST_SQL += " " + " ".join(f"when contains(lower(t), {quoted(k)}) then {i}" for
 
 @query(f"with r as (select doc_id, {HEAD_SQL} || split_part(text, chr(10), 1) as t from documents) select doc_id, cast({FIRST_SQL} as int) as rule_id from r where {FIRST_SQL} is not null")
 def q_review_rules(spark, t):
-    hit = matching.first_rule(F.concat(term("doc_id", HEADS, 14), T.title(F.col("text"))), rules.REVIEW_PATTERNS, rules.REVIEW_KEYWORDS)
-    return t("documents").select("doc_id", hit.alias("hit")).filter("hit is not null").select("doc_id", "hit.rule_id")
+    texts = t("documents").select(F.col("doc_id").alias("key"), F.concat(term("doc_id", HEADS, 14), T.title(F.col("text"))).alias("text"))
+    keywords = spark.createDataFrame(list(enumerate(rules.REVIEW_KEYWORDS, 1)), "term_id int, term string")
+    return terms.first_rule(texts, rules.REVIEW_PATTERNS, keywords).select(F.col("key").alias("doc_id"), F.col("rule_id").cast("int").alias("rule_id"))
 
 
 # --- Audits of records by their reasons ------------------------------------------------------------
@@ -51,11 +52,16 @@ O_TERMS = ["knowledge test", "score and accuracy, retention", "same day question
 S_TERMS = ["pilot study", "randomized", "cross-sectional; control group", "feasibility", "known-groups", ""]
 R_TERMS = ["应为INCLUDE", "all five pass", "plain reason", "VR-only", "operating room", "quiz", "", "", "", "", ""]
 MADE = {"c": (C_TERMS, 8), "o": (O_TERMS, 9), "st": (S_TERMS, 7), "reason": (R_TERMS, 11)}
-RECORDS_SQL = f"k as (select s.doc_id as key, s.decision, {', '.join(f'{term_sql("s.doc_id", *x)} as {name}' for name, x in MADE.items())} from s)"
+#: What a section has besides its term: the whole text, or its first line.
+REAL_SQL = {"c": "' ' || d.text", "o": "' ' || split_part(d.text, chr(10), 1)", "st": "' ' || split_part(d.text, chr(10), 1)", "reason": "''"}
+RECORDS_SQL = f"k as (select s.doc_id as key, s.decision, {', '.join(f'{term_sql("s.doc_id", *x)} || {REAL_SQL[name]} as {name}' for name, x in MADE.items())} from s join documents d on d.doc_id = s.doc_id)"
 
 
 def records(t) -> DataFrame:
-    return screening(t).select(F.col("doc_id").alias("key"), "decision", *[term("doc_id", *x).alias("s" if name == "st" else name) for name, x in MADE.items()])
+    real = {"c": F.concat(F.lit(" "), "text"), "reason": F.lit("")}
+    line = F.concat(F.lit(" "), T.title(F.col("text")))
+    rows = screening(t).join(t("documents").select("doc_id", "text"), "doc_id")
+    return rows.select(F.col("doc_id").alias("key"), "decision", *[F.concat(term("doc_id", *x), real.get(name, line)).alias("s" if name == "st" else name) for name, x in MADE.items()])
 
 
 RISK_SQL = SCREENING_SQL + f""", {RECORDS_SQL}, a as (select key, decision, list_filter([case when decision = 'INCLUDE' and {any_sql('lower(c || reason)', rules.RISK_INTERNAL)} then '{rules.RISK_CATEGORIES[0]}' end,
@@ -82,7 +88,7 @@ def picos_sql() -> str:
     parts = []
     for severity, category, where, hit, other, lacks, least in rules.AUDIT_RULES:
         text = "concat_ws(' ', " + ", ".join({"C": "nc", "O": "no", "S": "ns"}[s] for s in where) + ")"
-        parts.append(f"select '{severity}' as severity, key as uid, '{category}' as category, array_to_string(list_slice({hits_sql(text, hit)}, 1, 8), ', ') as evidence from n where len({hits_sql(text, hit)}) > 0 and len({hits_sql({'C': 'nc', 'O': 'no', 'S': 'ns'}[other], lacks)}) < {least}")
+        parts.append(f"select '{severity}' as severity, key as uid, '{category}' as category, array_to_string(list_slice({hits_sql(text, hit)}, 1, 8), ', ') as evidence from h where len({hits_sql(text, hit)}) > 0 and len({hits_sql({'C': 'nc', 'O': 'no', 'S': 'ns'}[other], lacks)}) < {least}")
     return " union all ".join(parts)
 
 
@@ -90,14 +96,13 @@ NORMAL_SQL = f"n as (select key, {norm_sql('c')} as nc, {norm_sql('o')} as no, {
 ABSENT_SQL = "l as (select doc_id as uid from s where decision = 'INCLUDE'), x as (select l.uid, (select max(1) from documents d where d.doc_id = l.uid and d.doc_id % 6 <> 1 and d.text <> '') as txt, (select max(1) from s where s.doc_id = l.uid and s.doc_id % 9 <> 2) as rec from l)"
 
 
-@query(f"with {SCREENING_SQL}, {RECORDS_SQL}, {NORMAL_SQL}, {ABSENT_SQL} {picos_sql()} union all select 'HIGH', uid, 'missing_txt', '' from x where txt is null union all select 'MEDIUM', uid, 'missing_record', '' from x where rec is null")
+@query(f"with {SCREENING_SQL}, {RECORDS_SQL}, {NORMAL_SQL}, {ABSENT_SQL}, h as (select n.* from n join l on l.uid = n.key where n.key % 9 <> 2) {picos_sql()} union all select 'HIGH', uid, 'missing_txt', '' from x where txt is null union all select 'MEDIUM', uid, 'missing_record', '' from x where rec is null")
 def q_picos_audit(spark, t):
     """All findings on records: what their sections say, and texts or records that lack."""
     lock = screening(t).filter("decision = 'INCLUDE'").select(F.col("doc_id").alias("uid"))
     texts = t("documents").filter("doc_id % 6 <> 1").select(F.col("doc_id").alias("uid"), "text")
-    held = screening(t).filter("doc_id % 9 <> 2").select(F.col("doc_id").alias("uid"))
-    said = gates.audit_findings(records(t), "key", {"C": F.col("c"), "O": F.col("o"), "S": F.col("s")})
-    return said.unionByName(gates.absent_artifacts(lock, texts, held))
+    held = records(t).withColumnRenamed("key", "uid").filter("uid % 9 <> 2")
+    return gates.record_audit(lock, texts, held, {"C": F.col("c"), "O": F.col("o"), "S": F.col("s")})
 
 
 # --- Judgements ------------------------------------------------------------------------------------
@@ -192,12 +197,25 @@ def q_file_map(spark, t):
     return binding.file_map(papers(t), files(t).select("file"))
 
 
-MAP_SQL = f"{FILES_SQL}, m as (select 'k' || page_id * 5 as key, file, sha256(left(html, 48)) as sha256 from f join pages using (page_id))"
+@query()
+def q_title_map(spark, t):
+    """Papers in the order of key with the most similar file title that is still free, each file once."""
+    return binding.title_map(papers(t).select("key", "title"), files(t).select("file"))
+
+
+@query()
+def q_name_score(spark, t):
+    """Keys author_year of papers with the five most similar file names."""
+    keys = papers(t).filter("author <> ''").select(F.concat(F.split_part("author", F.lit(","), F.lit(1)), F.lit("_"), F.col("year").cast("string")).alias("name")).distinct()
+    return binding.name_scores(keys.select(F.col("name").alias("id"), "name"), files(t).select(F.col("page_id").alias("other"), F.col("file").alias("name")))
+
+
+MAP_SQL = f"{FILES_SQL}, m as (select 'k' || page_id * 5 as key, file, sha256(html) as sha256 from f join pages using (page_id))"
 
 
 @query(f"with {PAPERS_SQL}, {MAP_SQL}, g as (select sha256 from m where sha256 is not null group by 1 having count(distinct key) > 1) select key, 'unknown key' as problem from m where key not in (select key from p) union all select key, 'file shared' from m join g using (sha256)")
 def q_map_problems(spark, t):
-    mapping = files(t).join(t("pages").select("page_id", F.sha2(F.left("html", F.lit(48)).cast("binary"), 256).alias("sha256")), "page_id").select(F.concat(F.lit("k"), (F.col("page_id") * 5).cast("string")).alias("key"), "file", "sha256")
+    mapping = files(t).join(t("pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256")), "page_id").select(F.concat(F.lit("k"), (F.col("page_id") * 5).cast("string")).alias("key"), "file", "sha256")
     return binding.map_problems(mapping, papers(t))
 
 
@@ -245,15 +263,18 @@ def q_admin_lists(spark, t):
     return gates.admin_lists(uid.filter("uid % 3 <> 0"), uid.filter("uid % 10 = 0"), uid.filter("uid % 15 = 1"))
 
 
-EXCLUDED = ["token", "user12", "example.com", "page"]
+#: Excluded uids: pages of excluded documents, and two words that texts hold.
+EXCLUDED_SQL = SCREENING_SQL + ", x as (select 'page' || doc_id as u from s where decision = 'EXCLUDE' union select 'token' union select 'example.com')"
 PATHS_SQL = "case when page_id % 3 = 0 then '/p4/t' || page_id || '.tsv' when page_id % 3 = 1 then '/rob/page' || page_id || '.json' else '/rob/_excluded/page' || page_id || '.json' end"
 
 
-@query(f"with f as (select {PATHS_SQL} as path, html as text from pages), w as (select path, case when ends_with(path, '.tsv') then text when not contains(path, '_excluded') then regexp_extract(path, '[^/]+$') else '' end as w from f) select 'FAIL' as severity, 'downstream' as scope, u as uid, 'excluded uid downstream' as message, path as evidence from w, unnest([{', '.join(map(quoted, EXCLUDED))}]) as x(u) where contains(w, u)")
+@query(f"with {EXCLUDED_SQL}, f as (select {PATHS_SQL} as path, html as text from pages), w as (select path, case when ends_with(path, '.tsv') then text when not contains(path, '_excluded') then regexp_extract(path, '[^/]+$') else '' end as w from f) select 'FAIL' as severity, 'downstream' as scope, u as uid, 'excluded uid downstream' as message, path as evidence from w, x where contains(w, u)")
 def q_downstream(spark, t):
+    words = spark.createDataFrame([("token",), ("example.com",)], "uid string")
+    excluded = screening(t).filter("decision = 'EXCLUDE'").select(F.concat(F.lit("page"), F.col("doc_id").cast("string")).alias("uid")).unionByName(words)
     k, number = F.col("page_id") % 3, F.col("page_id").cast("string")
     path = F.when(k == 0, F.concat(F.lit("/p4/t"), number, F.lit(".tsv"))).when(k == 1, F.concat(F.lit("/rob/page"), number, F.lit(".json"))).otherwise(F.concat(F.lit("/rob/_excluded/page"), number, F.lit(".json")))
-    return gates.downstream(t("pages").select(path.alias("path"), F.col("html").alias("text")), EXCLUDED)
+    return gates.downstream(t("pages").select(path.alias("path"), F.col("html").alias("text")), excluded)
 
 
 @query("""select * from (select 'tables' as "check", false as ok, 'progress' as evidence union all select 'papers', (select count(*) from documents) > 0, cast((select count(*) from documents) as varchar) union all select 'screening', (select count(*) from labels) <= (select count(*) from documents), cast((select count(*) from labels) as varchar))""")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import text as T
-from tamis.operators import decisions, gates, matching, progress, runs
+from tamis.operators import decisions, gates, matching, progress, runs, terms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -254,7 +254,7 @@ def q_lock_vs_db(spark, t):
 
 @query(f"with d as (select doc_id, {norm_sql('text')} as norm from documents), b as (select item_id, {norm_sql('text')} as quote from benchmark) select item_id, doc_id from b join d on contains(norm, quote) where quote <> ''")
 def q_quote_exact(spark, t):
-    return matching.quote_exact(t("documents"), t("benchmark"))
+    return terms.quotes_in(t("documents"), t("benchmark"))
 
 
 RATIO_SQL = f"d as (select doc_id, {norm_sql('text')} as norm from documents), b as (select item_id, {tokens_sql('text')} as tk from benchmark), x as (select item_id, doc_id, len(list_filter(tk, lambda w: contains(norm, w))) as hits, len(tk) as tokens from b, d where len(tk) > 0)"
@@ -262,14 +262,14 @@ RATIO_SQL = f"d as (select doc_id, {norm_sql('text')} as norm from documents), b
 
 @query(f"with {RATIO_SQL} select item_id, doc_id, hits, tokens from x where hits >= 0.72::double * tokens")
 def q_quote_ratio(spark, t):
-    return matching.quote_ratio(t("documents"), t("benchmark")).select("item_id", "doc_id", "hits", "tokens")
+    return terms.overlapping(t("documents"), t("benchmark")).select("item_id", "doc_id", "hits", "tokens")
 
 
 @query(f"""with {RATIO_SQL}, f as (select item_id from x where hits >= 0.72::double * tokens group by 1), u as (select b.item_id // 4 as uid, count(*) as n from b left join f using (item_id) where f.item_id is null group by 1)
  select case when n >= 2 then 'HIGH' else 'MEDIUM' end as severity, uid, 'evidence_not_found' as category, n from u""")
 def q_grounding_findings(spark, t):
     """Records of four quotes each: those of which quotes are in no document."""
-    found = matching.quote_ratio(t("documents"), t("benchmark")).select("item_id").distinct()
+    found = terms.overlapping(t("documents"), t("benchmark")).select("item_id").distinct()
     missing = t("benchmark").join(found, "item_id", "left_anti").groupBy(F.expr("item_id div 4").alias("uid")).agg(F.count("*").alias("n"))
     return gates.grounding_findings(missing)
 

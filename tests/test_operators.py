@@ -2,15 +2,16 @@
 
 import difflib
 import hashlib
-import itertools
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tamis.functions import rules
 from tamis.functions import text as T
-from tamis.operators import binding, decisions, gates, judging, matching, progress, quality, reports, runs
+from tamis.operators import binding, decisions, gates, judging, likeness, matching, progress, quality, reports, runs, terms
 
 
 def one(spark, expression):
@@ -138,10 +139,10 @@ def test_quotes_against_all_pairs(spark):
     d, q = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "item_id int, text string")
     norm = lambda t: T.plain(t or "")
     exact = {(i, j) for i, a in quotes for j, b in docs if norm(a) and norm(a) in norm(b)}
-    assert {(r.item_id, r.doc_id) for r in matching.quote_exact(d, q).collect()} == exact
+    assert {(r.item_id, r.doc_id) for r in terms.quotes_in(d, q).collect()} == exact
     tokens = {i: [x for x in norm(a).split() if len(x) >= 4] for i, a in quotes}
     near = {(i, j) for i, tk in tokens.items() for j, b in docs if tk and sum(x in norm(b) for x in tk) >= 0.72 * len(tk)}
-    assert {(r.item_id, r.doc_id) for r in matching.quote_ratio(d, q).collect()} == near and near - exact
+    assert {(r.item_id, r.doc_id) for r in terms.overlapping(d, q).collect()} == near and near - exact
 
 
 def test_fuzzy_names(spark):
@@ -186,6 +187,35 @@ def test_judges(spark):
     assert [r.wait_seconds for r in judging.attempts(docs.filter("doc_id = 1")).orderBy("attempt").collect()] == [0, 30, 60]
 
 
+def test_terms_against_contains(spark, monkeypatch):
+    rnd = random.Random(2)
+    texts = [(i, "".join(rnd.choices("abc \u4e2d", k=rnd.randrange(0, 60)))) for i in range(200)] + [(900, None), (901, ""), (901, "ab"), (None, "abc")]
+    words = sorted({"".join(rnd.choices("abc \u4e2d", k=rnd.randrange(1, 5))) for _ in range(120)})
+    listed = [(f"u{i}", w) for i, w in enumerate(words)] + [("again", words[0]), ("none", ""), ("null", None), ("again", words[0])]
+    df, known = spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame(listed, "term_id string, term string")
+    want = sorted((str(k), i) for k, t in texts for i, w in set(listed) if w and t and w in t)
+    assert sorted((str(r.key), r.term_id) for r in terms.found_terms(df, known).collect()) == want
+    monkeypatch.setattr(terms, "MOST_TERMS", 17)  # several automata
+    assert sorted((str(r.key), r.term_id) for r in terms.found_terms(df, known).collect()) == want
+    assert terms.found_terms(df, known.limit(0)).count() == terms.found_terms(df.limit(0), known).count() == 0
+    many = spark.range(100_000).selectExpr("cast(id as string) as term_id", "concat('w', lpad(id, 6, '0')) as term")
+    monkeypatch.undo()
+    found = terms.found_terms(spark.createDataFrame([(1, "w000007w099999 w1"), (2, "x")], "key long, text string"), many).collect()
+    assert sorted((r.key, r.term_id) for r in found) == [(1, "7"), (1, "99999")]
+
+
+def test_downstream_and_absent_artifacts(spark):
+    files = spark.createDataFrame([("/a/x.tsv", "u1 and u22"), ("/a/u1.json", "u22"), ("/a/_excluded/u1.json", ""), ("/q/Quarantine/u1.json", ""), ("/a/x.txt", "u1"), ("/a/y.tsv", None)], "path string, text string")
+    excluded = spark.createDataFrame([("u1",), ("u2",), ("",), ("u1",)], "uid string")
+    assert sorted((r.uid, r.evidence) for r in gates.downstream(files, excluded).collect()) == [("u1", "/a/u1.json"), ("u1", "/a/x.tsv"), ("u2", "/a/x.tsv")]
+    lock = spark.createDataFrame([(1,), (2,), (3,), (3,)], "uid long")
+    texts = spark.createDataFrame([(1, "a"), (1, "b"), (2, "")], "uid long, text string")
+    records = spark.createDataFrame([(1, "no control group"), (2, "no control group"), (9, "no control group")], "uid long, c string")
+    rule = [("HIGH", "no_control", "C", ["no control group"], "C", ["desktop"], 1)]
+    got = gates.record_audit(lock, texts, records, {"C": F.col("c")}, rule)
+    assert sorted((r.uid, r.category) for r in got.collect()) == [(1, "no_control"), (2, "missing_txt"), (2, "no_control"), (3, "missing_record"), (3, "missing_txt")]
+
+
 def test_binding(spark):
     papers = spark.createDataFrame([("k1", "De La Garza, M; X", 2019, "A trial of knots"), ("k2", "Wang, L", 2020, "Virtual training of residents"), ("k3", "", 2020, "Virtual"), ("K4", "Zapf", 2013, "Other"), ("k5", "Wang", 2020, "Nothing alike")], "key string, author string, year int, title string")
     names = ["K1.pdf", "b wang 2020 virtual.pdf", "a wang 2020 virtual.pdf", "zapf 2013.pdf", "wang 12020 nothing.pdf"]
@@ -193,23 +223,83 @@ def test_binding(spark):
     got = {r.key: (r.file, r.how) for r in binding.file_map(papers, files).collect()}
     assert got == {"k1": ("K1.pdf", "key"), "k2": ("a wang 2020 virtual.pdf", "author_year_title"), "k5": ("wang 12020 nothing.pdf", "author_year_title")}
     assert [r.key for r in binding.author_year_map(spark.createDataFrame([("Zapf_2013", 2013), ("Ng_2001", 2001)], "key string, year int"), files).collect()] == ["Zapf_2013"]
-    score = binding.name_score
-    assert score("Wang_2024", "Wang_2024_VR.pdf") == 0.95 and score("De La Garza_2019", "De La Garza - 2019 - Title.pdf") == 0.95 and 0.94 < score("De La Garza_2019", "De La Garza 等 - 2019 - Title.pdf") < 0.95 and score("Zapf_2013", "Zapf和Ujiki - 2013 - T.pdf") == 0.98
-    assert 0.91 <= score("Alkadi_2013", "Al-Kadri - 2013 - T.pdf") <= 0.95 and score("Ng_2001", "Wang - 2020 - Knots.pdf") < 0.6
     title = papers.select("key", "title").unionByName(spark.createDataFrame([("t", "Virtual trainings for residents")], "key string, title string"))
     held = spark.createDataFrame([("W 等 - 2020 - Virtual training of residents.pdf",), ("X - 2021 - Virtual trainings of resident.pdf",), ("Y - 2021 - Unlike.pdf",), ("no form.pdf",)], "file string")
     assert {r.key: r.file[0] for r in binding.title_map(title, held).collect()} == {"k2": "W", "t": "X"}
-    norm = lambda x: "".join(c for c in x.lower() if c.isalnum() or c == " ")
-    rnd = random.Random(3)
+
+
+def greedy_titles(papers, files, least=0.8):
+    """One key after another takes the best file that is left."""
+    plain = lambda x: " ".join("".join(c for c in x.lower() if c.isascii() and c.isalnum() or c.isspace()).split())
+    free, out = dict(files), {}
+    for key, title in sorted(papers):
+        mine = plain(title)
+        scores = []
+        for f, x in free.items():
+            theirs = plain(x)
+            if mine and theirs:
+                ratio = difflib.SequenceMatcher(None, T.plain(mine[:80]), T.plain(theirs[:80])).ratio()
+                scores += [(-2 if mine == theirs else -ratio, f)] if mine == theirs or ratio >= least else []
+        if scores:
+            score, f = min(scores)
+            out[key] = (f, min(1.0, -score))
+            del free[f]
+    return out
+
+
+@pytest.mark.parametrize("seed,n,copies,top", [(3, 30, 0, 5), (4, 40, 12, 2), (5, 25, 0, 1)])
+def test_titles_against_one_after_another(spark, seed, n, copies, top):
+    rnd = random.Random(seed)
     words = ["knot", "tying", "in", "virtual", "boxes", "of", "novices", "vr"]
-    a, b = [[(f"{p}{i}", " ".join(rnd.choices(words, k=rnd.randint(1, 6)))) for i in range(30)] for p in "kf"]
-    got = {(r.key, r.file): r.score for r in binding.title_map(spark.createDataFrame(a, "key string, title string"), spark.createDataFrame([(f"{f} - 2020 - {x}.pdf",) for f, x in b], "file string")).collect()}
-    every = {(k, f"{f} - 2020 - {x}.pdf"): difflib.SequenceMatcher(None, norm(t)[:80], norm(x)[:80]).ratio() for (k, t), (f, x) in itertools.product(a, b)}
-    every = {p: s for p, s in every.items() if s >= 0.8}
-    equal = {p for p, s in every.items() if s == 1.0}
-    every = {(k, f): s for (k, f), s in every.items() if s == 1.0 or not any(k == x or f == y for x, y in equal)}
-    top = lambda i, p: min((q for q in every if q[i] == p[i]), key=lambda q: (-every[q], q))
-    assert got == {p: pytest.approx(s) for p, s in every.items() if top(0, p) == p == top(1, p)} and len(got) > 3
+    title = lambda: " ".join(rnd.choices(words, k=rnd.randint(1, 6)))
+    a = [(f"p{i:03d}", title()) for i in range(n)] + [(f"q{i:03d}", "The same title of all") for i in range(copies)] + [("z", ""), ("r", "the same title of al")]
+    b = [(f"f{i:03d} - 2020 - {x}.pdf", x) for i, x in enumerate([title() for _ in range(n)] + ["the same title of all"] * (copies - 2 if copies else 0))]
+    got = binding.title_map(spark.createDataFrame(a, "key string, title string"), spark.createDataFrame([(f,) for f, _ in b], "file string"), top=top).collect()
+    want = greedy_titles(a, b)
+    assert {r.key: (r.file, r.score) for r in got} == {k: (f, pytest.approx(s)) for k, (f, s) in want.items()} and len(got) == len(want) >= 4
+
+
+def test_name_scores_against_all_pairs(spark):
+    keys = ["Wang_2024", "De La Garza_2019", "Zapf_2013", "Alkadi_2013", "Ng_2001", "_2001", "nothing", "Zapf_2013", "", "王_2020"]
+    files = ["Wang_2024_VR.pdf", "De La Garza - 2019 - Title.pdf", "De La Garza \u7b49 - 2019 - Title.pdf", "Zapf\u548cUjiki - 2013 - T.pdf", "Al-Kadri - 2013 - T.pdf", "Wang - 2020 - Knots.pdf", "王 - 2020 - 结.pdf", "no form.pdf", ".pdf"]
+    bare = lambda x: re.sub("[^a-z0-9\u4e00-\u9fff]", "", re.sub(r"\.pdf$", "", x.strip().lower()))
+
+    def score(key, file):
+        a, b = bare(key), bare(file)
+        if not a or not b:
+            return 0
+        if a in b or b in a:
+            return 0.95
+        k, f = re.match(r"^(.*)_([^_]*)$", key), re.match(r"^(.*?)\s*-\s*([0-9]{4})", file)
+        if k and f and k[2].strip() == f[2]:
+            x, y = bare(k[1]), bare(re.split("[\u548c&\u7b49]", f[1])[0])
+            alike = difflib.SequenceMatcher(None, x, y).ratio()
+            if x and y and (x == y or alike >= 0.6):
+                return 0.98 if x == y else 0.85 + 0.1 * alike
+        return difflib.SequenceMatcher(None, a, b).ratio()
+
+    got = {(r.id, r.place): (r.other, r.score) for r in binding.name_scores(spark.createDataFrame(list(enumerate(keys)), "id int, name string"), spark.createDataFrame(list(enumerate(files)), "other int, name string"), 0.3, 4).collect()}
+    want = {}
+    for i, k in enumerate(keys):
+        best = sorted((-score(k, f), j) for j, f in enumerate(files) if score(k, f) >= 0.3)[:4]
+        want |= {(i, n): (j, pytest.approx(-s)) for n, (s, j) in enumerate(best, 1)}
+    assert got == want and any(s == (3, 0.98) for s in got.values()) and any(0.91 < s < 0.95 for _, s in got.values())
+
+
+def test_likeness_of_many_names_is_difflibs():
+    rnd = random.Random(1)
+    for letters, most in (("ab", 12), ("abcd efg", 60), ("abcdefghijklmnop \u4e00\u4e8c", 260), ("ab", 230)):
+        make = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, most)))
+        names = [make() for _ in range(150)]
+        held = likeness.Names(names)
+        for _ in range(12):
+            one = make()
+            want = [difflib.SequenceMatcher(None, one, x).ratio() for x in names]
+            got = held.ratios(one, np.arange(len(names)), 0.0)
+            assert np.allclose(got, want) and (held.bounds(likeness.letters([one])[0], len(one)) >= np.array(want) - 1e-9).all()
+            got = held.ratios(one, np.arange(len(names)), 0.5)
+            assert all(abs(g - w) < 1e-12 or g == -1 and w < 0.5 for g, w in zip(got, want))
+
 
 
 def test_judgements_parse(spark):
