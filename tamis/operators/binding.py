@@ -96,7 +96,7 @@ def _work_rule(one: pd.Series, many: pd.DataFrame) -> np.ndarray:
         same = np.flatnonzero(np.isnan(out) & (many.year == one["year"]).to_numpy() & (many.author != "").to_numpy())
         if len(same):
             authors = many.author.iloc[same].tolist()
-            alike = likeness.Names(authors).ratios(one["author"], np.arange(len(same)), 0.0)
+            alike = likeness.Names([one["author"]], authors).ratios(np.zeros(len(same), np.int64), np.arange(len(same)), np.zeros(len(same)))
             equal = np.array([a == one["author"] for a in authors])
             out[same] = np.where(equal, SAME_WORK, np.where(alike >= ALIKE_AUTHORS - 1e-12, ALIKE + 0.1 * alike, np.nan))
     return out
@@ -113,38 +113,58 @@ def name_scores(keys: DataFrame, files: DataFrame, least: float = 0.3, top: int
     return matching._matches(cut(keys, "id", parts[0], lambda c: c), cut(files, "other", parts[1], first), least, top, _work_rule)
 
 
-def title_map(papers: DataFrame, files: DataFrame, least: float = 0.8, top: int = 5) -> DataFrame:
+def title_map(papers: DataFrame, files: DataFrame, least: float = 0.8, top: int = 32) -> DataFrame:
     """(key, file, score): what results if one paper (key, title) after another, in ascending order, takes its
     best file that is still free: one whose name's title is the same, else the most similar of
     ``least`` or more (of 80 characters); of equal scores the least file.
 
     Each paper is first given its ``top`` files. Papers up to the first that has found all of its files taken and
-    may have more are settled; the others go on with the files that are left and four times as many
+    may have more are settled; the others go on with the files that are left and eight times as many
     places, until nobody finds any. So many equal titles don't make all pairs."""
-    mine = papers.select("key", plain_title(F.col("title")).alias("a")).filter("a <> ''")
-    theirs = files.select("file", plain_title(name_title(F.col("file"))).alias("b")).filter("b <> ''")
-    done = None
+    mine = shared.stored(papers.select("key", plain_title(F.col("title")).alias("a")).filter("a <> ''").withColumn("n", F.left("a", F.lit(80))), "papers")
+    theirs = shared.stored(files.select("file", plain_title(name_title(F.col("file"))).alias("b")).filter("b <> ''").withColumn("m", F.left("b", F.lit(80))), "files")
+    done, alike, names = None, None, NAMES_OF
     while True:
         a = mine if done is None else mine.join(done, F.col("key") == F.col("id"), "left_anti")
         b = theirs if done is None else theirs.join(done, F.col("file") == F.col("other"), "left_anti")
-        found = shared.stored(_candidates(a, b, least, top), "candidates")
+        if alike is None:
+            alike = shared.stored(_similar(a, b, least, names), "alike")
+        found = shared.stored(_candidates(a, b, alike, top), "candidates")
         if done is not None and found.isEmpty():
             return done.select(F.col("id").alias("key"), F.col("other").alias("file"), F.least("score", F.lit(1.0)).alias("score"))
-        got = shared.stored(matching.each_once(found), "got")
-        open_ = found.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= top).join(got, "id", "left_anti").agg(F.min("id").alias("open"))
-        got = got.join(F.broadcast(open_), F.col("open").isNull() | (F.col("id") < F.col("open"))).select("id", "other", "score")  # open_ is one row
-        done = shared.stored(got if done is None else done.unionByName(got), "bound")
-        top *= 4
-
-
-def _candidates(mine: DataFrame, theirs: DataFrame, least: float, top: int) -> DataFrame:
-    """(id, other, score): the ``top`` files of each paper; a file of the same title scores 2."""
-    nth = theirs.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("file"))).filter(F.col("n") <= top)
-    same = mine.join(nth, F.col("a") == F.col("b")).select(F.col("key").alias("id"), F.col("file").alias("other"), F.lit(2.0).alias("score"))
-    left, right = mine.select(F.col("key").alias("id"), F.left("a", F.lit(80)).alias("name")), theirs.select(F.col("file").alias("other"), F.left("b", F.lit(80)).alias("name"))
-    alike = matching.best_matches(left, right, least, top, contained=False).select("id", "other", "score")
-    every = same.unionByName(alike).groupBy("id", "other").agg(F.max("score").alias("score"))
-    return every.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("n") <= top).drop("n")
+        got = shared.stored(matching.each_once(found.filter("live")), "got")
+        cut = alike.groupBy("n").agg(F.count("*").alias("k")).filter(F.col("k") >= names).select("n", F.lit(True).alias("cut"))
+        more = found.groupBy("id").agg(F.count("*").alias("k")).join(mine.select(F.col("key").alias("id"), "n"), "id").join(cut, "n", "left")
+        open_ = more.filter((F.col("k") >= top) | F.col("cut")).join(got, "id", "left_anti").agg(F.min_by("cut", "id").alias("cut"), F.min("id").alias("open"))
+        first = open_.first()  # one row: the first paper that may find more, and whether it needs more similar titles
+        if first.open is not None:
+            got = got.filter(F.col("id") < F.lit(first.open))
+        done = shared.stored(got.select("id", "other", "score") if done is None else done.unionByName(got.select("id", "other", "score")), "bound")
+        top *= 8
+        if first.cut:
+            names, alike = 8 * names, None
+
+
+#: Similar titles that are looked for of each title at first.
+NAMES_OF = 32
+
+
+def _similar(mine: DataFrame, theirs: DataFrame, least: float, top: int) -> DataFrame:
+    """(n, m, score): the ``top`` most similar of the distinct titles ``m`` of each distinct title ``n``."""
+    found = matching.best_matches(mine.select(F.col("n").alias("id"), F.col("n").alias("name")).distinct(), theirs.select(F.col("m").alias("other"), F.col("m").alias("name")).distinct(), least, top, contained=False)
+    return found.select(F.col("id").alias("n"), F.col("other").alias("m"), "score")
+
+
+def _candidates(mine: DataFrame, theirs: DataFrame, alike: DataFrame, top: int) -> DataFrame:
+    """(id, other, score, live): the ``top`` files of each paper; a file of the same title scores 2. Papers of one
+    title want the same files in the same order, and each that is before another takes one of those: so
+    the k-th of them can only get its k-th file or a later one, and the edges before are not live."""
+    nth = lambda by: theirs.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("file"))).filter(F.col("k") <= top).drop("k")
+    same = mine.join(nth("b"), F.col("a") == F.col("b")).select(F.col("key").alias("id"), F.col("file").alias("other"), F.lit(2.0).alias("score"))
+    near = mine.select("key", "n").join(alike, "n").join(nth("m").select("file", "m"), "m").select(F.col("key").alias("id"), F.col("file").alias("other"), "score")
+    turn = mine.select(F.col("key").alias("id"), F.row_number().over(Window.partitionBy("a").orderBy("key")).alias("turn"))
+    every = same.unionByName(near).groupBy("id", "other").agg(F.max("score").alias("score"))
+    return every.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("k") <= top).join(turn, "id").select("id", "other", "score", (F.col("k") >= F.col("turn")).alias("live"))
 
 
 def _with_authors(names: DataFrame, wanted: DataFrame) -> DataFrame:

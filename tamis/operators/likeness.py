@@ -17,8 +17,10 @@ import numpy as np
 
 #: From this length on difflib passes over characters that a right name has often; such names go to it.
 LONG = 200
-#: Right names of one batch, and open parts of one table.
-BATCH, PARTS = 1024, 2048
+#: Cells of one table at most.
+CELLS = 1 << 20
+#: Buckets by which pairs of neighbouring letters are counted.
+PAIRS = 256
 
 
 def letters(names: list[str]) -> np.ndarray:
@@ -45,78 +47,96 @@ def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return size.astype(np.int64), at_a, at_b
 
 
-def matched(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, needed: np.ndarray) -> np.ndarray:
-    """Characters in matching blocks of ``a`` with each column of ``b`` (``lengths`` of it count, below
-    LONG); -1 where they are certainly below ``needed``."""
-    n, own = b.shape[1], len(a)
+def matched(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Characters in matching blocks of column ``left`` of ``a`` with column ``right`` of ``b``, for each pair; -1
+    where they are certainly below ``needed``. The sizes say how many rows of a column count."""
+    n = len(left)
     total, gone = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    owner, a0, a1, b0, b1 = np.arange(n), np.zeros(n, np.int64), np.full(n, own), np.zeros(n, np.int64), lengths.astype(np.int64)
-    wide = np.append(a, a.dtype.type(0))
+    owner, a0, a1, b0, b1 = np.arange(n), np.zeros(n, np.int64), size_a.astype(np.int64), np.zeros(n, np.int64), size_b.astype(np.int64)
     while True:
-        most = np.minimum(a1 - a0, b1 - b0)
-        bound = total + np.bincount(owner, weights=np.maximum(most, 0), minlength=n).astype(np.int64)
-        gone |= bound < needed
+        wide_a, wide_b = a1 - a0, b1 - b0
+        most = np.maximum(np.minimum(wide_a, wide_b), 0)
+        gone |= total + np.bincount(owner, weights=most, minlength=n).astype(np.int64) < needed
         keep = np.flatnonzero((most > 0) & ~gone[owner])
         if not len(keep):
-            break
-        keep = keep[np.argsort((a1 - a0)[keep] * 256 + (b1 - b0)[keep], kind="stable")]
+            return np.where(gone, -1, total)
+        # Parts of like shape share a table.
+        shape = np.ceil(np.log2(wide_a[keep])).astype(np.int64) * 16 + np.ceil(np.log2(wide_b[keep])).astype(np.int64)
+        order = np.argsort(shape, kind="stable")
+        keep, shape = keep[order], shape[order]
         nexts = []
-        for k in range(0, len(keep), PARTS):
-            part = keep[k : k + PARTS]
-            o, x0, x1, y0, y1 = (v[part] for v in (owner, a0, a1, b0, b1))
-            ii, jj = np.arange((x1 - x0).max()), np.arange((y1 - y0).max())
-            left = np.where(ii[:, None] < x1 - x0, wide[np.minimum(x0 + ii[:, None], own)], a.dtype.type(0))
-            right = np.where(jj[:, None] < y1 - y0, b[np.minimum(y0 + jj[:, None], len(b) - 1), o], a.dtype.type(1))
-            size, i, j = _longest(left, right)
-            np.add.at(total, o, size)
-            some = size > 0
-            o, x0, x1, y0, y1, size, i, j = (v[some] for v in (o, x0, x1, y0, y1, size, x0 + i, y0 + j))
-            nexts += [(o, x0, i, y0, j), (o, i + size, x1, j + size, y1)]
-        if not nexts:
-            break
+        for low, high in zip(*(lambda cut: (cut, np.append(cut[1:], len(keep))))(np.flatnonzero(np.append(True, shape[1:] != shape[:-1])))):
+            step = max(1, CELLS // int(wide_b[keep[low:high]].max()))
+            for k in range(low, high, step):
+                part = keep[k : min(high, k + step)]
+                o, x0, x1, y0, y1 = (v[part] for v in (owner, a0, a1, b0, b1))
+                ii, jj = np.arange((x1 - x0).max())[:, None], np.arange((y1 - y0).max())[:, None]
+                mine = np.where(ii < x1 - x0, a[np.minimum(x0 + ii, len(a) - 1), left[o]], a.dtype.type(0))
+                theirs = np.where(jj < y1 - y0, b[np.minimum(y0 + jj, len(b) - 1), right[o]], b.dtype.type(1))
+                size, i, j = _longest(mine, theirs)
+                np.add.at(total, o, size)
+                some = size > 0
+                o, x0, x1, y0, y1, size, i, j = (v[some] for v in (o, x0, x1, y0, y1, size, x0 + i, y0 + j))
+                nexts += [(o, x0, i, y0, j), (o, i + size, x1, j + size, y1)]
         owner, a0, a1, b0, b1 = (np.concatenate(x) for x in zip(*nexts))
-    return np.where(gone, -1, total)
 
 
-class Names:
-    """Right names, ready to be compared with left ones."""
-
-    def __init__(self, names: list[str]):
-        self.names, self.letters = names, letters(names)
-        self.length = np.array([len(x) for x in names], dtype=np.int64)
-        self.short = np.flatnonzero(self.length < LONG)
-        self.row = np.full(len(names), -1)
-        self.row[self.short] = np.arange(len(self.short))
-        # Characters by number, from 2 on (0 and 1 are padding): in one byte where they are few.
-        self.number = {c: k for k, c in enumerate(sorted({c for i in self.short for c in names[i]}), 2)}
-        self.kind = np.uint8 if len(self.number) < 250 else np.uint32
-        self.codes = np.zeros((int(self.length[self.short].max(initial=0)) + 1, len(self.short)), dtype=self.kind)
-        for k, i in enumerate(self.short.tolist()):
-            self.codes[: self.length[i], k] = self.coded(names[i])
-        # Of a long name difflib looks for the characters that it has seldom.
-        self.seldom = {int(j): frozenset(c for c, n in Counter(names[j]).items() if n <= len(names[j]) // 100 + 1) for j in np.flatnonzero(self.length >= LONG)}
+def _pairs_of_letters(names: list[str]) -> np.ndarray:
+    out = np.zeros((len(names), PAIRS), dtype=np.uint8)
+    for i, x in enumerate(names):
+        c = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64)
+        out[i] = np.minimum(np.bincount((c[1:] * 31 + c[:-1] * 7) % PAIRS, minlength=PAIRS), 255)
+    return out
 
-    def coded(self, name: str) -> np.ndarray:
-        return np.array([self.number.get(c, 0) for c in name], dtype=self.kind)
 
-    def bounds(self, own: np.ndarray, length: int) -> np.ndarray:
-        """What the ratio with a left name can be at most: the shared letters over all letters."""
-        return 2 * np.minimum(self.letters, own).sum(axis=1) / np.maximum(self.length + length, 1)
+class Names:
+    """Left and right names, ready to be compared with each other."""
 
-    def ratios(self, name: str, which: np.ndarray, least: float) -> np.ndarray:
-        """difflib's ratio of ``name`` with the names ``which``; -1 where it is certainly below ``least``."""
-        out = np.full(len(which), -1.0)
-        short = np.flatnonzero(self.length[which] < LONG)
+    def __init__(self, left: list[str], right: list[str]):
+        self.left, self.right = left, right
+        self.size_a, self.size_b = (np.array([len(x) for x in names], dtype=np.int64) for names in (left, right))
+        self.letters_a, self.letters_b = letters(left), letters(right)
+        self.pairs_a, self.pairs_b = _pairs_of_letters(left), _pairs_of_letters(right)
+        # Characters by number, from 2 on (0 and 1 are padding): in one byte where they are few.
+        self.short = np.flatnonzero(self.size_b < LONG)
+        number = {c: k for k, c in enumerate(sorted({c for i in self.short for c in right[i]}), 2)}
+        kind = np.uint8 if len(number) < 250 else np.uint32
+        self.codes_a, self.codes_b = (np.zeros((int(size.max(initial=0)) + 1, len(names)), dtype=kind) for size, names in ((self.size_a, left), (self.size_b[self.short], self.short)))
+        for codes, names in ((self.codes_a, left), (self.codes_b, [right[i] for i in self.short])):
+            for k, x in enumerate(names):
+                codes[: len(x), k] = [number.get(c, 0) for c in x]
+        self.column = np.full(len(right), -1)
+        self.column[self.short] = np.arange(len(self.short))
+        # Of a long name difflib looks for the characters that it has seldom.
+        self.seldom = {int(j): frozenset(c for c, n in Counter(right[j]).items() if n <= len(right[j]) // 100 + 1) for j in np.flatnonzero(self.size_b >= LONG)}
+
+    def bounds(self, i: int) -> np.ndarray:
+        """What the ratios of left name ``i`` can be at most: the shared letters over all letters."""
+        return 2 * np.minimum(self.letters_b, self.letters_a[i]).sum(axis=1) / np.maximum(self.size_b + self.size_a[i], 1)
+
+    def ratios(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """difflib's ratios of left names ``i`` with right names ``j``; -1 where one is certainly below its ``least``.
+
+        Matching blocks are apart by a character that one side has over, so of m characters in blocks
+        of names of s together, 3 m - s - 1 at least have their neighbour in common: above a ratio of
+        2/3 the pairs of letters that both have tell most names apart."""
+        out = np.full(len(i), -1.0)
+        both = self.size_a[i] + self.size_b[j]
+        needed = np.ceil(least * both / 2 - 1e-9).astype(np.int64)
+        maybe = np.ones(len(i), dtype=bool)
+        asked = np.flatnonzero((3 * needed - both - 1 > 0) & (self.size_b[j] < LONG))
+        for k in range(0, len(asked), 4096):
+            part = asked[k : k + 4096]
+            shared = np.minimum(self.pairs_a[i[part]], self.pairs_b[j[part]]).sum(axis=1, dtype=np.int64)
+            maybe[part] = shared >= (3 * needed - both - 1)[part]
+        short = np.flatnonzero(maybe & (self.size_b[j] < LONG))
         if len(short):
-            at = which[short]
-            both = self.length[at] + len(name)
-            found = matched(self.coded(name), self.codes[: int(self.length[at].max()) + 1, self.row[at]], self.length[at], np.ceil(least * both / 2 - 1e-9))
-            out[short] = np.where(found >= 0, 2.0 * found / np.maximum(both, 1), -1.0)
-        mine = set(name)
-        for k in np.flatnonzero(self.length[which] >= LONG).tolist():
-            j = int(which[k])
-            if self.seldom[j] & mine:
-                out[k] = difflib.SequenceMatcher(None, name, self.names[j]).ratio()
+            found = matched(self.codes_a, self.codes_b, i[short], self.column[j[short]], self.size_a[i[short]], self.size_b[j[short]], needed[short])
+            out[short] = np.where(found >= 0, 2.0 * found / np.maximum(both[short], 1), -1.0)
+        for k in np.flatnonzero(self.size_b[j] >= LONG).tolist():
+            a, b = self.left[i[k]], self.right[j[k]]
+            if not self.seldom[int(j[k])].isdisjoint(a):
+                out[k] = difflib.SequenceMatcher(None, a, b).ratio()
             else:  # only what both begin with is found
-                out[k] = 2.0 * len(os.path.commonprefix([name, self.names[j]])) / (len(name) + len(self.names[j]))
+                out[k] = 2.0 * len(os.path.commonprefix([a, b])) / (len(a) + len(b))
         return out

@@ -24,8 +24,9 @@ def first_rule(text: Column, patterns: list[str], keywords: list[str]) -> Column
     return hit
 
 
-#: Names of either side that are compared with each other in one group.
-NAMES_LEFT, NAMES_RIGHT = 500, 1500
+#: Names of either side that are compared with each other in one group, and right names that each left
+#: one is compared with in the first step (twice as many in each further one).
+NAMES_LEFT, NAMES_RIGHT, FIRST = 100, 8000, 64
 #: Likeness of names one of which is within the other.
 CONTAINED = 0.95
 
@@ -34,27 +35,42 @@ def _best_of(left: pd.DataFrame, right: pd.DataFrame, least: float, top: int, ru
     """(i, j, score) of each left name with the right ones that can be among its ``top`` rows; ``held`` of a
     right name says how many rows it stands for. ``rule`` gives scores that are known without comparing
     letters (nan: none). Of the others no ratio is above twice the shared letters over all letters,
-    so they are compared in the order of that bound, a batch at a time, until it is below the last place."""
-    names = likeness.Names(right.name.tolist())
+    so they are compared in the order of that bound, a step at a time for all left names together,
+    until it is below the last place."""
+    names = likeness.Names(left.name.tolist(), right.name.tolist())
     held = right.held.to_numpy()
-    for i, (name, own) in enumerate(zip(left.name, likeness.letters(left.name.tolist()))):
+    found, todo = [], []
+    for i in range(len(left)):
         known = rule(left.iloc[i], right) if rule else np.full(len(right), np.nan)
-        found = [(float(known[j]), int(j)) for j in np.flatnonzero(known >= least)]
-        bound = names.bounds(own, len(name))
+        found.append([(float(known[j]), int(j)) for j in np.flatnonzero(known >= least)])
+        bound = names.bounds(i)
         order = np.argsort(-bound, kind="stable")
         order = order[np.isnan(known[order]) & (bound[order] >= least - 1e-9)]
-        at, size = 0, likeness.BATCH // 8
-        while at < len(order):
-            best = np.repeat([x for x, _ in found], [held[j] for _, j in found]) if found else np.zeros(0)
-            cut = max(least, float(np.partition(best, -top)[-top])) if len(best) >= top else least
-            batch = order[at : at + size]
-            batch = batch[bound[batch] >= cut - 1e-9]
-            if not len(batch):
-                break
-            at, size = at + size, likeness.BATCH
-            scores = names.ratios(name, batch, cut)
-            found = [(x, j) for x, j in found if x >= cut] + [(float(x), int(j)) for x, j in zip(scores, batch) if x >= cut]
-        yield from ((i, j, x) for x, j in found)
+        todo.append((order.astype(np.int32), bound[order].astype(np.float32)))
+
+    def cut(i: int) -> float:
+        best = np.repeat([x for x, _ in found[i]], [held[j] for _, j in found[i]]) if found[i] else np.zeros(0)
+        return max(least, float(np.partition(best, -top)[-top])) if len(best) >= top else least
+
+    at, step = 0, FIRST
+    while True:
+        parts = []
+        for i, (order, bound) in enumerate(todo):
+            if at < len(order):
+                c = cut(i)
+                batch = order[at : at + step][bound[at : at + step] >= c - 1e-6]
+                parts.append((np.full(len(batch), i), batch.astype(np.int64), np.full(len(batch), c)))
+        if not sum(len(p[0]) for p in parts):
+            break
+        i, j, c = (np.concatenate(x) for x in zip(*parts))
+        scores = names.ratios(i, j, c)
+        good = np.flatnonzero(scores >= c)
+        for k in good.tolist():
+            found[i[k]].append((float(scores[k]), int(j[k])))
+        at, step = at + step, 2 * step
+    for i, own in enumerate(found):
+        c = cut(i)
+        yield from ((i, j, x) for x, j in own if x >= c)
 
 
 def _matches(mine: DataFrame, theirs: DataFrame, least: float, top: int, rule) -> DataFrame:
@@ -117,11 +133,11 @@ def each_once(matches: DataFrame) -> DataFrame:
     for the best that has not refused them; of those who ask for one, the least id holds it and
     all later ids are refused by it for good, whether they have asked yet or not. Ends when none is refused."""
     left = shared.stored(matches.select("id", "other", "score").dropDuplicates(["id", "other"]), "matches")
-    first = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    first, n = Window.partitionBy("id").orderBy(F.desc("score"), "other"), left.count()
     while True:
-        asked = left.withColumn("n", F.row_number().over(first)).filter("n = 1")
-        held = shared.stored(asked.groupBy("other").agg(F.min("id").alias("holder")), "held")
-        refused = left.join(held, "other").filter("id > holder").select("id", "other")
-        if refused.isEmpty():
-            return asked.select("id", "other", "score")
-        left = shared.stored(left.join(refused, ["id", "other"], "left_anti"), "matches")
+        asked = left.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+        held = asked.groupBy("other").agg(F.min("id").alias("holder"))
+        left = shared.stored(left.join(held, "other", "left").filter("holder is null or id <= holder").select("id", "other", "score"), "matches")
+        before, n = n, left.count()
+        if n == before:  # nobody was refused, so what each id asks for is its own
+            return left.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")

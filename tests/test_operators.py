@@ -291,17 +291,15 @@ def test_likeness_of_many_names_is_difflibs():
     for letters, most in (("ab", 12), ("abcd efg", 60), ("abcdefghijklmnop \u4e00\u4e8c", 260), ("ab", 230)):
         make = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, most)))
         names = [make() for _ in range(150)]
-        held = likeness.Names(names)
-        for _ in range(12):
-            one = make()
-            want = [difflib.SequenceMatcher(None, one, x).ratio() for x in names]
-            got = held.ratios(one, np.arange(len(names)), 0.0)
-            assert np.allclose(got, want) and (held.bounds(likeness.letters([one])[0], len(one)) >= np.array(want) - 1e-9).all()
-            got = held.ratios(one, np.arange(len(names)), 0.5)
-            assert all(abs(g - w) < 1e-12 or g == -1 and w < 0.5 for g, w in zip(got, want))
-
-
-
+        ones = [make() for _ in range(12)]
+        held = likeness.Names(ones, names)
+        i, j = np.repeat(np.arange(12), 150), np.tile(np.arange(150), 12)
+        want = np.array([difflib.SequenceMatcher(None, ones[x], names[y]).ratio() for x, y in zip(i, j)])
+        assert np.allclose(held.ratios(i, j, np.zeros(len(i))), want)
+        assert all((held.bounds(x) >= want[i == x] - 1e-9).all() for x in range(12))
+        for least in (0.4, 0.7, 0.85):
+            got = held.ratios(i, j, np.full(len(i), least))
+            assert all(abs(g - w) < 1e-12 or g == -1 and w < least for g, w in zip(got, want))
 def test_judgements_parse(spark):
     answers = ['{"decision": "INCLUDE", "picos": {"P": {"result": "PASS", "evidence": ["q"]}}}', 'Well: {"decision": "EXCLUDE", "exclusion_code": "E1", "picos": {}, "reason": "r"} ok', '{"decision": "PERHAPS", "picos": {}}', '{"decision": "MAYBE"}', "no", None]
     df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "key int, a string").select("key", quality.parse(F.col("a")).alias("r"))
