@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import text as T
-from tamis.operators import decisions, gates, matching, progress, runs, terms
+from tamis.operators import decisions, gates, limiter, matching, progress, runs, terms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -387,6 +387,13 @@ def q_rate_window(spark, t):
     return runs.rate_window(events(t)).select("event_id", "requests", F.round(F.col("tokens_sum") * 100).cast("long").alias("cents"))
 
 
+@query()
+def q_rate_admission(spark, t):
+    """When each event is admitted if at most two (0.8 of three), and 120 tokens, are in six hours of its run."""
+    rows = events(t).select(F.col("run").alias("key"), F.col("event_id").alias("id"), "ts", F.round("tokens").cast("long").alias("tokens"))
+    return limiter.admission(rows, 6 * 3600, 3, 150, span_seconds=7 * 86400).select(F.col("key").alias("run"), F.col("id").alias("event_id"), "admitted_at", "wait_seconds")
+
+
 @query("with e as (select user_id as run, max(event_id) as at from events group by 1), c as (select conv_id as run, max(turn) as at from conversations group by 1) select coalesce(e.run, c.run) as run, case when e.run is not null and c.run is not null then 'PAIRED' else 'UNPAIRED' end as pairing, greatest(e.at, c.at) as newest from e full join c on e.run = c.run")
 def q_pairing(spark, t):
     return runs.pairing(t("events").groupBy(F.col("user_id").alias("run")).agg(F.max("event_id").alias("at")), t("conversations").groupBy(F.col("conv_id").alias("run")).agg(F.max("turn").alias("at")))

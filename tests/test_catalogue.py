@@ -34,8 +34,9 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
 
 
-#: Likeness by matching blocks can't be told in SQL; test_operators holds these against all pairs.
-NO_SQL = {"q_fuzzy_match", "q_title_map", "q_name_score"}
+#: Likeness by matching blocks and waiting in line can't be told in SQL; test_operators holds these against
+#: all pairs, and against one request after another.
+NO_SQL = {"q_fuzzy_match", "q_title_map", "q_name_score", "q_rate_admission"}
 
 
 def test_all_other_queries_have_sql():

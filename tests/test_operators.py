@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import rules
 from tamis.functions import text as T
-from tamis.operators import binding, decisions, gates, judging, likeness, matching, progress, quality, reports, runs, terms
+from tamis.operators import binding, decisions, gates, judging, likeness, limiter, matching, progress, quality, reports, runs, terms
 
 
 def one(spark, expression):
@@ -335,3 +335,32 @@ def test_guards_reports_and_runs(spark):
     assert [r.i for r in got] == [0]
     again = judging.look_again(spark.createDataFrame([(1, "A systematic review", "x" * 200), (2, "Trial", None), (3, None, None)], "doc_id long, title string, abstract string"), judging.RuleSecondJudge())
     assert {r.doc_id: (r.label, r.confidence) for r in again.collect()} == {1: ("REVIEW", "high"), 2: ("NOT_REVIEW", "medium"), 3: ("UNCERTAIN", "low")}
+
+
+def one_after_another(events, window, requests, tokens):
+    """Admission by looking at all requests before, second by second of those at which one leaves."""
+    out, lines = {}, {}
+    for key, i, ts, n in sorted(events, key=lambda e: (str(e[0]), e[2], e[1])):
+        line = lines.setdefault(key, [])
+        now = max(ts, line[-1][0] if line else 0)
+        while True:
+            inside = [x for x in line if x[0] > now - window]
+            if not inside or (len(inside) < requests and sum(x[1] for x in inside) + n <= tokens):
+                break
+            now = inside[0][0] + window
+        line.append((now, n))
+        out[key, i] = now
+    return out
+
+
+@pytest.mark.parametrize("span", [200, 100_000])
+def test_admission_against_one_after_another(spark, span):
+    rnd = random.Random(9)
+    events = [(1, i, rnd.randrange(1000), rnd.choice([1, 5, 40, 200])) for i in range(60)] + [(2, i, rnd.randrange(100), 3) for i in range(90)] + [(k, i, rnd.randrange(1000), 30) for k in range(3, 30) for i in range(6)] + [(None, 1, 7, 5), (None, 2, 7, 5)]
+    df = spark.createDataFrame(events, "key long, id long, s long, tokens long").selectExpr("key", "id", "timestamp_seconds(s) as ts", "tokens")
+    want = one_after_another(events, 60, 8, 80)
+    got = limiter.admission(df, 60, 10, 100, span_seconds=span).selectExpr("key", "id", "unix_seconds(admitted_at) as at", "wait_seconds").collect()
+    assert {(r.key, r.id): r.at for r in got} == want and len(got) == len(events)
+    arrived = {(k, i): s for k, i, s, _ in events}
+    assert all(r.wait_seconds == r.at - arrived[r.key, r.id] for r in got) and max(r.wait_seconds for r in got) > 200
+    assert limiter.admission(df.limit(0)).count() == 0
