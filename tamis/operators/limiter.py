@@ -11,8 +11,9 @@ whose predecessor turns out to reach into them are done again, until none change
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,22 +22,56 @@ from tamis.operators import shared
 SECOND = 1_000_000
 
 
-def admit(at: list[int], tokens: list[int], before: list[tuple[int, int]], window: int, requests: int, most: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """When each request (arrival in microseconds, tokens) is admitted after those ``before`` (admission,
-    tokens), and which of all admitted are still in the window at the last one."""
-    held, total, now, out = deque(before), sum(n for _, n in before), before[-1][0] if before else 0, []
-    for arrival, n in zip(at, tokens):
-        now = max(now, arrival)
-        while held and (held[0][0] + window <= now or len(held) >= requests or total + n > most):
-            left, k = held.popleft()
-            total -= k
-            now = max(now, left + window)
-        held.append((now, n))
-        total += n
-        out.append(now)
-    while held and held[0][0] + window <= now:
-        held.popleft()
-    return out, list(held)
+class Line:
+    """Admits requests in order: arrival and admission in microseconds."""
+
+    def __init__(self, window: int, requests: int, most: int):
+        self.window, self.requests, self.most = window, requests, most
+        self.held: deque[tuple[int, int]] = deque()
+        self.total = self.now = 0
+
+    def put(self, at: int, tokens: int) -> None:
+        self.held.append((at, tokens))
+        self.total, self.now = self.total + tokens, at
+
+    def _out(self) -> int:
+        left, n = self.held.popleft()
+        self.total -= n
+        return left + self.window
+
+    def take(self, arrival: int, tokens: int) -> int:
+        now = max(self.now, arrival)
+        while self.held and (self.held[0][0] + self.window <= now or len(self.held) >= self.requests or self.total + tokens > self.most):
+            now = max(now, self._out())
+        self.put(now, tokens)
+        return now
+
+    def left_over(self) -> list[dict]:
+        while self.held and self.held[0][0] + self.window <= self.now:
+            self._out()
+        return [{"at": a, "tokens": n} for a, n in self.held]
+
+
+def _lines(batches: Iterable[pa.RecordBatch], limits: tuple, left: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (key, span, kind, at, id, tokens) in this order, of which kind 0 is carried over and 1 arrives:
+    what each span leaves over, or when each request is admitted."""
+    of, line = None, None
+    for batch in batches:
+        out = []
+        for key, span, kind, at, ident, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if of != (key, span):
+                if left and of:
+                    out.append({"key": of[0], "span": of[1], "after": line.left_over()})
+                of, line = (key, span), Line(*limits)
+            if not kind:
+                line.put(at, n)
+                continue
+            now = line.take(at, n)
+            if not left:
+                out.append({"key": key, "id": ident, "at": at, "admitted": now})
+        yield pa.RecordBatch.from_pylist(out, schema)
+    if left and of:
+        yield pa.RecordBatch.from_pylist([{"key": of[0], "span": of[1], "after": line.left_over()}], schema)
 
 
 def admission(events: DataFrame, window_seconds: int = 60, requests: int = 60, tokens: int = 100_000, margin: float = 0.8, span_seconds: int = 3600) -> DataFrame:
@@ -49,30 +84,22 @@ def admission(events: DataFrame, window_seconds: int = 60, requests: int = 60, t
     rows = shared.stored(rows.withColumn("span", F.floor(F.col("at") / (span_seconds * SECOND)).cast("long")), "requests")
     key, ident = (rows.schema[c].dataType.simpleString() for c in ("key", "id"))
     spans = rows.groupBy("key", "span").agg(F.min("at").alias("first"))
-    empty = F.array().cast("array<struct<at:bigint,tokens:bigint>>")
     carried = "array<struct<at:bigint,tokens:bigint>>"
+    empty = F.array().cast(carried)
+    limits = window, most_requests, most_tokens
 
-    def run(mine: pd.DataFrame, begin: pd.DataFrame) -> tuple[pd.DataFrame, list[int], list[tuple[int, int]]]:
-        mine = mine.sort_values(["at", "id"], kind="stable", na_position="first")
-        before = [(int(x["at"]), int(x["tokens"])) for x in begin.before.iloc[0]]
-        return (mine, *admit(mine["at"].tolist(), mine.tokens.tolist(), before, window, most_requests, most_tokens))
-
-    def left_over(mine: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or begin.empty:
-            return pd.DataFrame(columns=["key", "span", "after"])
-        _, _, held = run(mine, begin)
-        return pd.DataFrame({"key": [mine.key.iloc[0]], "span": [mine.span.iloc[0]], "after": [[{"at": a, "tokens": n} for a, n in held]]})
-
-    def admitted(mine: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        mine, out, _ = run(mine, begin)
-        return pd.DataFrame({"key": mine.key.to_numpy(), "id": mine.id.to_numpy(), "at": mine["at"].to_numpy(), "admitted": out})
+    def lines(arrived: DataFrame, begin: DataFrame, left: bool, kinds: str) -> DataFrame:
+        carry = begin.select("key", "span", F.lit(0).alias("kind"), F.explode("before").alias("c")).select("key", "span", "kind", "c.at", F.lit(None).cast(ident).alias("id"), "c.tokens")
+        every = arrived.select("key", "span", F.lit(1).alias("kind"), "at", "id", "tokens").unionByName(carry)
+        schema = pa.schema(rows.sparkSession.createDataFrame([], kinds).toArrow().schema)
+        return every.repartition("key", "span").sortWithinPartitions("key", "span", "kind", "at", "id").mapInArrow(lambda batches: _lines(batches, limits, left, schema), kinds)
 
     state = shared.stored(spans.select("key", "span", "first", empty.alias("before"), F.lit(None).cast(carried).alias("after")), "spans")
     todo = state.select("key", "span", "before")
     order = Window.partitionBy("key").orderBy("span")
     while True:
-        open_rows = rows.join(todo.select("key", "span"), [rows.key.eqNullSafe(todo.key), rows.span == todo.span], "left_semi")
-        new = open_rows.groupBy("key", "span").cogroup(todo.groupBy("key", "span")).applyInPandas(left_over, f"key {key}, span long, after {carried}")
+        some = todo.select(F.col("key").alias("k"), F.col("span").alias("s"))
+        new = lines(rows.join(some, F.col("key").eqNullSafe(F.col("k")) & (F.col("span") == F.col("s")), "left_semi"), todo, True, f"key {key}, span long, after {carried}")
         new = new.select(F.col("key").alias("k"), F.col("span").alias("s"), F.col("after").alias("new"))
         state = state.join(new, F.col("key").eqNullSafe(F.col("k")) & (F.col("span") == F.col("s")), "left").select("key", "span", "first", "before", F.coalesce("new", "after").alias("after"))
         # What is left over reaches into the next span if its last request is in the window of the first there.
@@ -83,5 +110,5 @@ def admission(events: DataFrame, window_seconds: int = 60, requests: int = 60, t
         state = state.select("key", "span", "first", F.col("begin").alias("before"), "after")
         if todo.isEmpty():
             break
-    done = rows.groupBy("key", "span").cogroup(state.select("key", "span", "before").groupBy("key", "span")).applyInPandas(admitted, f"key {key}, id {ident}, at long, admitted long")
+    done = lines(rows, state, False, f"key {key}, id {ident}, at long, admitted long")
     return done.select("key", "id", F.timestamp_micros("admitted").alias("admitted_at"), ((F.col("admitted") - F.col("at")) / SECOND).alias("wait_seconds"))
