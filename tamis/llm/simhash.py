@@ -335,10 +335,10 @@ def drop_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """``docs`` without the documents that are not the least of their component. Rows that repeat
     doc_id and text are one document; a null doc_id always stays."""
     gone = common.materialise(copies.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), common.whole(docs).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), common.whole(docs).alias("row"))
     left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
     again = common.materialise(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 and id is not null").select(F.col("id").alias("again")), "again")
-    repeated = left.join(again, F.col("id") == F.col("again"), "left_semi").dropDuplicates(["id", "t"])
+    repeated = left.join(again, F.col("id") == F.col("again"), "left_semi").withColumn("t", F.col("row.text").cast("string")).dropDuplicates(["id", "t"]).drop("t")
     return left.join(again, F.col("id") == F.col("again"), "left_anti").unionByName(repeated).select("row.*")
 
 
