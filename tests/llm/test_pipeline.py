@@ -8,7 +8,7 @@ def test_stages_on_odd_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = [(9001, None, "en", "s", 0), (9002, "", None, None, 0), (9003, "12 34", "en", "s", 5), (9003, "12 34", "en", "s", 5), (9004, "word " * 3000, "en", None, 15000)]
-    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("size", F.lit("kept")).withColumn("g", F.lit(1)).withColumn("words", F.lit(0))
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("size", F.lit("kept")).withColumn("g", F.lit(1)).withColumn("words", F.lit(0)).withColumn("a.b", F.lit(1)).withColumn("_gone", F.lit(1)).withColumn("_row", F.lit(1))
     n = docs.count()
     seen = docs
     for name, stage in corpus_pipeline.STAGES:
