@@ -1,8 +1,8 @@
 """Bibliographic RIS files: a parser as columns over whole records, without a line-by-line state machine.
 
-A file is cut at its end-of-record lines; each piece is exploded into lines, a running count of
-tag lines gives each line its field (continuation lines join the field before), and fields are
-gathered per record. Repeated scalar tags concatenate with a blank; authors and keywords are
+A file is cut at its end-of-record lines, by Spark's text source with that line's start as separator;
+a record's lines are split again before each tag line (continuation lines join the field before), all
+by functions on arrays within the record's row. Repeated scalar tags concatenate with a blank; authors and keywords are
 lists. A record without a title is dropped. An end-of-record line needs its trailing blank, as in
 the format; without it two records merge.
 """
@@ -20,6 +20,7 @@ FIELDS = {
     "JO": "journal", "JF": "journal", "T2": "journal", "VL": "volume", "IS": "issue", "SP": "start_page", "EP": "end_page", "SN": "issn", "LA": "language", "AN": "accession_number",
 }
 LISTS = ["authors", "keywords"]
+END = "\nER  - "
 # ------------------------------------------------------------------------------------------------
 SCALARS = [f for f in dict.fromkeys(FIELDS.values()) if f not in LISTS]
 
@@ -32,28 +33,59 @@ def key(authors: Column, year: Column, title: Column) -> Column:
     return F.concat(F.coalesce(F.concat(last, initial), F.lit("")), F.lit("_"), year.cast("string"), F.lit("_"), T.md5_prefix(title, 6))
 
 
+#: A line that starts a field: tag, two blanks, a dash, a blank.
+TAG_LINE = r"^[A-Z][A-Z0-9][^\S\n]{2}-[^\S\n]"
+
+
+def _fields(body: Column) -> Column:
+    """The fields (tag, value) of one record's lines, in order. Lines that are no tag line and no
+    continuation are dropped, as are continuations before the first tag line."""
+    lines = F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & (F.rlike(x, F.lit(TAG_LINE)) | F.rlike(x, F.lit(r"^(  |\t)"))))
+    fields = F.filter(F.split(F.array_join(lines, "\n"), rf"(?m)(?={TAG_LINE})"), lambda x: F.rlike(x, F.lit(TAG_LINE)))
+    bare = lambda x: F.btrim(x, F.lit(" \t"))
+    value = lambda x: F.array_join(F.filter(F.transform(F.split(F.substr(x, F.lit(7)), "\n"), bare), lambda y: y != ""), " ")
+    return F.filter(F.transform(fields, lambda x: F.struct(F.left(x, F.lit(2)).alias("tag"), value(x).alias("value"))), lambda f: f["value"] != "")
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """files (path, content): one row per record with a title, with path, record, position and the fields."""
-    content = F.regexp_replace(F.regexp_replace("content", "^﻿", ""), r"\r\n?", "\n")
-    records = files.select("path", F.posexplode(F.split(content, r"(?m)^ER  - [^\n]*$")).alias("record", "body"))
-    lines = records.select("path", "record", F.posexplode(F.split("body", "\n")).alias("n", "line")).filter(F.trim("line") != "")
-    tag = F.regexp_extract("line", r"^([A-Z][A-Z0-9])\s{2}-\s(.*)$", 1)
-    lines = lines.withColumn("tag", tag).filter((F.col("tag") != "") | F.rlike("line", F.lit(r"^(  |\t)")))
-    w = Window.partitionBy("path", "record").orderBy("n")
-    lines = lines.withColumn("field", F.sum(F.when(F.col("tag") != "", 1).otherwise(0)).over(w)).filter("field > 0")
-    value = F.trim(F.when(F.col("tag") != "", F.regexp_extract("line", r"^([A-Z][A-Z0-9])\s{2}-\s(.*)$", 2)).otherwise(F.col("line")))
-    parts = lines.groupBy("path", "record", "field").agg(F.max("tag").alias("tag"), F.sort_array(F.collect_list(F.struct("n", value.alias("v")))).alias("p"))
-    names = F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv])
-    fields = parts.select("path", "record", "field", F.try_element_at(names, F.col("tag")).alias("name"), F.trim(F.array_join(F.filter(F.col("p.v"), lambda x: x != ""), " ")).alias("value")).filter("name is not null and value <> ''")
-    per = fields.groupBy("path", "record").agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("name") == f, F.struct("field", "value")))), lambda x: x["value"]).alias(f) for f in [*SCALARS, *LISTS]])
-    out = per.select("path", "record", *[F.when(F.size(f) > 0, F.array_join(f, " ")).alias(f) for f in SCALARS], *LISTS).filter("title is not null")
+    """files (content, and any columns that tell them apart, such as path): one row per record with a
+    title, with those columns, record (its position in the content) and the fields. Nothing is
+    exchanged: a record's lines are taken apart within its row, so it serves streams as well."""
+    of = [c for c in files.columns if c != "content"]
+    content = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
+    records = files.select(*of, F.posexplode(F.split(content, r"(?m)^ER  - [^\n]*$")).alias("record", "body"))
+    fields = records.select(*of, "record", _fields(F.col("body")).alias("_f"))
+    values = lambda name: F.transform(F.filter("_f", lambda f: f["tag"].isin([k for k, v in FIELDS.items() if v == name])), lambda f: f["value"])
+    per = fields.select(*of, "record", *[values(f).alias(f) for f in [*SCALARS, *LISTS]])
+    out = per.select(*of, "record", *[F.when(F.size(f) > 0, F.array_join(f, " ")).alias(f) for f in SCALARS], *LISTS).filter("title is not null")
     out = out.withColumn("year", T.year(F.coalesce("year", F.lit("")))).withColumn("authors_str", F.array_join("authors", "; "))
     return out.withColumn("key", key(F.col("authors"), F.col("year"), F.col("title")))
 
 
+def _pieces(raw: DataFrame, *row: Column) -> DataFrame:
+    meta = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), *row, F.col("value").alias("content"))
+    return meta.filter(F.trim("content") != "")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files under ``path``, by one task per file or more."""
-    return parse(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content")))
+    """Records of all files under ``path``. Files are cut at their end-of-record lines by the text source
+    itself, at byte ranges of ``spark.sql.files.maxPartitionBytes``, so one large file is many tasks
+    and no string holds more than a record. (path, block, row, record) orders records as in the files:
+    block is the byte range's start, row grows within it. What an end-of-record line holds after its
+    dash is ignored unless it looks like a field. A file with bare carriage returns isn't cut."""
+    return parse(_pieces(spark.read.option("lineSep", END).text(path), F.monotonically_increasing_id().alias("row")))
+
+
+def read_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """Records of files as they arrive under ``path``, a few at a time. Streams number no rows, so there is no column row."""
+    return parse(_pieces(spark.readStream.option("lineSep", END).option("maxFilesPerTrigger", files).text(path)))
+
+
+def new_records(records: DataFrame, known: DataFrame) -> DataFrame:
+    """Records of ``read`` whose key is not in ``known``; of those with one key the first in the files."""
+    place = F.struct("path", "block", "row", "record")
+    first = records.groupBy("key").agg(F.min_by(F.struct(*[c for c in records.columns if c != "key"]), place).alias("r"))
+    return first.join(known.select("key").distinct(), "key", "left_anti").select("key", "r.*").select(*records.columns)
 
 
 def stats(records: DataFrame) -> DataFrame:
