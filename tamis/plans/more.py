@@ -8,6 +8,7 @@ from tamis.functions import text as T
 from tamis.operators import decisions, judging, runs
 from tamis.plans.catalogue import events, query
 from tamis.sources import ris
+from tamis.streaming import supervisor
 
 
 @query(r"""with d as (select doc_id, source, lang, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) as title from documents)
@@ -36,3 +37,35 @@ def q_judge(spark, t):
     judged = judging.judge_all(t("documents"), judging.RuleJudge())
     out = decisions.derive(judged, F.col("reason"), F.col("reason"))
     return out.groupBy(F.col("derived_decision").alias("decision"), F.col("derived_code").alias("code")).agg(F.count("*").alias("n"))
+
+
+RULES_SQL = """select doc_id, case when n < 100 then 'UNCERTAIN' when contains(lower(t), 'review') then 'FAIL' else 'PASS' end as p, case when n < 100 then 'UNCERTAIN' when n < 200 then 'FAIL' else 'PASS' end as i,
+ case when n < 100 then 'UNCERTAIN' when contains(lower(t), 'licensed under') then 'FAIL' else 'PASS' end as c, case when n < 100 then 'UNCERTAIN' when contains(t, '@') then 'FAIL' else 'PASS' end as o,
+ case when n < 100 then 'UNCERTAIN' when contains(t, ' | ') then 'FAIL' else 'PASS' end as s, case when n < 100 then 'too short' else '' end as reason from (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents)"""
+FLAKY_SQL = """d as (select doc_id, a, instr('0123456789abcdef', left(md5(doc_id || ':' || a), 1)) - 1 as x from documents, (values (0), (1), (2)) v(a)),
+ f as (select *, case when x < 4 then 'rate_limited' when x < 6 then 'failed' when x = 6 then 'severe' end as problem from d),
+ t as (select * from f f1 where not exists (select 1 from f f2 where f2.doc_id = f1.doc_id and f2.a < f1.a and f2.problem is null))"""
+
+
+@query("with " + FLAKY_SQL + " select doc_id, cast(a as int) as attempt, problem, cast(case when a = 2 then 0 when problem = 'rate_limited' then 30 * (1 << a) when problem = 'failed' then 5 else 0 end as int) as wait_seconds from t")
+def q_judge_attempts(spark, t):
+    """What each attempt of a judge came to that fails by a hash, with the wait after it."""
+    return judging.judge_with_retries(t("documents"), judging.FlakyJudge(judging.RuleJudge())).select("doc_id", "attempt", "problem", "wait_seconds")
+
+
+@query("with " + FLAKY_SQL + ", r as (" + RULES_SQL + """), e as (select * from t where problem is null or a = 2)
+ select doc_id, case when problem is null then p else 'UNCERTAIN' end as p, case when problem is null then i else 'UNCERTAIN' end as i, case when problem is null then c else 'UNCERTAIN' end as c, case when problem is null then o else 'UNCERTAIN' end as o,
+ case when problem is null then s else 'UNCERTAIN' end as s, case when problem is null then reason else 'given up after 3 attempts' end as reason, cast(a + 1 as int) as attempts from e join r using (doc_id)""")
+def q_judge_verdicts(spark, t):
+    """Verdicts after up to three attempts each."""
+    return judging.verdicts(judging.judge_with_retries(t("documents"), judging.FlakyJudge(judging.RuleJudge())))
+
+
+@query("""with e as (select user_id as run, epoch_ms(ts) as beat, bool_or(event_type = 'purchase') as finished from events group by 1, 2),
+ g as (select run, beat, finished, coalesce(lead(beat) over (partition by run order by beat), epoch_ms(timestamp '2024-02-05 00:00:00') + 1) as stop from e),
+ k as (select run, beat, unnest(generate_series(beat + 86400000, stop - 1, 36000000)) as at_ms from g where not finished)
+ select run, at_ms, beat as last_ms, cast((at_ms - beat - 86400000) // 36000000 + 1 as int) as nth from k""")
+def q_resume_launches(spark, t):
+    """Launches of runs that were silent for a day, again every ten hours; a purchase ends a run."""
+    heartbeats = t("events").select(F.col("user_id").alias("run"), "ts", (F.col("event_type") == "purchase").alias("finished"))
+    return supervisor.launches(heartbeats, "2024-02-05 00:00:00", 86400, 36000)
