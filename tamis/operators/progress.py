@@ -56,6 +56,26 @@ def consistency(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).withColumn("ok", F.col("expected") == F.col("actual"))
 
 
+CACHED = ["total", "processed", "remaining", "include_count", "exclude_count", "maybe_count", "skipped_count", "error_count"]
+
+
+def verify(stored: DataFrame, papers: DataFrame, screening: DataFrame, key: str, files: DataFrame | None = None) -> DataFrame:
+    """(check, subject, expected, actual) of all that is wrong; no rows mean that all holds. cache: a field of the
+    stored progress (one row; missing or null fields are 0) that differs from what the tables imply; conservation:
+    processed and remaining don't add up to the total (orphans, repeated keys); file: the path of a
+    screening record (columns key and path; null: none was written) that is not among files (path)."""
+    real = progress(papers, screening, key)
+    long = lambda df, value: df.agg(*[F.coalesce(F.max(f) if f in df.columns else F.lit(None), F.lit(0)).cast("long").alias(f) for f in CACHED]).unpivot([], CACHED, "subject", value)
+    both = long(stored, "actual").join(long(real, "expected"), "subject").filter("actual <> expected")
+    out = both.select(F.lit("cache").alias("check"), "subject", F.col("expected").cast("string").alias("expected"), F.col("actual").cast("string").alias("actual"))
+    kept = real.filter("processed + remaining <> total").select(F.lit("conservation"), F.lit("processed + remaining"), F.col("total").cast("string"), F.expr("processed + remaining").cast("string"))
+    out = out.union(kept)
+    if files is not None:
+        gone = screening.filter("path is not null").join(files.select("path"), "path", "left_anti")
+        out = out.union(gone.select(F.lit("file"), F.col(key).cast("string"), "path", F.lit(None).cast("string")))
+    return out
+
+
 def last_wins(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
     """Upsert: rows of ``new`` replace those of ``old`` with the same key; of rows of ``new`` with one
     key the last by ``position`` (dropped from the result unless ``old`` has it) counts."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamis.functions import text as T
-from tamis.operators import decisions, judging, runs
-from tamis.plans.catalogue import events, query
-from tamis.sources import ris
+from tamis.operators import decisions, judging, progress, runs
+from tamis.plans.catalogue import events, judged, query, screening
+from tamis.sources import files, ris
 from tamis.streaming import supervisor
 
 
@@ -61,7 +61,7 @@ def q_judge_verdicts(spark, t):
     return judging.verdicts(judging.judge_with_retries(t("documents"), judging.FlakyJudge(judging.RuleJudge())))
 
 
-@query("""with e as (select user_id as run, epoch_ms(ts) as beat, bool_or(event_type = 'purchase') as finished from events group by 1, 2),
+@query("""with e as (select user_id as run, epoch_us(ts) // 1000 as beat, bool_or(event_type = 'purchase') as finished from events group by 1, 2),
  g as (select run, beat, finished, coalesce(lead(beat) over (partition by run order by beat), epoch_ms(timestamp '2024-02-05 00:00:00') + 1) as stop from e),
  k as (select run, beat, unnest(generate_series(beat + 86400000, stop - 1, 36000000)) as at_ms from g where not finished)
  select run, at_ms, beat as last_ms, cast((at_ms - beat - 86400000) // 36000000 + 1 as int) as nth from k""")
@@ -69,3 +69,46 @@ def q_resume_launches(spark, t):
     """Launches of runs that were silent for a day, again every ten hours; a purchase ends a run."""
     heartbeats = t("events").select(F.col("user_id").alias("run"), "ts", (F.col("event_type") == "purchase").alias("finished"))
     return supervisor.launches(heartbeats, "2024-02-05 00:00:00", 86400, 36000)
+
+
+@query("""with @S, @D, x as (select j.*, decision, case when decision <> 'EXCLUDE' then '' when p = 'FAIL' then 'E1' when i = 'FAIL' then 'E2' else 'E9' end as code from j join s using (doc_id))
+ select cast(doc_id as varchar) as "Key", cast(null as varchar) as "Author", cast(null as varchar) as "Year", title as "Title", cast(null as varchar) as "DOI", decision as "最终决策", code as "排除码", cast(null as varchar) as "判定理由", cast(null as varchar) as "筛选日期",
+ p as "P判定", i as "I判定", cast(null as varchar) as "设备类型", c as "C判定", o as "O判定", cast(null as varchar) as "结局类型", s as "S判定", cast(null as varchar) as "设计类型", decision || '/' || doc_id || '.md' as "MD文件" from x""")
+def q_export_sheet(spark, t):
+    """The export's 18 columns under their own headings; what the tables don't have is empty."""
+    code = F.when(F.col("decision") != "EXCLUDE", "").when(F.col("p") == "FAIL", "E1").when(F.col("i") == "FAIL", "E2").otherwise("E9")
+    rows = judged(t).join(screening(t), "doc_id").withColumn("key", F.col("doc_id").cast("string"))
+    return files.export_columns(rows.withColumn("code", code).withColumn("record", F.concat("decision", F.lit("/"), "key", F.lit(".md"))))
+
+
+@query("""with @S, e as (select doc_id from documents where lang = 'en'), es as (select * from s where doc_id in (select doc_id from e)),
+ n as (select 'stored' as k, (select count(*) from e) as total, (select count(*) from es) as processed, (select count(*) from e where doc_id not in (select doc_id from s)) as remaining, (select count(*) from es where decision = 'INCLUDE') as include_count,
+  (select count(*) from es where decision = 'EXCLUDE') as exclude_count, (select count(*) from es where decision = 'MAYBE') as maybe_count
+  union all select 'real', (select count(*) from documents), (select count(*) from s), (select count(*) from documents where doc_id not in (select doc_id from s)), (select count(*) from s where decision = 'INCLUDE'), (select count(*) from s where decision = 'EXCLUDE'), (select count(*) from s where decision = 'MAYBE')),
+ u as (unpivot n on total, processed, remaining, include_count, exclude_count, maybe_count into name subject value v)
+ select 'cache' as "check", a.subject, cast(b.v as varchar) as expected, cast(a.v as varchar) as actual from u a join u b on a.subject = b.subject and a.k = 'stored' and b.k = 'real' and a.v <> b.v
+ union all select 'conservation', 'processed + remaining', cast(total as varchar), cast(processed + remaining as varchar) from n where k = 'real' and total <> processed + remaining
+ union all select 'file', cast(doc_id as varchar), 'records/' || doc_id || '.md', null from s where doc_id not in (select page_id from pages)""")
+def q_cache_check(spark, t):
+    """A progress that was stored before the documents of other languages came, and records whose file is missing."""
+    path = lambda c: F.concat(F.lit("records/"), F.col(c).cast("string"), F.lit(".md")).alias("path")
+    english, s = t("documents").filter("lang = 'en'").select("doc_id"), screening(t)
+    stored = progress.progress(english, s.join(english, "doc_id", "left_semi"), "doc_id")
+    return progress.verify(stored, t("documents"), s.select("*", path("doc_id")), "doc_id", t("pages").select(path("page_id")))
+
+
+@query(r"""with @S, @D
+ select doc_id, decision, case when decision = 'EXCLUDE' then 'E9' else '无' end as code, p as p_result, s as s_result, title as evidence from j join s using (doc_id)""")
+def q_record_round_trip(spark, t):
+    """Screening records written as Markdown and read back: decision, code, verdicts and quoted evidence."""
+    rows = judged(t).join(screening(t), "doc_id")
+    records = rows.select(
+        F.col("doc_id").cast("string").alias("uid"), "decision", F.when(F.col("decision") == "EXCLUDE", "E9").alias("code"), "title",
+        *[F.struct(F.col(d).alias("result"), (F.array("title") if d == "c" else F.array().cast("array<string>")).alias("evidence")).alias(d) for d in decisions.DIMENSIONS],
+    )
+    said = lambda name: F.regexp_extract("text", rf"\*\*{name}\*\*[^：\n]*：(.*)", 1)
+    of = lambda d: files.result(files.section(F.col("text"), d))
+    return files.markdown(records).select(
+        F.col("uid").cast("long").alias("doc_id"), said("决策").alias("decision"), said("排除码").alias("code"), of("P").alias("p_result"), of("S").alias("s_result"),
+        F.get(F.regexp_extract_all(files.section(F.col("text"), "C"), F.lit(r'(?m)^> "(.*)"$'), 1), 0).alias("evidence"),
+    )

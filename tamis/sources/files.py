@@ -91,26 +91,68 @@ def calls(checkpoints: DataFrame) -> DataFrame:
     )
 
 
-#: The columns of the export and their names.
+# --- Fixed values: the columns of the export with their headings, and the words of a record ------
 EXPORT = {
-    "key": "Key", "author": "Author", "year": "Year", "title": "Title", "doi": "DOI", "decision": "Decision", "code": "Exclusion code", "p": "P", "i": "I", "c": "C", "o": "O", "s": "S",
-    "reason": "Reason", "text_quality": "Text quality", "path": "Path", "at": "Screened at", "model": "Model", "fingerprint": "Fingerprint",
+    "key": "Key", "author": "Author", "year": "Year", "title": "Title", "doi": "DOI", "decision": "最终决策", "code": "排除码", "reason": "判定理由", "at": "筛选日期",
+    "p": "P判定", "i": "I判定", "device": "设备类型", "c": "C判定", "o": "O判定", "outcome": "结局类型", "s": "S判定", "design": "设计类型", "record": "MD文件",
 }
+DIMENSION_NAMES = {"P": "人群 (Population)", "I": "干预 (Intervention)", "C": "对照 (Comparator)", "O": "结局 (Outcomes)", "S": "研究设计 (Study Design)"}
+RESULTS = {"PASS": "✅ 符合", "FAIL": "❌ 不符合", "UNCERTAIN": "⚠️ 不确定"}
+# ------------------------------------------------------------------------------------------------
+
+
+def result(section_text: Column) -> Column:
+    """The verdict that a section of a record states; null if it states none."""
+    words = F.create_map(*[F.lit(x) for verdict, words in RESULTS.items() for x in (words.split()[1], verdict)])
+    return F.try_element_at(words, F.regexp_extract(section_text, r"\*\*判定\*\*：\S+ (\S+)", 1))
+
+
+def export_columns(df: DataFrame, names: dict[str, str] = EXPORT) -> DataFrame:
+    """The columns of ``names`` as strings under their headings; those that ``df`` lacks are null."""
+    return df.select(*[(F.col(k).cast("string") if k in df.columns else F.lit(None).cast("string")).alias(v) for k, v in names.items()])
 
 
 def export_csv(df: DataFrame, path: str, names: dict[str, str] = EXPORT) -> None:
-    """CSV under other names, by default the 18 columns of the export (those that ``df`` lacks are empty),
-    each file with a byte-order mark before its header, as spreadsheets want it."""
-    first, *rest = names.items()
-    columns = [(F.col(k).cast("string") if k in df.columns else F.lit(None).cast("string")).alias(v) for k, v in [first, *rest]]
-    columns[0] = columns[0].alias("\ufeff" + first[1])
-    df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
-
-
-def export_markdown(records: DataFrame, path: str) -> None:
-    """Records as text in folders by decision."""
-    body = F.concat(F.lit("# "), F.col("uid"), F.lit("\n\n**decision**: "), F.col("decision"), *[F.concat(F.lit(f"\n\n### {d}\n"), F.coalesce(F.col(d), F.lit(""))) for d in "PICOS"], F.lit("\n"))
-    records.select("decision", body.alias("value")).write.partitionBy("decision").mode("overwrite").text(path)
+    """CSV under other names, by default the 18 columns of the export, in order of the first, each file with a
+    byte-order mark before its header, as spreadsheets want it."""
+    out = export_columns(df, names)
+    first = out.columns[0]
+    out.orderBy(first).withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def markdown(records: DataFrame) -> DataFrame:
+    """(uid, decision, text): a screening record as Markdown, that ``markdown_records`` reads. records: uid, decision,
+    and as far as there are such columns title, author, year, doi, code, reason, and for each dimension p to s either
+    its text or a struct of result, evidence (array of quotes) and a note. Nulls are empty, a missing code is 无."""
+    have = dict(records.dtypes)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    words = F.create_map(*[F.lit(x) for kv in RESULTS.items() for x in kv])
+
+    def body(d: str) -> Column:
+        name = d if d in have else d.lower()
+        if name not in have:
+            return F.lit("")
+        if not have[name].startswith("struct"):
+            return text(name)
+        fields = records.schema[name].dataType.names
+        quoted = F.array_join(F.transform(F.col(f"{name}.evidence"), lambda q: F.concat(F.lit('> "'), q, F.lit('"'))), "\n")
+        said = F.coalesce(F.try_element_at(words, F.col(f"{name}.result")), F.lit(""))
+        note = F.coalesce(F.col(f"{name}.note").cast("string"), F.lit("")) if "note" in fields else F.lit("")
+        return F.concat(F.lit("\n**判定**："), said, F.lit("\n\n**原文证据**：\n\n"), F.coalesce(quoted, F.lit("")), F.when(note != "", F.concat(F.lit("\n\n"), note)).otherwise(""))
+
+    about = [F.concat(F.lit(f"| **{label}** | "), text(c), F.lit(" |\n")) for c, label in (("title", "标题"), ("author", "作者"), ("year", "年份"), ("doi", "DOI")) if c in have]
+    code = F.when(text("code") == "", "无").otherwise(text("code"))
+    page = F.concat(
+        F.lit("# "), F.col("uid"), F.lit("\n\n"), *([F.lit("| 字段 | 内容 |\n|------|------|\n"), *about, F.lit("\n---\n")] if about else []),
+        *[F.concat(F.lit(f"\n### {d} — {name}\n"), body(d), F.lit("\n\n---\n")) for d, name in DIMENSION_NAMES.items()],
+        F.lit("\n## 最终判定\n\n**决策**："), F.col("decision"), F.lit("\n\n**排除码**（如EXCLUDE）："), code, F.lit("\n\n**判定理由**：\n\n"), text("reason"), F.lit("\n"),
+    )
+    return records.select("uid", "decision", page.alias("text"))
+
+
+def export_markdown(records: DataFrame, path: str, folders: tuple[str, ...] = ("decision",)) -> None:
+    """Records as text in folders by decision, or by ("decision", "uid") for a file each."""
+    markdown(records).select(*folders, F.col("text").alias("value")).write.partitionBy(*folders).mode("overwrite").text(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
