@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tamis.functions import text as T
-from tamis.operators import decisions, judging, progress, runs
+from tamis.operators import decisions, judging, progress, runs, shared, store
 from tamis.plans.catalogue import events, judged, query, screening
 from tamis.sources import files, ris
 from tamis.streaming import supervisor
@@ -112,3 +115,14 @@ def q_record_round_trip(spark, t):
         F.col("uid").cast("long").alias("doc_id"), said("决策").alias("decision"), said("排除码").alias("code"), of("P").alias("p_result"), of("S").alias("s_result"),
         F.get(F.regexp_extract_all(files.section(F.col("text"), "C"), F.lit(r'(?m)^> "(.*)"$'), 1), 0).alias("evidence"),
     )
+
+
+@query("""select d.doc_id, case when p.page_id is not null then 'page ' || p.url when l.doc_id is not null then 'label ' || coalesce(cast(l.quality as varchar), '') else coalesce(d.lang, '') end as state
+ from documents d left join labels l on l.doc_id = d.doc_id left join pages p on p.page_id = d.doc_id union all select p.page_id, 'page ' || p.url from pages p where p.page_id not in (select doc_id from documents)""")
+def q_keyed_store(spark, t):
+    """Documents, then their labels, then pages of the same number, merged into a table by key in three batches."""
+    table = store.KeyedTable(spark, f"{shared.folder(spark)}/tamis/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex[:12]}", StructType.fromDDL("doc_id long, state string"), "doc_id", 32)
+    text = lambda word, c: F.concat(F.lit(word), F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("state")
+    for batch in (t("documents").select("doc_id", text("", "lang")), t("labels").select("doc_id", text("label ", "quality")), t("pages").select(F.col("page_id").alias("doc_id"), text("page ", "url"))):
+        table.upsert(batch, "state")
+    return table.read()
