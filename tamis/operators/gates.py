@@ -112,21 +112,24 @@ def rule_audit(records: DataFrame) -> DataFrame:
     return rows.select("key", "decision", F.array_join(found, ";").alias("risk_categories"), context.alias("context")).filter("risk_categories <> ''")
 
 
-def lock_contents(lock: DataFrame, files: DataFrame, least: float = 0.35) -> DataFrame:
+def lock_contents(lock: DataFrame, files: DataFrame, least: float = 0.35, blank: bool = False) -> DataFrame:
     """Issues of a lock (uid, title, doi, path, sha256) against files (path, sha256, first_text): no uid, no
-    path, no such file, other digest, DOI or title not on the first pages."""
+    path, no such file, other digest, DOI or title not on the first pages. First pages without a
+    letter or digit count as unreadable and are not judged; with ``blank`` nothing is found on them (of pages that
+    are null only the title is judged)."""
     from tamis.operators import binding
 
     named = lock.filter(F.coalesce("uid", F.lit("")) != "")
     held = named.join(files.select("path", F.col("sha256").alias("actual"), "first_text", F.lit(True).alias("there")), "path", "left")
     no_path = F.coalesce("path", F.lit("")) == ""
     there = held.filter("there").withColumn("tk", T.title_tokens(F.coalesce("title", F.lit("")))).withColumn("norm", T.normalize(F.coalesce("first_text", F.lit("")))).withColumn("d", T.normalize_doi(F.coalesce("doi", F.lit(""))))
+    shown = lambda c: F.lit(True) if blank else c != ""
     return union(
         issue(lock, F.coalesce("uid", F.lit("")) == "", "FAIL", "lock", "uid", "uid missing", F.lit("")), issue(named, no_path, "FAIL", "lock", "uid", "path missing", F.lit("")),
         issue(held, ~no_path & F.col("there").isNull(), "FAIL", "file", "uid", "file missing", F.col("path")),
         issue(held, F.col("there") & (F.lower("sha256") != F.col("actual")) & (F.col("sha256") != ""), "FAIL", "file", "uid", "sha256 differs", F.col("actual")),
-        issue(there, (F.col("d") != "") & (F.coalesce("first_text", F.lit("")) != "") & ~binding.doi_found(F.col("d"), F.col("first_text")), "WARN", "file", "uid", "doi not found", F.col("d")),
-        issue(there, (F.size("tk") > 0) & (F.col("norm") != "") & (T.overlap(F.col("tk"), F.col("norm")) < least), "WARN", "file", "uid", "title overlap low", F.size("tk")),
+        issue(there, (F.col("d") != "") & F.col("first_text").isNotNull() & shown(F.col("first_text")) & ~binding.doi_found(F.col("d"), F.col("first_text")), "WARN", "file", "uid", "doi not found", F.col("d")),
+        issue(there, (F.size("tk") > 0) & shown(F.col("norm")) & (T.overlap(F.col("tk"), F.col("norm")) < least), "WARN", "file", "uid", "title overlap low", F.size("tk")),
     )
 
 

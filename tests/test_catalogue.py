@@ -34,6 +34,20 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
 
 
+def test_lock_contents_of_odd_texts_and_pages(spark, tmp_path):
+    """Null, empty and unreadable texts, and pages without html or title, give what the SQL gives."""
+    con, name = duckdb.connect(), "q_lock_contents"
+    texts = ["null", "''", "'### $$$'", "'  '", "chr(10)", "'系统综述 abc'", "repeat('!', 950) || text", "'İSTANBUL ΣΑΣ KELVIN'", "text", "text"]
+    htmls = ["null", "''", "replace(html, 'title', 'TITLE')", "replace(html, '</title>', '')", "html", "html", "html"]
+    for t, key, column, odd in (("documents", "doc_id", "text", texts), ("pages", "page_id", "html", htmls)):
+        cases = " ".join(f"when {i} then {x}" for i, x in enumerate(odd))
+        con.execute(f"copy (select * replace (case {key} % {len(odd)} {cases} end as {column}) from '{SF}/{t}.parquet') to '{tmp_path}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = rows(con.execute(catalogue.ORACLE_SQL[name]).fetchdf())
+    assert sum(r[1] == "title overlap low" for r in want) > 5
+    assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == want
+
+
 #: Likeness by matching blocks and waiting in line can't be told in SQL; test_operators holds these against
 #: all pairs, and against one request after another.
 NO_SQL = {"q_fuzzy_match", "q_title_map", "q_name_score", "q_rate_admission"}
