@@ -286,6 +286,22 @@ def test_name_scores_against_all_pairs(spark):
     assert got == want and any(s == (3, 0.98) for s in got.values()) and any(0.91 < s < 0.95 for _, s in got.values())
 
 
+def test_few_pairs_need_the_table(monkeypatch):
+    """Names of one language's syllables share most letters, but no common subsequence of 0.8: these are not looked at further."""
+    rnd, seen = random.Random(6), []
+    syllables = "th on an er re in ou ha ed nt st at le es of ti ".split()
+    name = lambda: "".join(rnd.choice([*syllables, " "]) + rnd.choice(syllables) for _ in range(16))[: rnd.randint(48, 64)]
+    ones, names = [name() for _ in range(30)], [name() for _ in range(400)]
+    names[7], names[9] = ones[3][:-4] + "xyz", ones[5] + " a"
+    whole = likeness.matched
+    monkeypatch.setattr(likeness, "matched", lambda a, b, left, *rest: (seen.append(len(left)), whole(a, b, left, *rest))[1])
+    i, j = np.repeat(np.arange(30), 400), np.tile(np.arange(400), 30)
+    got = likeness.Names(ones, names).ratios(i, j, np.full(len(i), 0.75))
+    want = np.array([difflib.SequenceMatcher(None, ones[x], names[y]).ratio() for x, y in zip(i, j)])
+    assert {(x, y) for x, y, r in zip(i, j, got) if r >= 0.75} == {(x, y) for x, y, r in zip(i, j, want) if r >= 0.75} >= {(3, 7), (5, 9)}
+    assert sum(seen) < 120  # of 12,000
+
+
 def test_likeness_of_many_names_is_difflibs():
     rnd = random.Random(1)
     for letters, most in (("ab", 12), ("abcd efg", 60), ("abcdefghijklmnop \u4e00\u4e8c", 260), ("ab", 230)):
