@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,9 @@ def first_rule(text: Column, patterns: list[str], keywords: list[str]) -> Column
     return hit
 
 
-#: Names of either side that are compared with each other in one group, and right names that each left
-#: one is compared with in the first step (twice as many in each further one).
-NAMES_LEFT, NAMES_RIGHT, FIRST = 100, 8000, 64
+#: Names of either side in one block at most; left names that are compared with a block of right ones together, and
+#: right names that each of these is compared with in the first step (twice as many in each further one).
+NAMES_LEFT, NAMES_RIGHT, AT_ONCE, FIRST = 4000, 8000, 128, 64
 #: Likeness of names one of which is within the other.
 CONTAINED = 0.95
 
@@ -39,14 +40,24 @@ def _best_of(left: pd.DataFrame, right: pd.DataFrame, least: float, top: int, ru
     until it is below the last place."""
     names = likeness.Names(left.name.tolist(), right.name.tolist())
     held = right.held.to_numpy()
+    for low in range(0, len(left), AT_ONCE):
+        yield from _best_of_some(names, left, right, range(low, min(low + AT_ONCE, len(left))), held, least, top, rule)
+
+
+def _best_of_some(names: likeness.Names, left: pd.DataFrame, right: pd.DataFrame, some: range, held: np.ndarray, least: float, top: int, rule) -> Iterator[tuple[int, int, float]]:
     found, todo = [], []
-    for i in range(len(left)):
-        known = rule(left.iloc[i], right) if rule else np.full(len(right), np.nan)
-        found.append([(float(known[j]), int(j)) for j in np.flatnonzero(known >= least)])
-        bound = names.bounds(i)
-        order = np.argsort(-bound, kind="stable")
-        order = order[np.isnan(known[order]) & (bound[order] >= least - 1e-9)]
-        todo.append((order.astype(np.int32), bound[order].astype(np.float32)))
+    bounds = names.bounds_of(some)
+    for i, bound in zip(some, bounds):
+        order = np.flatnonzero(bound >= least - 1e-5)
+        if rule:
+            known = rule(left.iloc[i], right)
+            found.append([(float(known[j]), int(j)) for j in np.flatnonzero(known >= least)])
+            order = order[np.isnan(known[order])]
+        else:
+            found.append([])
+        order = order[np.argsort(-bound[order], kind="stable")].astype(np.int32)
+        todo.append((order, bound[order]))
+    del bounds
 
     def cut(i: int) -> float:
         best = np.repeat([x for x, _ in found[i]], [held[j] for _, j in found[i]]) if found[i] else np.zeros(0)
@@ -58,43 +69,48 @@ def _best_of(left: pd.DataFrame, right: pd.DataFrame, least: float, top: int, ru
         for i, (order, bound) in enumerate(todo):
             if at < len(order):
                 c = cut(i)
-                batch = order[at : at + step][bound[at : at + step] >= c - 1e-6]
+                batch = order[at : at + step][bound[at : at + step] >= c - 1e-5]
                 parts.append((np.full(len(batch), i), batch.astype(np.int64), np.full(len(batch), c)))
         if not sum(len(p[0]) for p in parts):
             break
         i, j, c = (np.concatenate(x) for x in zip(*parts))
-        scores = names.ratios(i, j, c)
+        scores = names.ratios(i + some.start, j, c)
         good = np.flatnonzero(scores >= c)
         for k in good.tolist():
             found[i[k]].append((float(scores[k]), int(j[k])))
         at, step = at + step, 2 * step
     for i, own in enumerate(found):
         c = cut(i)
-        yield from ((i, j, x) for x, j in own if x >= c)
+        yield from ((i + some.start, j, x) for x, j in own if x >= c)
 
 
 def _matches(mine: DataFrame, theirs: DataFrame, least: float, top: int, rule) -> DataFrame:
     """(id, other, score, place) from mine (id, key: a struct with name) and theirs (other, key). Distinct
-    keys of both sides are dealt into groups, and every two groups meet, so no pair is lost; of rows
+    keys of both sides are dealt into blocks, each a row, and every two blocks meet in a Cartesian product, which
+    reads the blocks where they lie: no pair is lost, and no name is written once for each block that it meets. Of rows
     with one key only the first ``top`` can have a place."""
     place = lambda i, *by: F.row_number().over(Window.partitionBy(i).orderBy(*by))
     theirs = theirs.withColumnRenamed("key", "other_key").withColumn("_p", place("other_key", "other")).filter(F.col("_p") <= top).drop("_p")
-    a, b = mine.select("key").distinct(), theirs.groupBy("other_key").agg(F.count("*").alias("held"))
-    parts, blocks = -(-a.count() // NAMES_LEFT) or 1, -(-b.count() // NAMES_RIGHT) or 1
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a, b = shared.stored(mine.select("key").distinct(), "names"), shared.stored(theirs.groupBy("other_key").agg(F.count("*").alias("held")), "names")
     fields = mine.schema["key"].dataType.fieldNames()
-    a = a.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("block", each(blocks)).select("part", "block", "key.*")
-    b = b.withColumn("block", F.pmod(F.xxhash64("other_key"), F.lit(blocks)).cast("int")).withColumn("part", each(parts)).select("part", "block", "held", "other_key.*")
-    a, b = (x.repartition(parts * blocks, "part", "block") for x in (a, b))
-
-    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = list(_best_of(x, y, least, top, rule)) if len(x) and len(y) else []
-        i, j, scores = ([f[k] for f in found] for k in range(3))
-        out = {f"a_{f}": x[f].to_numpy()[i] for f in fields} | {f"b_{f}": y[f].to_numpy()[j] for f in fields}
-        return pd.DataFrame(out | {"score": np.array(scores, dtype=float)})
+    few = 3 * int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks that meet, at least
+    n, m = a.count(), b.count()
+    blocks = -(-m // NAMES_RIGHT) or 1
+    parts = max(-(-n // NAMES_LEFT), min(-(-n // AT_ONCE), -(-few // blocks))) or 1
+    dealt = lambda df, count, key, *rest: df.groupBy(F.pmod(F.xxhash64(key), F.lit(count)).alias("nth")).agg(F.collect_list(F.struct(f"{key}.*", *rest)).alias(f"{key}s")).repartition(count, "nth").drop("nth")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(*batch.columns):
+                x, y = (pd.DataFrame({f.name: z.values.field(f.name).to_numpy(zero_copy_only=False) for f in z.values.type}) for z in (x, y))
+                found = list(_best_of(x, y, least, top, rule))
+                i, j = (np.array([f[k] for f in found], dtype=np.int64) for k in (0, 1))
+                out = {f"a_{f}": pa.array(x[f].to_numpy()[i], pa.string()) for f in fields} | {f"b_{f}": pa.array(y[f].to_numpy()[j], pa.string()) for f in fields}
+                yield pa.RecordBatch.from_pydict(out | {"score": pa.array([f[2] for f in found], pa.float64())})
 
     kinds = ", ".join(f"{side}_{f} string" for side in "ab" for f in fields)
-    scored = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(score, f"{kinds}, score double")
+    met = dealt(a, parts, "key").crossJoin(dealt(b, blocks, "other_key", "held").hint("shuffle_replicate_nl"))
+    scored = met.mapInArrow(score, f"{kinds}, score double")
     scored = scored.select(*[F.struct(*[F.col(f"{side}_{f}").alias(f) for f in fields]).alias(name) for side, name in (("a", "key"), ("b", "other_key"))], "score")
     ranked = scored.join(theirs, "other_key").withColumn("place", place("key", F.desc("score"), "other")).filter(F.col("place") <= top)
     return mine.join(ranked, "key").select("id", "other", "score", "place")

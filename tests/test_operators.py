@@ -174,6 +174,17 @@ def test_fuzzy_names_against_all_pairs(spark, monkeypatch):
     assert got == want and (90, 1) in got and (91, 1) in got
 
 
+def test_fuzzy_names_meet_without_copies(spark, monkeypatch):
+    """Blocks meet in a Cartesian product: no name is written once for each block of the other side."""
+    monkeypatch.setattr(matching, "NAMES_LEFT", 2)
+    monkeypatch.setattr(matching, "NAMES_RIGHT", 3)
+    mine, theirs = (spark.range(40).selectExpr(f"cast(id as int) as {who}", "concat('knots of ', id) as name") for who in ("id", "other"))
+    got = matching.best_matches(mine, theirs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and got._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 1
+    assert {r.id: r.other for r in got.filter("place = 1").collect()}.keys() == set(range(40))
+
+
 def test_judges(spark):
     docs = spark.createDataFrame([(1, "x" * 300), (2, None), (3, "licensed under " + "y" * 300)], "doc_id long, text string")
     got = {r.doc_id: (r.p, r.c, r.reason) for r in judging.judge_all(docs, judging.RuleJudge()).collect()}
