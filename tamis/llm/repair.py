@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encoding import memo
+from .encoding import piece_table
 from .files import filesystem, write_file
 
 MAGIC = b"RPG1"
@@ -37,6 +37,11 @@ END = WIDE - 1
 LEAST_USES = 5
 
 
+def _distinct(places: np.ndarray) -> np.ndarray:
+    places = np.sort(places)
+    return places[np.concatenate(([True], places[1:] != places[:-1]))]
+
+
 class _Pairs:
     """A sequence of symbols with the number of adjacent pairs by hashed pair, kept up to date as
     pairs are replaced. Counts by hash are never too small, so they tell which pairs may be frequent."""
@@ -59,22 +64,21 @@ class _Pairs:
         return out
 
     def _add(self, slots: np.ndarray, by: int) -> None:
-        slots = np.sort(slots)
-        first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
-        self.count[slots[first]] += by * np.diff(first, append=len(slots)).astype(np.int32)
+        np.add.at(self.count, slots, np.int32(by))
         self.count[self.NONE] = 0
 
     def frequent(self, cut: int, within: np.ndarray | None = None) -> np.ndarray:
         """Places (of ``within``) whose pair may occur ``cut`` times."""
         if within is None:
             return np.flatnonzero(self.count.take(self.slot) >= cut)
-        return within[self.count[self.slot[within]] >= cut]
+        return within.compress(self.count.take(self.slot.take(within)) >= cut)
 
     def choose(self, at: np.ndarray, cut: int, least: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From the candidate places: pairs that occur ``cut`` times, the most frequent first, and the
         places to replace with the number of their pair. Of places that overlap the one with the
         more frequent pair is taken; a pair that so keeps fewer than ``least`` uses is not chosen."""
-        code = np.sort(self.seq[at].astype(np.uint64) << np.uint64(48) | self.seq[at + 1].astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
+        pair = self.seq.take(at).astype(np.uint64) << np.uint64(16) | self.seq.take(at + 1)
+        code = np.sort(pair << np.uint64(32) | np.arange(len(at), dtype=np.uint64))
         key = (code >> np.uint64(32)).astype(np.uint32)
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         n = np.diff(start, append=len(key))
@@ -83,9 +87,9 @@ class _Pairs:
         rank = np.zeros(len(n), dtype=np.uint32)
         rank[some] = np.arange(len(some), 0, -1)  # 0: not chosen
         each = np.repeat(rank, n)
-        code = (code << np.uint64(32) | each)[each > 0]
-        code.sort()
-        at, each = (code >> np.uint64(32)).astype(np.int64), code.astype(np.uint32).astype(np.int32)
+        by_place = np.empty(len(at), dtype=np.int32)
+        by_place[code.astype(np.uint32)] = each
+        at, each = at.compress(by_place > 0), by_place.compress(by_place > 0)
         near = at[1:] - at[:-1] == 1
         same = np.concatenate(([False], near & (each[1:] == each[:-1])))
         if same.any():  # of a run of one symbol every other place
@@ -94,35 +98,50 @@ class _Pairs:
         ok = each > 0
         ok[1:] &= ~near | (each[1:] > each[:-1])
         ok[:-1] &= ~near | (each[:-1] > each[1:])
-        at, each = at[ok], each[ok]
+        at, each = at.compress(ok), each.compress(ok)
         good = np.bincount(each, minlength=len(some) + 1) >= least
         good[0] = False
         number = np.cumsum(good[::-1])[::-1] - 1
         ok = good[each]
-        return key[start[some]][good[:0:-1]], at[ok], number[each[ok]]
+        return key[start[some]][good[:0:-1]], at.compress(ok), number[each.compress(ok)]
 
     def replace(self, at: np.ndarray, symbols: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Puts ``symbols`` in place of the pairs at ``at``. Returns the places, in the shorter
         sequence, of pairs that changed and of ``others`` that are left."""
-        flag = np.zeros(len(self.seq), dtype=bool)
-        for d in (-1, 0, 1):
-            flag[at + d] = True
-        flag[-1] = False  # where place 0 was replaced; the last place has no pair
-        self._add(self.slot[flag], -1)
-        self.seq[at] = symbols
-        stay = np.ones(len(self.seq), dtype=bool)
-        stay[at + 1] = False
-        flag[:] = False
-        flag[at - 1] = True
-        flag[at] = True
-        flag[-1] = False
-        fresh = flag[stay]
-        flag[others] = True
-        self.seq, self.slot = self.seq[stay], self.slot[stay]
-        changed = np.flatnonzero(fresh)
+        if len(at) > len(self.seq) // 32:
+            flag = np.zeros(len(self.seq), dtype=bool)
+            for d in (-1, 0, 1):
+                flag[at + d] = True
+            flag[-1] = False  # where place 0 was replaced; the last place has no pair
+            self._add(self.slot.compress(flag), -1)
+            self.seq[at] = symbols
+            stay = np.ones(len(self.seq), dtype=bool)
+            stay[at + 1] = False
+            stay = np.flatnonzero(stay)
+            flag[:] = False
+            flag[at - 1] = True
+            flag[at] = True
+            flag[-1] = False
+            changed = np.flatnonzero(flag.take(stay))
+            flag[others] = True
+            left = np.flatnonzero(flag.take(stay))
+            self.seq, self.slot = self.seq.take(stay), self.slot.take(stay)
+        else:  # few places: the same without looking at all others
+            gone = at + 1
+            around = np.stack((at - 1, at), 1).reshape(-1)  # ascending, as places to replace don't overlap
+            around = around[int(around[0] < 0) :]
+            self._add(self.slot[_distinct(np.concatenate((around, gone)))], -1)
+            self.seq[at] = symbols
+            self.seq, self.slot = np.delete(self.seq, gone), np.delete(self.slot, gone)
+            place = np.searchsorted(gone, around)
+            kept = gone.take(place, mode="clip") != around
+            changed = (around - place)[kept]
+            place = np.searchsorted(gone, others)
+            kept = gone.take(place, mode="clip") != others
+            left = _distinct(np.concatenate(((others - place)[kept], changed)))
         self.slot[changed] = self._slots(changed)
         self._add(self.slot[changed], 1)
-        return np.flatnonzero(flag[stay])
+        return left
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, least: int = LEAST_USES, step: int = 64) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -258,15 +277,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words = memo(vocabulary_path, True)
+        table = piece_table(vocabulary_path)
+        vocabulary = table.words.tok.get_vocab_size()
         total = {"docs": 0, "ids": 0}
         name = f"{path}/part-{part:06d}.rpg"
 
         def blocks() -> Iterator[bytes]:
             ids, parts, size = [], [], 0
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    raw = words.encode(text or "")
+                for doc, raw in zip(batch.column(0).to_pylist(), table.encode(text or "" for text in batch.column(1).to_pylist())):
                     ids.append(doc)
                     parts.append(raw)
                     size += len(raw) // 2 + 1
@@ -277,7 +296,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
                 yield finish(ids, parts)
 
         def finish(ids: list, parts: list) -> bytes:
-            block, n = write_block(ids, parts, end_id, words.tok.get_vocab_size())
+            block, n = write_block(ids, parts, end_id, vocabulary)
             total["docs"] += len(ids)
             total["ids"] += n
             return struct.pack("<Q", len(block)) + block
