@@ -23,8 +23,9 @@ CELLS = 1 << 20
 PAIRS = 256
 
 
-#: Kinds of characters up to which the places of each are kept as bits of a word.
-KINDS = 128
+#: Kinds of characters up to which the places of each are kept as bits, and how many places a word has (the bit left over
+#: carries); pairs whose common subsequences are told together.
+KINDS, DIGIT, TOGETHER = 128, 63, 4096
 
 
 def _code_points(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +78,8 @@ def matched(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, s
         keep = np.flatnonzero((most > 0) & ~gone[owner])
         if not len(keep):
             return np.where(gone, -1, total)
-        # Parts of like shape share a table.
-        shape = np.ceil(np.log2(wide_a[keep])).astype(np.int64) * 16 + np.ceil(np.log2(wide_b[keep])).astype(np.int64)
+        # Parts of like shape share a table, all small ones one.
+        shape = np.maximum(np.ceil(np.log2(wide_a[keep])), 3).astype(np.int64) * 16 + np.maximum(np.ceil(np.log2(wide_b[keep])), 3).astype(np.int64)
         order = np.argsort(shape, kind="stable")
         keep, shape = keep[order], shape[order]
         nexts = []
@@ -105,13 +106,24 @@ def _pairs_of_letters(names: list[str]) -> np.ndarray:
     return np.minimum(np.bincount((owner[1:] * PAIRS + pairs)[own], minlength=PAIRS * len(names)), 255).astype(np.uint8).reshape(-1, PAIRS)
 
 
+def _codes(names: list[str], known: np.ndarray, kind: type) -> np.ndarray:
+    """A column for each name: its characters' places among the ``known`` ones, from 2 on; 0 for others and as padding."""
+    out = np.zeros((max(map(len, names), default=0) + 1, len(names)), dtype=kind)
+    c, owner = _code_points(names)
+    if len(c) and len(known):
+        at = np.minimum(np.searchsorted(known, c), len(known) - 1)
+        first = np.cumsum([0, *map(len, names)])[owner]
+        out[np.arange(len(c)) - first, owner] = np.where(known[at] == c, at + 2, 0)
+    return out
+
+
 def _places(codes: np.ndarray, sizes: np.ndarray, kinds: int) -> np.ndarray:
-    """For each name (a column of ``codes``) of up to 64 characters and each kind of character the bits of its places."""
-    out = np.zeros((codes.shape[1], kinds), dtype=np.uint64)
-    fits = np.flatnonzero(sizes <= 64)
-    for k in range(min(len(codes), 64)):
-        out[fits, codes[k, fits]] |= np.uint64(1 << k)
-    out[:, :2] = 0  # padding, and characters that the other side lacks
+    """For each DIGIT characters, each kind of character and each name (a column of ``codes``) the bits of its places."""
+    digits = -(-int(sizes.max(initial=1)) // DIGIT)
+    out = np.zeros((digits, kinds, codes.shape[1]), dtype=np.uint64)
+    for k in range(min(len(codes), digits * DIGIT)):
+        some = np.flatnonzero(sizes > k)
+        out[k // DIGIT, codes[k, some], some] |= np.uint64(1 << k % DIGIT)
     return out
 
 
@@ -125,21 +137,19 @@ class Names:
         self.pairs_a, self.pairs_b = _pairs_of_letters(left), _pairs_of_letters(right)
         # Characters by number, from 2 on (0 and 1 are padding): in one byte where they are few.
         self.short = np.flatnonzero(self.size_b < LONG)
-        number = {c: k for k, c in enumerate(sorted({c for i in self.short for c in right[i]}), 2)}
-        kind = np.uint8 if len(number) < 250 else np.uint32
-        self.codes_a, self.codes_b = (np.zeros((int(size.max(initial=0)) + 1, len(names)), dtype=kind) for size, names in ((self.size_a, left), (self.size_b[self.short], self.short)))
-        for codes, names in ((self.codes_a, left), (self.codes_b, [right[i] for i in self.short])):
-            for k, x in enumerate(names):
-                codes[: len(x), k] = [number.get(c, 0) for c in x]
+        known, self.codes_b = np.zeros(0, np.int64), [right[i] for i in self.short]
+        if self.codes_b:
+            known = np.unique(_code_points(self.codes_b)[0])
+        kind = np.uint8 if len(known) < 250 else np.uint32
+        self.codes_a, self.codes_b = (_codes(names, known, kind) for names in (left, self.codes_b))
         # The places of each character, and the sums that bound ratios.
-        self.kinds = len(number) + 2
-        self.bits = [_places(codes, sizes, self.kinds) for codes, sizes in ((self.codes_a, self.size_a), (self.codes_b, self.size_b[self.short]))] if self.kinds <= KINDS else None
+        self.bits = _places(self.codes_b, self.size_b[self.short], len(known) + 2) if len(known) + 2 <= KINDS else None
         most = np.minimum(self.letters_a.max(axis=0, initial=0), self.letters_b.max(axis=0, initial=0))
         self.levels_a, self.levels_b = _levels(self.letters_a, most), _levels(self.letters_b, most).T
         self.column = np.full(len(right), -1)
         self.column[self.short] = np.arange(len(self.short))
         # Of a long name difflib looks for the characters that it has seldom.
-        self.seldom = {int(j): frozenset(c for c, n in Counter(right[j]).items() if n <= len(right[j]) // 100 + 1) for j in np.flatnonzero(self.size_b >= LONG)}
+        self.seldom: dict[int, frozenset[str]] = {}
 
     def bounds(self, i: int) -> np.ndarray:
         """What the ratios of left name ``i`` can be at most: the shared letters over all letters."""
@@ -153,28 +163,53 @@ class Names:
         out /= np.maximum(self.size_b + self.size_a[some, None], 1)
         return out
 
-    def _may_match(self, i: np.ndarray, j: np.ndarray, needed: np.ndarray) -> np.ndarray:
-        """Whether a common subsequence, which no matching blocks exceed, is as long as ``needed``. Its length is the number of
-        zeros that are left in a word of ones, a bit for each character of one name, by the usual steps for each
-        character of the other. Pairs without a name of up to 64 characters pass."""
-        out = np.ones(len(i), dtype=bool)
-        k = self.column[j]
-        by_right = self.size_b[j] <= 64
-        for mine, bits, one, other, size, codes, most in ((by_right, self.bits[1], k, i, self.size_b[j], self.codes_a, self.size_a[i]), (~by_right & (self.size_a[i] <= 64), self.bits[0], i, k, self.size_a[i], self.codes_b, self.size_b[j])):
-            at = np.flatnonzero(mine)
-            at = at[np.argsort(most[at], kind="stable")]
-            for low in range(0, len(at), 8192):
-                part = at[low : low + 8192]
-                left = np.full(len(part), ~np.uint64(0))
-                row, column = one[part] * self.kinds, other[part]
-                for c in codes[: int(most[part].max())]:
-                    u = left & bits.ravel()[row + c[column]]
-                    left = (left + u) | (left - u)
-                out[part] = np.bitwise_count(~left & (~np.uint64(0) >> (64 - size[part]).astype(np.uint64))) >= needed[part]
+    def common(self, i: int, j: np.ndarray) -> np.ndarray:
+        """The length of the longest common subsequence, which no matching blocks exceed, of left name ``i`` with each of the
+        right names ``j`` (short ones, where there are bits): the number of zeros left in words of ones, a bit for each
+        character of the right name, by the usual steps for each character of the left one."""
+        out = np.zeros(len(j), dtype=np.int64)
+        own = self.codes_a[: self.size_a[i], i]
+        kinds, steps = np.unique(own[own > 1], return_inverse=True)
+        if not len(kinds):
+            return out
+        digits = -(-self.size_b[j] // DIGIT)
+        low_bits = ~np.uint64(0) >> np.uint64(64 - DIGIT)
+        for n in np.unique(digits).tolist():
+            at = np.flatnonzero(digits == n)
+            for low in range(0, len(at), TOGETHER):
+                part = at[low : low + TOGETHER]
+                held = self.column[j[part]]
+                table = [[self.bits[d, k].take(held) for k in kinds] for d in range(n)]
+                left = [np.full(len(part), low_bits) for _ in range(n - 1)] + [np.full(len(part), ~np.uint64(0))]
+                u, v, over = (np.zeros(len(part), dtype=np.uint64) for _ in range(3))
+                for k in steps.tolist():
+                    for d in range(n):
+                        x = left[d]
+                        np.bitwise_and(x, table[d][k], u)
+                        np.subtract(x, u, v)
+                        np.add(x, u, u)
+                        if d:
+                            np.add(u, over, u)
+                        if d < n - 1:
+                            np.right_shift(u, DIGIT, over)
+                            np.bitwise_or(u, v, u)
+                            np.bitwise_and(u, low_bits, x)
+                        else:
+                            np.bitwise_or(u, v, x)
+                out[part] = sum(np.bitwise_count(~x & low_bits).astype(np.int64) for x in left)
+        return out
+
+    def ceilings(self, i: int, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """What the ratios of left name ``i`` with right names ``j`` can be at most: ``bound``, or less by common subsequences."""
+        out = bound.astype(np.float64)
+        short = np.flatnonzero(self.size_b[j] < LONG) if self.bits is not None else []
+        if len(short):
+            out[short] = 2 * self.common(i, j[short]) / np.maximum(self.size_a[i] + self.size_b[j[short]], 1)
         return out
 
-    def ratios(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+    def ratios(self, i: np.ndarray, j: np.ndarray, least: np.ndarray, bounded: bool = False) -> np.ndarray:
         """difflib's ratios of left names ``i`` with right names ``j``; -1 where one is certainly below its ``least``.
+        ``bounded``: all ``ceilings`` are known not to be.
 
         Matching blocks are apart by a character that one side has over, so of m characters in blocks
         of names of s together, 3 m - s - 1 at least have their neighbour in common: above a ratio of
@@ -189,14 +224,20 @@ class Names:
             shared = np.minimum(self.pairs_a[i[part]], self.pairs_b[j[part]]).sum(axis=1, dtype=np.int64)
             maybe[part] = shared >= (3 * needed - both - 1)[part]
         short = np.flatnonzero(maybe & (self.size_b[j] < LONG))
-        if len(short) and self.bits:
-            short = short[self._may_match(i[short], j[short], needed[short])]
+        if len(short) and self.bits is not None and not bounded:
+            asked = short[needed[short] > 0]
+            for x in np.unique(i[asked]):
+                part = asked[i[asked] == x]
+                maybe[part] = self.common(x, j[part]) >= needed[part]
+            short = short[maybe[short]]
         if len(short):
             found = matched(self.codes_a, self.codes_b, i[short], self.column[j[short]], self.size_a[i[short]], self.size_b[j[short]], needed[short])
             out[short] = np.where(found >= 0, 2.0 * found / np.maximum(both[short], 1), -1.0)
         for k in np.flatnonzero(self.size_b[j] >= LONG).tolist():
             a, b = self.left[i[k]], self.right[j[k]]
-            if not self.seldom[int(j[k])].isdisjoint(a):
+            if b not in self.seldom:
+                self.seldom[b] = frozenset(c for c, n in Counter(b).items() if n <= len(b) // 100 + 1)
+            if not self.seldom[b].isdisjoint(a):
                 out[k] = difflib.SequenceMatcher(None, a, b).ratio()
             else:  # only what both begin with is found
                 out[k] = 2.0 * len(os.path.commonprefix([a, b])) / (len(a) + len(b))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,44 @@ def test_few_pairs_need_the_table(monkeypatch):
     assert sum(seen) < 120  # of 12,000
 
 
+def test_best_names_need_few_tables(monkeypatch):
+    """Of names of one language's syllables, whose letters allow most pairs, few are compared in full, also over several blocks."""
+    rnd, seen = random.Random(8), []
+    syllables = "th on an er re in ou ha ed nt st at le es of ti ".split()
+    name = lambda least, most: "".join(rnd.choice([*syllables, " "]) + rnd.choice(syllables) for _ in range(40))[: rnd.randint(least, most)]
+    ones, names = [name(40, 60) for _ in range(20)], [name(40, 75) for _ in range(3000)]
+    names[5] = names[2500] = ones[2] + " more"
+    whole = likeness.matched
+    monkeypatch.setattr(likeness, "matched", lambda a, b, left, *rest: (seen.append(len(left)), whole(a, b, left, *rest))[1])
+    monkeypatch.setattr(matching, "FIRST_OF", 200)
+    best = matching._Best(pd.DataFrame({"name": ones, "nth": range(20), "sure": [0, 0, 2] + [0] * 17}), 0.3, 5, None, True)
+    for low in (0, 1500):
+        best.add(pd.DataFrame({"name": names[low : low + 1500], "nth": range(low, low + 1500), "held": 1}))
+    assert sum(seen) < 0.2 * 20 * 3000
+    for i in (0, 2, 7):
+        ratio = sorted((-difflib.SequenceMatcher(None, ones[i], x).ratio(), j) for j, x in enumerate(names) if ones[i] not in x)
+        last = ratio[2 if i == 2 else 4][0]
+        assert {(-s, j) for s, j in ratio if s <= last} <= {(s, j) for s, j, _ in best.found[i]} and not {5, 2500} & {j for _, j, _ in best.found[i]}
+
+
+def test_common_subsequences_of_several_words():
+    """Names of up to 199 characters have more places than a word has bits."""
+    rnd = random.Random(9)
+    ones, names = (["".join(rnd.choices("abcdef ", k=rnd.randint(1, most))) for _ in range(n)] for most, n in ((150, 6), (199, 40)))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+
+    held = likeness.Names(ones, names)
+    assert [held.common(i, np.arange(40)).tolist() for i in range(6)] == [[common(a, b) for b in names] for a in ones]
+
+
 def test_likeness_of_many_names_is_difflibs():
     rnd = random.Random(1)
     for letters, most in (("ab", 12), ("abcd efg", 60), ("abcdefghijklmnop \u4e00\u4e8c", 260), ("ab", 230)):
