@@ -349,7 +349,18 @@ def test_common_subsequences_of_several_words():
         return row[-1]
 
     held = likeness.Names(ones, names)
-    assert [held.common(i, np.arange(40)).tolist() for i in range(6)] == [[common(a, b) for b in names] for a in ones]
+    want = [[common(a, b) for b in names] for a in ones]
+    assert [held.common(i, np.arange(40)).tolist() for i in range(6)] == want
+    assert held.common_of(np.repeat(np.arange(6), 40), np.tile(np.arange(40), 6)).reshape(6, 40).tolist() == want
+
+
+def test_refusals_within_a_part_take_no_rounds(spark, monkeypatch):
+    """A hundred ids want the same in the same order, and one before them takes the first: each would refuse the next in a round of its own."""
+    rows = [(0, 0, 1.0), *((i, j, 1.0 - j / 1000) for i in range(1, 100) for j in range(100)), (100, 500, 0.5), (101, 500, 0.6)]
+    stored, seen = matching.shared.stored, []
+    monkeypatch.setattr(matching.shared, "stored", lambda df, name: (seen.append(name), stored(df, name))[1])
+    got = {r.id: r.other for r in matching.each_once(spark.createDataFrame(rows, "id int, other int, score double")).collect()}
+    assert got == {i: i for i in range(100)} | {100: 500} and len(seen) < 12
 
 
 def test_likeness_of_many_names_is_difflibs():
